@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("basics", "joins", "aggregates")
+_MODULES = ("basics", "joins", "aggregates", "windows")
 
 
 def _load():

@@ -248,7 +248,7 @@ def _profile_sql(table, cols):
        FROM {table}""" for c in cols)
 
 
-@query("a25_profile", doubles="avg stddev null_pct zero_pct",
+@query("a25_profile", doubles="avg stddev null_pct zero_pct", digits=7,
        sql=_profile_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def _(t):
     return A.profile(t.table("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -388,8 +388,9 @@ def _(t):
 
 @query("u5_level_overlap", uses="books", doubles="persistence", sql="""WITH p AS (SELECT vec_id, [x.price for x in bids] AS b,
        [x.price for x in asks] AS a, lag([x.price for x in bids]) OVER w AS pb, lag([x.price for x in asks]) OVER w AS pa
-       FROM books WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT vec_id, CAST(len(list_intersect(b, pb)) AS INTEGER)
-       AS bids_kept, CAST(len(list_intersect(a, pa)) AS INTEGER) AS asks_kept, CASE WHEN pb IS NULL THEN 1 ELSE
+       FROM books WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT vec_id, CASE WHEN pb IS NOT NULL THEN
+       CAST(len(list_intersect(b, pb)) AS INTEGER) END AS bids_kept, CASE WHEN pb IS NOT NULL THEN
+       CAST(len(list_intersect(a, pa)) AS INTEGER) END AS asks_kept, CASE WHEN pb IS NULL THEN 1 ELSE
        (len(list_intersect(b, pb)) + len(list_intersect(a, pa))) / (len(pb) + len(pa)) END AS persistence FROM p""")
 def _(t):
     return U.level_overlap(t.books, ["symbol"], ["ts"]).select("vec_id", "bids_kept", "asks_kept", "persistence")
