@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("basics", "joins", "aggregates", "windows")
+_MODULES = ("basics", "joins", "aggregates", "windows", "features")
 
 
 def _load():

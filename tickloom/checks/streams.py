@@ -32,6 +32,11 @@ STREAM_SQL: dict[str, tuple[str, str]] = {
          for i in range(1, 11)] AS bids,
         [{'price': 100 + (vec_id * 7 % 13) * 0.05e0 + i * 0.1e0, 'qty': abs(CAST(embedding[10 + i] AS DOUBLE))}
          for i in range(1, 11)] AS asks FROM embeddings"""),
+    "timed_books": ("books", """SELECT 'S' || CAST(CAST(substr(symbol, 2) AS INTEGER) % 5 AS VARCHAR) AS symbol,
+        TIMESTAMP '2024-01-01' + to_minutes(CAST(vec_id * 86 AS INTEGER)) AS ts, vec_id AS event_id, bids, asks FROM books"""),
+    "quotes": ("ev", """SELECT event_id, symbol, exchange, ts, value AS mid_price,
+        value * (0.999 - (event_id % 5) * 0.0002) AS bid_price, value * (1.001 + (event_id % 3) * 0.0003) AS ask_price,
+        CAST(k + 1 AS DOUBLE) AS bid_qty, CAST(event_id % 7 + 1 AS DOUBLE) AS ask_qty FROM ev"""),
     "bars": ("", """SELECT o_orderpriority AS symbol, o_orderdate AS open_time,
         arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
         arg_max(o_totalprice, o_orderkey) AS close, sum(CAST(o_custkey % 100 + 1 AS DOUBLE)) AS volume,
@@ -134,6 +139,23 @@ class Tables:
             "vec_id", F.concat(F.lit("S"), F.col("label").cast("string")).alias("symbol"), F.col("vec_id").alias("ts"),
             side(-1, 0).alias("bids"), side(1, 10).alias("asks"))
 
+    @cached_property
+    def timed_books(self) -> DataFrame:
+        return self.books.select(
+            F.concat(F.lit("S"), (F.substring("symbol", 2, 9).cast("int") % 5).cast("string")).alias("symbol"),
+            F.timestamp_add("MINUTE", F.col("vec_id") * 86, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"),
+            F.col("vec_id").alias("event_id"), "bids", "asks")
+
+    @cached_property
+    def quotes(self) -> DataFrame:
+        """Quotes whose spread varies."""
+        e = F.col("event_id")
+        return self.ev.select(
+            "event_id", "symbol", "exchange", "ts", F.col("value").alias("mid_price"),
+            (F.col("value") * (0.999 - (e % 5) * 0.0002)).alias("bid_price"),
+            (F.col("value") * (1.001 + (e % 3) * 0.0003)).alias("ask_price"),
+            (F.col("k") + 1).cast("double").alias("bid_qty"), (e % 7 + 1).cast("double").alias("ask_qty"))
+
     @cached_property
     def bars(self) -> DataFrame:
         return (self.table("orders").groupBy(F.col("o_orderpriority").alias("symbol"),

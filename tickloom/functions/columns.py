@@ -32,6 +32,14 @@ def zscore_to_percentile(z: Column) -> Column:
             .when(z >= -1, 50 + z * 34.1).when(z >= -2, 2.3).otherwise(0.1))
 
 
+def safe_corr(x: Column, y: Column, over=None) -> Column:
+    """Population correlation of the rows where both are known; NULL without spread on either side."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    cov, sa, sb = [p.over(over) if over is not None else p for p in parts]
+    return F.when((sa > 1e-12) & (sb > 1e-12), cov / (sa * sb))
+
+
 def label_by(x: Column, rules: list[tuple[float, str]], default: str, strict: bool = True) -> Column:
     """First label whose threshold x exceeds (rules from the highest threshold down)."""
     out = None

@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import bucket, safe_div
+from tickloom.functions.columns import bucket, safe_corr, safe_div
 from tickloom.operators.joins import oi_price_join
 from tickloom.operators.series import attach, bounded, order_value, plan_series, quantiles, running
 
@@ -333,10 +333,10 @@ def feature_correlation(df: DataFrame, columns: dict[str, str], least: int = 10)
     """Pearson correlation of every column pair (``columns`` maps column to its stream), one aggregation."""
     pairs = list(combinations(columns, 2))
     wide = df.agg(*[x for a, b in pairs for x in (
-        F.corr(a, b).alias(f"{a}__{b}__c"), count_if(C(a).isNotNull() & C(b).isNotNull()).alias(f"{a}__{b}__n"))])
+        safe_corr(C(a), C(b)).alias(f"{a}__{b}__c"), count_if(C(a).isNotNull() & C(b).isNotNull()).alias(f"{a}__{b}__n"))])
     cells = ", ".join(f"'{a}', '{columns[a]}', '{b}', '{columns[b]}', {a}__{b}__c, {a}__{b}__n" for a, b in pairs)
     long = wide.selectExpr(f"stack({len(pairs)}, {cells}) AS (feature_a, type_a, feature_b, type_b, value, n)")
-    return long.where(C("n") >= least).withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
+    return long.where(C("n") >= least).withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def top_correlations(corr: DataFrame, n: int = 15) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import safe_corr
 from tickloom.operators.series import bounded, plan_series, running
 
 C = F.col
@@ -90,6 +91,28 @@ def asof_join(left: DataFrame, right: DataFrame, by, ts: str = "ts", values=None
     return out.select(*by, ts, *body, C("_seen")[right_ts].alias(right_ts), *[C("_seen")[v].alias(v) for v in values])
 
 
+def asof_many(left: DataFrame, lookups: dict[str, tuple[DataFrame, float]], by, ts: str = "ts",
+              tie: str = "event_id") -> DataFrame:
+    """Several as-of lookups in one pass: ``{name: (right, seconds)}`` adds a struct column per name.
+
+    ``seconds`` asks for the newest right row at or before ``ts - seconds``: the right rows simply
+    enter the union that much later. All lookups share one shuffle.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    kind = left.schema[ts].dataType
+    rows = [left.select(*by, ts, F.lit(1).alias("_side"), C(tie).cast("long").alias("_tie"),
+                        F.struct(*[c for c in left.columns if c not in (*by, ts)]).alias("_l"))]
+    for name, (right, seconds) in lookups.items():
+        at = F.timestamp_add("MICROSECOND", F.lit(int(seconds * 1_000_000)).cast("long"), C(ts)).cast(kind)
+        own = C(tie).cast("long") if tie in right.columns else F.lit(0).cast("long")
+        rows.append(right.select(*by, at.alias(ts), F.lit(0).alias("_side"), own.alias("_tie"),
+                                 F.struct(C(ts).alias("at"), *[c for c in right.columns if c not in (*by, ts, tie)]).alias(name)))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    plan = plan_series(both, by, [ts, "_side", "_tie"])
+    seen = running(both, plan, {f"_{n}": ("last", n) for n in lookups}).where(C("_side") == 1)
+    return seen.select(*by, ts, "_l.*", *[C(f"_{n}").alias(n) for n in lookups])
+
+
 def feature_cache(streams: dict[str, DataFrame], by=("symbol", "exchange"), ts: str = "ts",
                   tie: str = "event_id") -> DataFrame:
     """At every update of any stream, the newest row of each stream so far (one struct per stream)."""
@@ -148,7 +171,7 @@ def lag_pairs(returns: DataFrame, symbol: str = "symbol", exchange: str = "excha
     follow = returns.select(symbol, C(exchange).alias("follower"), C(index).alias("_i"), C(value).alias("_y"))
     return (lead.join(follow, [symbol, "_i"]).where(C("leader") != C("follower"))
             .groupBy(symbol, "leader", "follower", "lag")
-            .agg(F.corr("_x", "_y").alias("corr"), F.count(F.lit(1)).alias("n")))
+            .agg(safe_corr(C("_x"), C("_y")).alias("corr"), F.count(F.lit(1)).alias("n")))
 
 
 def missing_streams(expected: DataFrame, present: DataFrame, keys) -> DataFrame:

@@ -49,28 +49,28 @@ FEATURE_COLUMNS = {
     "flow": "buy_sell_ratio taker_buy_ratio taker_sell_ratio aggressive_buy_volume aggressive_sell_volume "
             "net_aggressive_flow flow_imbalance flow_toxicity absorption_ratio sweep_detected iceberg_detected "
             "momentum_flow",
-    "funding": "funding_rate funding_rate_annualized funding_rate_8h_avg funding_rate_24h_avg "
-               "funding_rate_7d_avg funding_rate_change funding_rate_zscore next_funding_countdown "
-               "predicted_funding funding_premium",
-    "oi": "open_interest open_interest_usd oi_change_1h oi_change_1h_pct oi_change_4h oi_change_24h "
-          "oi_change_24h_pct oi_volume_ratio oi_delta oi_momentum oi_price_divergence leverage_ratio",
-    "volatility": "volatility_1m volatility_5m volatility_15m volatility_1h volatility_24h realized_vol "
+    "funding": "funding_rate funding_rate_pct annualized_rate funding_rate_8h_avg funding_rate_24h_avg "
+               "funding_rate_7d_avg funding_rate_change funding_rate_zscore funding_premium next_funding_time",
+    "oi": "open_interest open_interest_usd oi_change_1h oi_change_4h oi_change_24h oi_change_pct_1h "
+          "oi_change_pct_24h oi_delta oi_momentum oi_price_divergence leverage_ratio long_short_ratio",
+    "volatility": "volatility_1m volatility_5m volatility_15m volatility_1h volatility_24h realized_volatility "
                   "garman_klass_vol parkinson_vol atr_14 volatility_percentile volatility_zscore "
                   "volatility_regime",
-    "momentum": "return_1m return_5m return_15m return_1h return_4h return_24h rsi_14 rsi_divergence macd_line "
-                "macd_signal macd_histogram stochastic_k stochastic_d williams_r cci roc",
+    "momentum": "momentum_1m momentum_5m momentum_15m momentum_1h momentum_4h momentum_24h rsi_14 rsi_divergence "
+                "macd_line macd_signal macd_histogram stoch_k stoch_d williams_r cci roc",
     "signals": "trend_signal momentum_signal flow_signal funding_signal oi_signal volatility_signal "
-               "composite_signal confidence regime bias",
-    "cross_exchange": "max_spread_pct avg_spread_pct funding_spread volume_share oi_share arb_opportunity "
-                      "flow_divergence lead_lag_score",
+               "composite_score signal_confidence market_regime bias",
+    "cross_exchange": "max_price_spread avg_price_spread funding_spread_max funding_spread_avg "
+                      "arbitrage_opportunity exchange_flow_divergence lead_lag_score",
 }
-_TEXT = {"volatility_regime", "regime", "bias"}
-_FLAG = {"sweep_detected", "iceberg_detected", "arb_opportunity"}
+_TEXT = {"volatility_regime", "market_regime", "bias"}
+_TIME = {"next_funding_time"}
+_FLAG = {"sweep_detected", "iceberg_detected"}
 
 
 def feature_schemas() -> dict[str, T.StructType]:
     def typed(name: str) -> str:
-        return f"{name} {'string' if name in _TEXT else 'boolean' if name in _FLAG else 'double'}"
+        return f"{name} {'string' if name in _TEXT else 'boolean' if name in _FLAG else 'timestamp_ntz' if name in _TIME else 'double'}"
     return {cat: _stream(", ".join(typed(n) for n in names.split())) for cat, names in FEATURE_COLUMNS.items()}
 
 
