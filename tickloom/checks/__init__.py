@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("basics", "joins", "aggregates", "windows", "features")
+_MODULES = ("basics", "joins", "aggregates", "windows", "features", "institutional", "composites")
 
 
 def _load():

@@ -61,7 +61,7 @@ def _(t):
         "cvd_5m", "cvd_15m", "vwap_1m", "vwap_5m", "avg_trade_size", "large_trade_count", "large_trade_volume")
 
 
-@query("b2_trade_features_rolling", uses="trades", digits=8, doubles="trade_count_1m volume_5m cvd_1m cvd_15m vwap_1m vwap_5m avg_trade_size", sql="""
+@query("b2_trade_features_rolling", uses="trades", digits=7, doubles="trade_count_1m volume_5m cvd_1m cvd_15m vwap_1m vwap_5m avg_trade_size", sql="""
        SELECT trade_id, CAST(count(*) OVER a AS DOUBLE) AS trade_count_1m, sum(quantity) OVER b AS volume_5m,
        sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER a AS cvd_1m, sum(CASE WHEN side = 'buy' THEN quantity ELSE
        -quantity END) OVER c AS cvd_15m, sum(price * quantity) OVER a / sum(quantity) OVER a AS vwap_1m, sum(price * quantity) OVER
@@ -119,7 +119,7 @@ def _(t):
     return B.iceberg_flags(df, ["symbol", "bucket"])
 
 
-@query("b6_funding_features", uses="funding", digits=12, doubles="funding_rate_8h_avg funding_rate_24h_avg funding_rate_7d_avg funding_rate_change funding_rate_zscore funding_rate_pct annualized_rate funding_premium",
+@query("b6_funding_features", uses="funding", digits=10, doubles="funding_rate_8h_avg funding_rate_24h_avg funding_rate_7d_avg funding_rate_change funding_rate_zscore funding_rate_pct annualized_rate funding_premium",
        sql="""WITH w AS (SELECT *, avg(funding_rate) OVER a AS a8, avg(funding_rate) OVER b AS a24, avg(funding_rate) OVER c AS a7,
        funding_rate - lag(funding_rate) OVER o AS ch, avg(funding_rate) OVER r AS m, stddev_pop(funding_rate) OVER r AS sd FROM funding
        WINDOW a AS (PARTITION BY symbol, exchange ORDER BY ts RANGE BETWEEN INTERVAL 8 HOUR PRECEDING AND CURRENT ROW),
@@ -172,17 +172,17 @@ def _(t):
         "atr_14", "volatility_percentile", "volatility_zscore", "volatility_regime")
 
 
-@query("b9_momentum_features", uses="bars", digits=5, doubles="momentum_1m momentum_1h rsi_14 stoch_k stoch_d williams_r cci roc rsi_divergence macd_line macd_signal",
+@query("b9_momentum_features", uses="bars", digits=7, doubles="momentum_1m momentum_1h rsi_14 stoch_k stoch_d williams_r cci roc rsi_divergence macd_line macd_signal",
        sql="""WITH c AS (SELECT *, close - lag(close) OVER w AS ch, (close / lag(close) OVER w - 1) * 100 AS m1, (close / lag(close, 60) OVER
        w - 1) * 100 AS m60, (close / lag(close, 12) OVER w - 1) * 100 AS roc, min(low) OVER f AS ll, max(high) OVER f AS hh, (high + low +
        close) / 3 AS tp, row_number() OVER w AS rn, list(close) OVER u AS cs FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time),
-       f AS (PARTITION BY symbol ORDER BY open_time ROWS 13 PRECEDING), u AS (PARTITION BY symbol ORDER BY open_time ROWS 400 PRECEDING)),
+       f AS (PARTITION BY symbol ORDER BY open_time ROWS 13 PRECEDING), u AS (PARTITION BY symbol ORDER BY open_time ROWS 900 PRECEDING)),
        g AS (SELECT *, avg(CASE WHEN ch > 0 THEN ch WHEN ch IS NOT NULL THEN 0 END) OVER f AS gain, avg(CASE WHEN ch < 0 THEN -ch WHEN ch IS
        NOT NULL THEN 0 END) OVER f AS loss, CASE WHEN hh > ll THEN (close - ll) / (hh - ll) * 100 ELSE 50 END AS k, list(tp) OVER t AS tps,
        list_reduce(cs, lambda a, x: x * (2e0 / 13) + a * (11e0 / 13)) - list_reduce(cs, lambda a, x: x * (2e0 / 27) + a * (25e0 / 27)) AS
        macd FROM c WINDOW f AS (PARTITION BY symbol ORDER BY open_time ROWS 14 PRECEDING), t AS (PARTITION BY symbol ORDER BY open_time ROWS
        19 PRECEDING)), h AS (SELECT *, CASE WHEN loss > 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, list_avg(tps) AS tm, list(macd) OVER
-       (PARTITION BY symbol ORDER BY open_time ROWS 400 PRECEDING) AS ms FROM g), d AS (SELECT *, list_avg([abs(x - tm) for x in tps]) AS dev
+       (PARTITION BY symbol ORDER BY open_time ROWS 900 PRECEDING) AS ms FROM g), d AS (SELECT *, list_avg([abs(x - tm) for x in tps]) AS dev
        FROM h) SELECT symbol, open_time, m1 AS momentum_1m, m60 AS momentum_1h, rsi AS rsi_14, k AS stoch_k, avg(k) OVER (PARTITION BY symbol
        ORDER BY open_time ROWS 2 PRECEDING) AS stoch_d, CASE WHEN hh > ll THEN (hh - close) / (hh - ll) * -100 ELSE -50 END AS williams_r,
        CASE WHEN dev > 1e-12 THEN (tp - tm) / (0.015 * dev) ELSE 0 END AS cci, roc, CASE WHEN rn >= 14 THEN coalesce(-corr(rsi, close) OVER

@@ -15,7 +15,7 @@ def safe_div(a: Column, b: Column, default: float | None = 0.0) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def normalize(x: Column, low: Column, high: Column) -> Column:
