@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("basics", "joins", "aggregates", "windows", "features", "institutional", "composites", "layers")
+_MODULES = ("basics", "joins", "aggregates", "windows", "features", "institutional", "composites", "layers", "series", "streaming")
 
 
 def _load():
