@@ -90,8 +90,12 @@ def binary_segmentation(x: np.ndarray, least: int = 10, penalty: float = 3.0) ->
     return sorted(found)
 
 
-def bocpd(x: np.ndarray, hazard: float = 0.01, mu0: float = 0.0, kappa0: float = 1.0, alpha0: float = 1.0, beta0: float = 1.0) -> np.ndarray:
-    """Probability of run length zero after each point (normal data, unknown mean and variance)."""
+def bocpd(x: np.ndarray, hazard: float = 0.01, short: int = 10, mu0: float = 0.0, kappa0: float = 1.0, alpha0: float = 1.0,
+          beta0: float = 1.0) -> np.ndarray:
+    """Probability after each point that the current run is at most ``short`` points old (normal data, unknown mean and variance).
+
+    The mass of run length zero alone always equals the hazard, so it cannot mark a change.
+    """
     run = np.array([1.0])
     mu, kappa, alpha, beta = (np.array([v]) for v in (mu0, kappa0, alpha0, beta0))
     lg = np.array([math.lgamma(alpha0 + 0.5 + 0.5 * i) - math.lgamma(alpha0 + 0.5 * i) for i in range(len(x) + 1)])
@@ -103,7 +107,7 @@ def bocpd(x: np.ndarray, hazard: float = 0.01, mu0: float = 0.0, kappa0: float =
         grown = run * p
         run = np.concatenate([[hazard * grown.sum()], grown * (1 - hazard)])
         run /= run.sum() + 1e-10
-        out[t] = run[0]
+        out[t] = run[:short + 1].sum() if t > short else 0.0
         beta = np.concatenate([[beta0], beta + 0.5 * kappa * (v - mu) ** 2 / (kappa + 1)])
         mu = np.concatenate([[mu0], (kappa * mu + v) / (kappa + 1)])
         kappa, alpha = np.concatenate([[kappa0], kappa + 1]), np.concatenate([[alpha0], alpha + 0.5])
@@ -170,11 +174,11 @@ def changepoints_binseg(df: DataFrame, keys, every: str, least: int = 10, penalt
 
 
 def changepoints_bocpd(df: DataFrame, keys, every: str, hazard: float = 0.01, threshold: float = 0.5, **kw) -> DataFrame:
-    """Change probability of every grid point (standardized values) and the flag above ``threshold``."""
+    """Probability of a recent change at every grid point (standardized values); the flag marks where it rises past ``threshold``."""
     def fn(t, x):
         sd = x.std()
         p = bocpd((x - x.mean()) / sd if sd > 0 else x * 0.0, hazard)
-        return {"ts": t, "probability": p, "is_change": (p > threshold) & (np.arange(len(x)) > 0)}
+        return {"ts": t, "probability": p, "is_change": (p > threshold) & (np.concatenate([[0.0], p[:-1]]) <= threshold)}
     return on_grid(df, keys, every, fn, "ts timestamp_ntz, probability double, is_change boolean", **kw)
 
 

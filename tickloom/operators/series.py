@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from tickloom.session import pin
 
 CHUNK, HALO, HOT = "_chunk", "_halo", "_hot"
+_SERIAL = count()
 DEFAULT_MAX_ROWS = 2_000_000
 MAX_CHUNKS = 10_000          # bound of every table of cut points and carries
 MAX_BROADCAST_ROWS = 200_000
@@ -55,13 +57,14 @@ class SeriesPlan:
 
     def assign(self, df: DataFrame, shift: Column | None = None) -> DataFrame:
         """Add the chunk number of each row (0 for series that are not cut)."""
-        joined = df.join(F.broadcast(self.cuts), _same_keys(df, self.cuts, self.keys), "left")
+        tag = f"_{next(_SERIAL)}"          # fresh names: a lineage may pass here several times
+        cuts = self.cuts.toDF(*[c + tag for c in self.cuts.columns])
         pos = position(df, self.order[0])
         if shift is not None:
             pos = pos + shift
-        return joined.select(*[df[c] for c in df.columns],
-                             F.coalesce(_count_cuts(self.cuts["_cuts"], pos), F.lit(0)).alias(CHUNK),
-                             self.cuts["_cuts"].isNotNull().alias(HOT))
+        found = F.col("_cuts" + tag)
+        joined = df.join(F.broadcast(cuts), _same_keys(self.keys, tag), "left")
+        return joined.select(*df.columns, F.coalesce(_count_cuts(found, pos), F.lit(0)).alias(CHUNK), found.isNotNull().alias(HOT))
 
 
 def position(df: DataFrame, name: str) -> Column:
@@ -77,8 +80,9 @@ def position(df: DataFrame, name: str) -> Column:
         else F.col(name).cast("long")
 
 
-def _same_keys(a: DataFrame, b: DataFrame, keys) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys)], F.lit(True))
+def _same_keys(keys, tag: str = "") -> Column:
+    """Null-safe equality of key columns with the columns _k0, _k1, ... of a small table."""
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}{tag}")) for i, k in enumerate(keys)], F.lit(True))
 
 
 def _count_cuts(cuts: Column, pos: Column) -> Column:
@@ -104,7 +108,7 @@ def plan_series(df: DataFrame, keys, order, depth: int = 0) -> SeriesPlan:
     hot = spark.createDataFrame([tuple(r[k] for k in keys) + (r["n"],) for r in counts],
                                 T.StructType([*kfields, T.StructField("_n", T.LongType())]))
     base = df.select(*keys, position(df, order[0]).alias("_pos"))
-    hot_rows = base.join(F.broadcast(hot), _same_keys(base, hot, keys), "inner")
+    hot_rows = base.join(F.broadcast(hot), _same_keys(keys), "inner")
     probs = [i / pieces for i in range(1, pieces)]
     names = [f"_k{i}" for i in range(len(keys))]
     found = (hot_rows.groupBy(*names).agg(
@@ -113,7 +117,7 @@ def plan_series(df: DataFrame, keys, order, depth: int = 0) -> SeriesPlan:
     pos_type = T.ArrayType(hot_rows.schema["_pos"].dataType)
     rough = spark.createDataFrame([(*k, v) for k, v in grid.items()],
                                   T.StructType([*kfields, T.StructField("_cuts", pos_type)]))
-    placed = base.join(F.broadcast(rough), _same_keys(base, rough, keys), "inner")
+    placed = base.join(F.broadcast(rough), _same_keys(keys), "inner")
     sizes = (placed.select(*names, _count_cuts(F.col("_cuts"), F.col("_pos")).alias(CHUNK))
              .groupBy(*names, CHUNK).count().collect())
     filled: dict[tuple, dict[int, int]] = {}
@@ -153,8 +157,8 @@ def bounded(df: DataFrame, plan: SeriesPlan, depth: int, body: Callable[[DataFra
     halos = []
     for rows, step, desc in ((depth, 1, True), (ahead, -1, False)):
         if rows:
-            halos.append(placed.where(HOT).withColumn("_r", F.row_number().over(plan.window(descending=desc)))
-                         .where(F.col("_r") <= rows).drop("_r")
+            halos.append(placed.where(HOT).withColumn("_place", F.row_number().over(plan.window(descending=desc)))
+                         .where(F.col("_place") <= rows).drop("_place")
                          .withColumn(CHUNK, F.col(CHUNK) + step).withColumn(HALO, F.lit(True)))
     full = reduce(DataFrame.unionByName, halos, placed.withColumn(HALO, F.lit(False)))
     return body(full, plan).where(~F.col(HALO)).drop(HALO, CHUNK, HOT)
@@ -197,37 +201,43 @@ def running(df: DataFrame, plan: SeriesPlan, specs: dict[str, tuple[str, str]])
                        *[merge[kind](F.col(f"_v_{out}")).over(before).alias(f"_c_{out}")
                          for out, (kind, c) in specs.items()])
     w = plan.window().rowsBetween(*span)
-    local = placed.withColumns({out: _RUN[kind](F.col(c)).over(w) for out, (kind, c) in specs.items()})
+    local = placed.withColumns({f"_o_{out}": _RUN[kind](F.col(c)).over(w) for out, (kind, c) in specs.items()})
     # at most MAX_CHUNKS cut points exist, hence at most 2 * MAX_CHUNKS carry rows
-    on = _same_keys(local, carry, plan.keys) & (local[CHUNK] == carry["_kc"])
-    joined = local.join(F.broadcast(carry), on, "left")
+    joined = local.join(F.broadcast(carry), _same_keys(plan.keys) & (F.col(CHUNK) == F.col("_kc")), "left")
     out_cols = {}
     for out, (kind, _) in specs.items():
-        mine, prev = local[out], carry[f"_c_{out}"]
+        mine, prev = F.col(f"_o_{out}"), F.col(f"_c_{out}")
         out_cols[out] = {
             "sum": lambda: F.coalesce(mine + prev, mine, prev), "count": lambda: mine + F.coalesce(prev, F.lit(0)),
             "min": lambda: F.least(mine, prev), "max": lambda: F.greatest(mine, prev),
             "last": lambda: F.coalesce(mine, prev), "first": lambda: F.coalesce(prev, mine)}[kind]()
-    return joined.select(*[local[c] for c in df.columns if c not in specs],
-                         *[c.alias(o) for o, c in out_cols.items()])
+    return joined.select(*[c for c in df.columns if c not in specs], *[c.alias(o) for o, c in out_cols.items()])
 
 
-def attach(df: DataFrame, stats: DataFrame, keys, salts: int = 64, how: str = "inner") -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join per-key statistics back to rows.
 
-    The statistics are computed once; up to ``MAX_BROADCAST_ROWS`` rows of them are broadcast, more
-    are joined by shuffle with the keys salted so that a hot key spreads over ``salts`` tasks.
+    The statistics are computed once. Up to ``MAX_BROADCAST_ROWS`` rows of them are broadcast. Beyond
+    that only the keys with more rows than the series limit (at most ``MAX_CHUNKS``) are broadcast, so
+    a hot key never meets the shuffle, and the other keys are joined by shuffle.
     """
     keys = list(keys)
     if not keys:      # one row of totals becomes constants
         row = stats.first()
         return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in stats.schema.fields})
     stats = pin(stats)
-    if stats.count() <= MAX_BROADCAST_ROWS:
+    if stats.count() <= broadcast_rows(df):
         return df.join(F.broadcast(stats), keys, how)
-    spread = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    limit = max_rows(df)
+    hot = pin(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+              .orderBy(F.col("_n").desc()).limit(MAX_CHUNKS).select(*keys))
+    few = F.broadcast(stats.join(F.broadcast(hot), keys, "left_semi"))
+    heavy = df.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return heavy.unionByName(df.join(F.broadcast(hot), keys, "left_anti").join(stats, keys, how))
+
+
+def broadcast_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("tickloom.broadcast.maxRows", str(MAX_BROADCAST_ROWS)))
 
 
 def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float]) -> DataFrame:

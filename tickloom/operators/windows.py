@@ -77,15 +77,20 @@ def buffer_stats(df: DataFrame, keys, order, col: str, n: int = 100, periods: in
     return bounded(df, plan, n, body)
 
 
-def ewma(df: DataFrame, keys, order, cols: dict[str, tuple[str, int]], digits: int = 16) -> DataFrame:
+def ewma_depth(spans, digits: int = 16) -> int:
+    """Rows after which an earlier value weighs less than 10^-digits."""
+    return max(math.ceil(digits * math.log(10) / -math.log1p(-2 / (s + 1))) for s in spans)
+
+
+def ewma(df: DataFrame, keys, order, cols: dict[str, tuple[str, int]], digits: int = 16, plan: SeriesPlan | None = None) -> DataFrame:
     """Exponential averages ``{out: (column, span)}`` seeded with the first value of the series.
 
     Each group of rows is handled by Arrow batches. A hot series is cut, and every piece starts from
     as many earlier rows as still weigh more than 10^-digits.
     """
     alpha = {o: 2 / (span + 1) for o, (_, span) in cols.items()}
-    depth = max(math.ceil(digits * math.log(10) / -math.log1p(-a)) for a in alpha.values())
-    plan = plan_series(df, keys, order, depth=depth)
+    depth = ewma_depth([span for _, span in cols.values()], digits)
+    plan = plan or plan_series(df, keys, order, depth=depth)
 
     def body(d, p):
         schema = T.StructType([*d.schema.fields, *[T.StructField(o, T.DoubleType()) for o in cols]])

@@ -11,7 +11,7 @@ from tickloom.functions.columns import bucket, clip, depth_n, fold, imbalance, s
 from tickloom.operators.aggregates import count_if, sum_if
 from tickloom.operators.joins import asof_many, exchange_pairs
 from tickloom.operators.series import attach, bounded, plan_series
-from tickloom.operators.windows import ewma, latest_per, pct_rank_in, rows, time_sums, velocity, z_in
+from tickloom.operators.windows import ewma, ewma_depth, latest_per, pct_rank_in, rows, time_sums, velocity, z_in
 
 C = F.col
 KEYS = ("symbol", "exchange")
@@ -251,7 +251,7 @@ def momentum_features(candles: DataFrame, by=("symbol",), ts: str = "open_time",
                       bars={"1m": 1, "5m": 5, "15m": 15, "1h": 60, "4h": 240, "24h": 1440}) -> DataFrame:
     """Returns over several horizons, RSI, MACD(12, 26, 9), stochastic, Williams %R, CCI(20) and ROC(12)."""
     depth = max(max(bars.values()), 40) + 1
-    plan = plan_series(candles, by, [ts], depth=depth)
+    plan = plan_series(candles, by, [ts], depth=max(depth, ewma_depth([12, 26, 9])))     # one plan for all passes
 
     def body(d, p):
         w = p.window()
@@ -279,8 +279,8 @@ def momentum_features(candles: DataFrame, by=("symbol",), ts: str = "open_time",
                            "rsi_divergence": neg_corr("rsi_14", "close", f14, 14)})
         return d.drop("_g", "_l", "_tp", "_ll", "_hh", "_tps")
     out = bounded(candles, plan, depth, body)
-    out = ewma(out, by, [ts], {"_fast": ("close", 12), "_slow": ("close", 26)})
-    out = ewma(out.withColumn("macd_line", C("_fast") - C("_slow")), by, [ts], {"macd_signal": ("macd_line", 9)})
+    out = ewma(out, by, [ts], {"_fast": ("close", 12), "_slow": ("close", 26)}, plan=plan)
+    out = ewma(out.withColumn("macd_line", C("_fast") - C("_slow")), by, [ts], {"macd_signal": ("macd_line", 9)}, plan=plan)
     return out.withColumn("macd_histogram", C("macd_line") - C("macd_signal")).drop("_fast", "_slow")
 
 
