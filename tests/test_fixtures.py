@@ -181,11 +181,13 @@ def test_kendall_counts_match_pairs():
 
 def test_signal_weights_and_missing_inputs(spark):
     df = frame(spark, [(1, (0.5,), (0.4, 0.2))], "id int, orderbook struct<absorption_ratio:double>, trades struct<flow_toxicity:double,cvd_price_divergence:double>")
-    s = only(df.select(P.smart_money_index(P.Feed(df)).alias("s")))["s"]
+    f = P.Feed(df)
+    s = only(f.finish(s=P.smart_money_index(f)))["s"]
     # whale activity counts as 0 when nothing is known of it, as a known part
     assert s["value"] == pytest.approx(0.5 * 0.25 + 0.0 * 0.3 + 0.4 * 0.2 + 0.2 * 0.25) and s["confidence"] == 1.0
     none = frame(spark, [(1, (None,))], "id int, orderbook struct<absorption_ratio:double>")
-    assert only(none.select(P.squeeze_probability(P.Feed(none)).alias("s")))["s"] is None
+    f = P.Feed(none)
+    assert only(f.finish(s=P.squeeze_probability(f)))["s"] is None
     for w in (P.SMART_MONEY, P.SQUEEZE, P.MARKET_MAKER, P.CASCADE, B.SIGNAL_WEIGHTS):
         assert sum(w.values()) == pytest.approx(1.0)
 

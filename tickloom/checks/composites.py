@@ -49,8 +49,8 @@ def cache(t):
 
 
 def one(t, fn):
-    df = cache(t)
-    return df.select("event_id", fn(P.Feed(df)).alias("s")).where("s IS NOT NULL").select("event_id", "s.*").drop("components")
+    f = P.Feed(cache(t))
+    return f.finish(s=fn(f)).select("event_id", "s").where("s IS NOT NULL").select("event_id", "s.*").drop("components")
 
 
 def wavg(weights=None, **parts):

@@ -214,7 +214,7 @@ def _(t):
     return B.signals(f).select("event_id", "trend_signal", "composite_score", "signal_confidence", "market_regime", "bias")
 
 
-@query("b11_cross_exchange_features", uses="prices funding trades oi", digits=10, doubles="click_view_spread max_price_spread avg_price_spread funding_spread_max funding_spread_avg click_volume_share view_oi_share exchange_flow_divergence",
+@query("b11_cross_exchange_features", uses="prices funding trades oi", digits=7, doubles="click_view_spread max_price_spread avg_price_spread funding_spread_max funding_spread_avg click_volume_share view_oi_share exchange_flow_divergence",
        sql="""WITH p AS (SELECT symbol, time_bucket(INTERVAL '6 hours', ts) AS bucket, exchange, arg_max(mid_price, ts) AS price FROM prices
        GROUP BY 1, 2, 3), a AS (SELECT symbol, bucket, (max(price) FILTER (exchange = 'view') - max(price) FILTER (exchange = 'click')) /
        max(price) FILTER (exchange = 'click') * 100 AS click_view_spread, (max(price) - min(price)) / min(price) * 100 AS max_price_spread,

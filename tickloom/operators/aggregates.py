@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import bucket, safe_corr, safe_div
 from tickloom.operators.joins import oi_price_join
-from tickloom.operators.series import attach, bounded, order_value, plan_series, quantiles, running
+from tickloom.operators.series import attach, bounded, bucket_plan, order_value, plan_series, quantiles, running
 
 C = F.col
 
@@ -258,7 +258,7 @@ def oi_price_divergence(oi: DataFrame, prices: DataFrame, by=("symbol", "exchang
     hour = (minute.groupBy(*by, F.date_trunc("hour", "minute").cast(minute.schema["minute"].dataType).alias("hour"))
             .agg((F.sum(C("avg_oi") * C("pairs")) / F.sum("pairs")).alias("avg_oi"),
                  (F.sum(C("avg_price") * C("pairs")) / F.sum("pairs")).alias("avg_price")))
-    plan = plan_series(hour, by, ["hour"], depth=1)
+    plan = bucket_plan(hour, by, ["hour"], "1 hour", depth=1)
 
     def change(d, p):
         def pct(c):

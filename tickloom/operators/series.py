@@ -131,6 +131,23 @@ def plan_series(df: DataFrame, keys, order, depth: int = 0) -> SeriesPlan:
     return SeriesPlan(keys, order, cuts)
 
 
+# Seconds per unit of a bucket width.
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def bucket_plan(df: DataFrame, keys, order, every: str | None, depth: int = 0) -> SeriesPlan:
+    """Plan for series that hold one row per time bucket.
+
+    With buckets of a minute or more the length of a series is bounded by time (half a million rows a
+    year), so no pass over the data is needed to know that no series is hot.
+    """
+    if every is not None:
+        n, unit = every.split()
+        if float(n) * UNIT_SECONDS[unit.rstrip("s")] >= 60:
+            return SeriesPlan(tuple(keys), tuple(order))
+    return plan_series(df, keys, order, depth)
+
+
 def _merge(cuts: list, sizes: list[int], least: int) -> list:
     """Drop cut points until every chunk holds at least ``least`` rows."""
     kept, acc = [], 0
@@ -249,7 +266,8 @@ def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float]) -> DataFra
     keys = list(keys)
     plan = plan_series(df, keys, [col])
     if not plan.hot:
-        return df.groupBy(*keys).agg(*[F.percentile(col, p).alias(n) for n, p in probs.items()])
+        got = df.groupBy(*keys).agg(F.percentile(col, list(probs.values())).alias("_q"))
+        return got.select(*keys, *[F.get("_q", i).alias(n) for i, n in enumerate(probs)])
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, plan_series(counts, keys, [col]), {"_cum": ("sum", "_n")})
     total = counts.groupBy(*keys).agg((F.sum("_n") - 1).cast("double").alias("_last"))
@@ -265,6 +283,9 @@ def quantiles(df: DataFrame, keys, col: str, probs: dict[str, float]) -> DataFra
 def order_value(df: DataFrame, keys, col: str, out: str, index: Callable[[Column], Column]) -> DataFrame:
     """Per key, the value at 0-based ascending position ``index(n)`` of its n non-null values."""
     keys = list(keys)
+    if not plan_series(df, keys, [col]).hot:      # at most the series limit of values per key
+        got = df.groupBy(*keys).agg(F.sort_array(F.collect_list(col)).alias("_v"))
+        return got.select(*keys, F.get("_v", index(F.size("_v")).cast("int")).alias(out))
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, plan_series(counts, keys, [col]), {"_cum": ("sum", "_n")})
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
@@ -273,12 +294,12 @@ def order_value(df: DataFrame, keys, col: str, out: str, index: Callable[[Column
 
 
 def islands(df: DataFrame, keys, order, starts: Callable[[Callable[[str], Column]], Column],
-            out: str = "island") -> DataFrame:
+            out: str = "island", every: str | None = None) -> DataFrame:
     """Number the runs of each series; ``starts(prev)`` says whether a row opens a new run.
 
     ``prev(name)`` is the previous row's value of a column (NULL on the first row).
     """
-    plan = plan_series(df, keys, order, depth=1)
+    plan = bucket_plan(df, keys, order, every, depth=1)
 
     def flag(d: DataFrame, p: SeriesPlan) -> DataFrame:
         w = p.window()

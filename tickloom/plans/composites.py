@@ -7,7 +7,7 @@ struct ``(value, confidence, components, <labels>)``, NULL when too few componen
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Generator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,12 +19,19 @@ from tickloom.operators.series import bounded, plan_series, running
 from tickloom.operators.windows import rows
 
 C = F.col
+Signal = Generator[dict[str, Column], dict[str, Column], Column]
 
 
 class Feed:
-    """Access to stream fields, with a default where stream, field or value is missing."""
+    """Access to stream fields, with a default where stream, field or value is missing.
+
+    A signal is a generator: it yields expressions it uses several times, gets them back as columns,
+    and returns its struct. ``finish`` runs the signals side by side, one projection per step for all
+    of them, so every expression is computed once and the plan stays shallow.
+    """
 
     def __init__(self, df: DataFrame):
+        self.df = df
         self.fields = {f.name: set(f.dataType.fieldNames()) for f in df.schema.fields
                        if isinstance(f.dataType, T.StructType)}
 
@@ -35,6 +42,25 @@ class Feed:
             return C(name) if has else F.lit(None).cast("double")
         return F.coalesce(C(name), F.lit(default)) if has else F.lit(default)
 
+    def finish(self, **signals) -> DataFrame:
+        df, made, done = self.df, [], {}
+        replies = dict.fromkeys(signals)
+        while replies:
+            layer, answers = {}, {}
+            for name, reply in replies.items():
+                try:
+                    asked = signals[name].send(reply)
+                except StopIteration as end:
+                    done[name] = end.value
+                    continue
+                names = {k: f"_{name}_{len(made)}_{k}" for k in asked}
+                layer |= {names[k]: c for k, c in asked.items()}
+                answers[name] = {k: C(n) for k, n in names.items()}
+            df = df.withColumns(layer) if layer else df
+            made += layer
+            replies = answers
+        return df.withColumns(done).drop(*made)
+
 
 def up_to_one(x: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(1.0), x))
@@ -76,46 +102,51 @@ MARKET_MAKER = {"wall_activity": 0.30, "spread_manipulation": 0.25, "quote_stuff
 CASCADE = {"liquidation_cluster": 0.35, "leverage_stress": 0.30, "thin_liquidity": 0.20, "funding_pressure": 0.15}
 
 
-def smart_money_index(f: Feed) -> Column:
+def smart_money_index(f: Feed) -> Signal:
     parts = {"orderbook_absorption": up_to_one(f("orderbook.absorption_ratio")),
              "whale_activity": up_to_one(f("trades.whale_volume_ratio", 0.0) * 2 + flag(f("trades.whale_trade_detected", False), 0.3)),
              "flow_toxicity": f("trades.flow_toxicity"), "cvd_divergence": F.abs(f("trades.cvd_price_divergence"))}
+    parts = yield parts
     return signal(blend(parts, SMART_MONEY), parts, 2)
 
 
-def squeeze_probability(f: Feed) -> Column:
+def squeeze_probability(f: Feed) -> Signal:
     parts = {"funding_extreme": up_to_one(F.abs(f("funding.funding_zscore")) / 3),
              "oi_leverage": up_to_one(F.abs(f("oi.leverage_zscore")) / 2),
              "crowding": f("oi.position_crowding_score"),
              "price_compression": at_least_zero(-f("prices.spread_zscore") / 2)}
+    parts = yield parts
     return signal(up_to_one(blend(parts, SQUEEZE)), parts, 2)
 
 
-def stop_hunt_probability(f: Feed) -> Column:
+def stop_hunt_probability(f: Feed) -> Signal:
     wall = flag(f("orderbook.pull_wall_detected", False), 0.5) + flag(f("orderbook.push_wall_detected", False), 0.3)
     parts = {"wall_manipulation": F.when(wall > 0, wall),
              "spoofing_indicator": at_least_zero(1 - f("orderbook.add_cancel_ratio")),
              "efficiency_degradation": at_least_zero(1 - f("prices.price_efficiency")),
              "sweep_detected": F.when(f("trades.sweep_detected", False), 0.8)}
+    parts = yield parts
     return signal(up_to_one(blend(parts)), parts, 1)
 
 
-def momentum_quality(f: Feed) -> Column:
+def momentum_quality(f: Feed) -> Signal:
     parts = {"cvd_confirmation": 0.5 + clip(f("trades.cvd_slope") * 10, -0.5, 0.5),
              "oi_confirmation": 0.5 + f("oi.position_intent_score") * 0.5,
              "funding_alignment": 0.5 + f("funding.funding_regime_score") * 0.25,
              "orderbook_support": 0.5 + f("orderbook.depth_imbalance_5") * 0.5}
+    parts = yield parts
     return signal(clip(blend(parts), 0.0, 1.0), parts, 2)
 
 
-def composite_risk(f: Feed, squeeze: Column, stop_hunt: Column) -> Column:
+def composite_risk(f: Feed, squeeze: Column, stop_hunt: Column) -> Signal:
     """``squeeze`` and ``stop_hunt`` are the newest values of those signals."""
     parts = {"cascade_risk": f("oi.liquidation_cascade_risk"), "squeeze_risk": squeeze, "stop_hunt_risk": stop_hunt,
              "volatility_regime": F.abs(f("prices.hurst_exponent") - 0.5) * 2}
+    parts = yield parts
     return signal(clip(blend(parts), 0.0, 1.0), parts, 1)
 
 
-def market_maker_activity(f: Feed) -> Column:
+def market_maker_activity(f: Feed) -> Signal:
     moved = f("orderbook.pull_wall_detected", False) | f("orderbook.push_wall_detected", False)
     stands = f("orderbook.bid_wall_detected", False) | f("orderbook.ask_wall_detected", False)
     wall = flag(moved, 0.4) + flag(stands, 0.3)
@@ -125,13 +156,14 @@ def market_maker_activity(f: Feed) -> Column:
                                               + F.abs(f("prices.spread_compression_velocity", 0.0)) * 0.5),
              "quote_stuffing": at_least_zero(1 - f("orderbook.add_cancel_ratio")),
              "inventory_signal": F.when((d5 != 0) | (d10 != 0), up_to_one(F.abs(d5 - d10) * 2))}
-    v = blend(parts, MARKET_MAKER)
+    parts = yield parts
+    v = (yield {"v": blend(parts, MARKET_MAKER)})["v"]
     return signal(up_to_one(v), parts, 2,
                   activity_type=F.when(v > 0.7, "aggressive").when(v > 0.3, "passive").otherwise("neutral"),
                   inventory_bias=F.when(d5 > 0.2, "long").when(d5 < -0.2, "short").otherwise("balanced"))
 
 
-def cascade_risk(f: Feed) -> Column:
+def cascade_risk(f: Feed) -> Signal:
     cluster, prob = f("liquidations.liquidation_cluster_detected", False), f("liquidations.cascade_probability", 0.0)
     lev, levz = f("oi.leverage_index", 1.0), f("oi.leverage_zscore", 0.0)
     keep, imb = f("orderbook.liquidity_persistence_score", 0.5), F.abs(f("orderbook.depth_imbalance_10", 0.0))
@@ -143,7 +175,8 @@ def cascade_risk(f: Feed) -> Column:
             (lev - 1) * 0.5 + F.abs(levz) * 0.3 + f("oi.liquidation_cascade_risk", 0.0) * 0.5)),
         "thin_liquidity": F.when((keep < 0.5) | (imb > 0.3), up_to_one((1 - keep) * 0.5 + imb)),
         "funding_pressure": F.when((fz > 1) | odd, up_to_one(fz / 3 + flag(odd, 0.3)))}
-    v = blend(parts, CASCADE)
+    parts = yield parts
+    v = (yield {"v": blend(parts, CASCADE)})["v"]
     liq = f("liquidations.liquidation_imbalance", 0.0)
     return signal(up_to_one(v), parts, 2,
                   severity=F.when(v >= 0.8, "CRITICAL").when(v >= 0.6, "HIGH").when(v >= 0.4, "MEDIUM").otherwise("LOW"),
@@ -159,7 +192,7 @@ def _two_sides(votes: list[tuple[Column, Column, Column, float]]) -> tuple[Colum
     return side(0), side(1)
 
 
-def institutional_phase(f: Feed) -> Column:
+def institutional_phase(f: Feed) -> Signal:
     whale, ratio, berg = f("trades.whale_trade_detected", False), f("trades.whale_volume_ratio", 0.0), f("trades.iceberg_detected", False)
     raw_whale = F.when(whale | (ratio > 0.1) | berg, ratio * 2 + flag(whale, 0.3) + flag(berg, 0.4))
     absorb = f("orderbook.absorption_ratio", 0.0)
@@ -169,12 +202,13 @@ def institutional_phase(f: Feed) -> Column:
     dev = f("prices.price_vs_vwap") / 100
     vwap = up_to_one(F.abs(dev) * 10)
     parts = {"whale_activity": up_to_one(raw_whale), "absorption_pattern": up_to_one(raw_absorb), "oi_building": oi, "vwap_signal": vwap}
+    parts = yield parts
     rising, imb = f("trades.cvd_slope", 0.0) > 0, f("orderbook.depth_imbalance_5", 0.0)
-    acc, dist = _two_sides([
+    acc, dist = (yield dict(zip(("left", "right"), _two_sides([
         (rising, ~rising, raw_whale, 0.5), (imb > 0.1, imb < -0.1, raw_absorb, 0.4),
         (intent.isin("long_accumulation", "short_covering", "short_liquidation"),
          intent.isin("short_accumulation", "long_liquidation"), oi, 0.4),
-        (dev < 0, dev >= 0, vwap, 0.3)])
+        (dev < 0, dev >= 0, vwap, 0.3)])))).values()
     total = acc + dist
     phase = (F.when(total == 0, "NEUTRAL").when(acc > dist * 1.5, "ACCUMULATION").when(dist > acc * 1.5, "DISTRIBUTION")
              .otherwise("NEUTRAL"))
@@ -184,7 +218,7 @@ def institutional_phase(f: Feed) -> Column:
     return signal(up_to_one(F.greatest(acc, dist)), parts, 2, phase=phase, intensity=strength, price_target_direction=target)
 
 
-def volatility_breakout(f: Feed) -> Column:
+def volatility_breakout(f: Feed) -> Signal:
     comp, ratio = f("ticker.volatility_compression_idx", 0.0), f("ticker.range_vs_atr", 1.0)
     grad, keep = f("orderbook.liquidity_gradient", 1.0), f("orderbook.liquidity_persistence_score", 0.5)
     fz, clus = f("funding.funding_zscore", 0.0), f("trades.trade_clustering_index", 0.0)
@@ -193,7 +227,8 @@ def volatility_breakout(f: Feed) -> Column:
              "liquidity_thinning": F.when((grad > 1.2) | (keep < 0.4), up_to_one((grad - 1) * 0.5 + (1 - keep) * 0.5)),
              "funding_stress": F.when(stressed, up_to_one(F.abs(fz) / 3)),
              "trade_concentration": F.when(packed, up_to_one(clus))}
-    v = blend(parts)
+    parts = yield parts
+    v = (yield {"v": blend(parts)})["v"]
     lean = (F.when(stressed, -fz * 0.3).otherwise(0.0)
             + F.when(packed, f("trades.cvd_slope", 0.0) * 2 + f("trades.aggressive_delta", 0.0) * 0.5).otherwise(0.0)
             + f("oi.oi_delta_pct", 0.0) * 0.3)
@@ -201,7 +236,7 @@ def volatility_breakout(f: Feed) -> Column:
                   expected_magnitude_pct=v * 3, timeframe_hours=F.when(v > 0.7, 4).when(v > 0.5, 12).otherwise(24))
 
 
-def mean_reversion(f: Feed) -> Column:
+def mean_reversion(f: Feed) -> Signal:
     z, hurst = f("prices.mid_zscore"), f("prices.hurst_exponent", 0.5)
     far = F.abs(z) > 1.5
     extreme = F.when(far, up_to_one(F.abs(z) / 3))
@@ -214,18 +249,20 @@ def mean_reversion(f: Feed) -> Column:
     cvd = F.when(F.abs(div) > 0.3, F.abs(div))
     counted = {"price_extremity": extreme, "funding_extreme": up_to_one(fund), "basis_dislocation": up_to_one(basis),
                "cvd_divergence": up_to_one(cvd)}
+    counted = yield counted
     parts = {**counted, "mean_reverting_tendency": F.when(far & (hurst < 0.5), 1 - hurst * 2)}
-    low, high = _two_sides([(z < -1.5, z > 1.5, extreme, 0.5), (~hot & cold, hot, fund, 0.3), (bz < -2, bz > 2, basis, 0.3),
-                            (div < -0.3, div > 0.3, cvd, 0.3)])
+    parts = yield parts
+    low, high = (yield dict(zip(("left", "right"), _two_sides([(z < -1.5, z > 1.5, extreme, 0.5), (~hot & cold, hot, fund, 0.3), (bz < -2, bz > 2, basis, 0.3),
+                            (div < -0.3, div > 0.3, cvd, 0.3)])))).values()
     down, up = low > high * 1.3, high > low * 1.3
-    v = F.greatest(low, high)
+    v = (yield {"v": F.greatest(low, high)})["v"]
     return signal(up_to_one(v), parts, 2, counted=counted,
                   signal=F.when(down, "OVERSOLD").when(up, "OVERBOUGHT").otherwise("NEUTRAL"),
                   strength=F.when(down, low / (low + high + 0.001)).when(up, high / (low + high + 0.001)).otherwise(0.0),
                   expected_reversion_pct=v * 2)
 
 
-def momentum_exhaustion(f: Feed, weakening: Column) -> Column:
+def momentum_exhaustion(f: Feed, weakening: Column) -> Signal:
     """``weakening``: how far the momentum quality of the last five updates fell below the five before."""
     slope, delta = f("trades.cvd_slope", 0.0), f("trades.aggressive_delta", 0.0)
     loss = F.when((F.abs(slope) < 0.01) | (weakening > 0.1),
@@ -238,16 +275,17 @@ def momentum_exhaustion(f: Feed, weakening: Column) -> Column:
     turn = F.when((F.abs(fz) > 2) & (F.abs(fm) > 0), F.when(falling | rising, 0.7).otherwise(0.3))
     parts = {"cvd_momentum_loss": up_to_one(loss), "oi_divergence": up_to_one(div),
              "liquidation_exhaustion": F.when(spent, 0.8), "funding_reversal": turn}
-    bull, bear = _two_sides([
+    parts = yield parts
+    bull, bear = (yield dict(zip(("left", "right"), _two_sides([
         (delta > 0, delta <= 0, loss, 0.4),
         (intent.isin("long_liquidation", "short_covering", "short_liquidation"), intent.isin("short_accumulation", "long_accumulation"), div, 0.3),
-        (spent & (liq < -0.3), spent & (liq > 0.3), F.lit(1.0), 0.5), (falling, rising, turn, 0.3)])
-    v = F.greatest(bull, bear)
+        (spent & (liq < -0.3), spent & (liq > 0.3), F.lit(1.0), 0.5), (falling, rising, turn, 0.3)])))).values()
+    v = (yield {"v": F.greatest(bull, bear)})["v"]
     return signal(up_to_one(v), parts, 2, exhaustion=v > 0.5, trend_direction=F.when(bull > bear, "bullish").otherwise("bearish"),
                   reversal_probability=v * 0.8)
 
 
-def smart_money_flow(f: Feed) -> Column:
+def smart_money_flow(f: Feed) -> Signal:
     whale, ratio = f("trades.whale_trade_detected", False), f("trades.whale_volume_ratio", 0.0)
     w = F.when(whale | (ratio > 0.05), (f("trades.buy_pressure", 0.5) - f("trades.sell_pressure", 0.5)) * ratio * 5)
     agg, slope = f("trades.aggressive_ratio", 0.5), f("trades.cvd_slope", 0.0)
@@ -258,13 +296,14 @@ def smart_money_flow(f: Feed) -> Column:
     o = F.when((F.abs(delta) > 0.5) | (F.abs(ls - 1) > 0.1),
                F.signum(delta) * F.least(F.lit(1.0), F.abs(delta) / 5) + (ls - 1) * 0.5)
     parts = {"whale_bias": w, "flow_aggressiveness": clip(a, -1.0, 1.0), "depth_bias": d, "oi_signal": clip(o, -1.0, 1.0)}
+    parts = yield parts
     flow = clip(sum((F.coalesce(x, F.lit(0.0)) * k for x, k in ((w, 0.4), (a, 0.3), (d, 0.2), (o, 0.2))), F.lit(0.0)), -1.0, 1.0)
     return signal(flow, parts, 2, direction=F.when(flow > 0.2, "BUYING").when(flow < -0.2, "SELLING").otherwise("NEUTRAL"),
                   strength=F.abs(flow),
                   volume_estimate=F.when(ratio > 0, f("ticker.volume", 0.0) * f("ticker.institutional_interest_idx", 0.5) * ratio).otherwise(0.0))
 
 
-def arbitrage_opportunity(f: Feed) -> Column:
+def arbitrage_opportunity(f: Feed) -> Signal:
     carry, ann, bz = F.abs(f("funding.funding_carry_yield", 0.0)), F.abs(f("mark_prices.annualized_basis", 0.0)), F.abs(f("mark_prices.basis_zscore", 0.0))
     has_f, has_b = carry > 0.1, (ann > 0.1) | (bz > 2)
     fund, basis = F.when(has_f, carry).otherwise(0.0), F.when(has_b, ann).otherwise(0.0)
@@ -273,7 +312,8 @@ def arbitrage_opportunity(f: Feed) -> Column:
     ex = F.greatest(F.lit(0.0), 1 - F.when(bps > 5, (bps - 5) * 0.1).otherwise(0.0) - flag(f("ticker.volume", 0.0) < 100, 0.3))
     parts = {"funding_yield": F.when(has_f, F.least(F.lit(1.0), carry / 0.5)),
              "basis_opportunity": F.when(has_b, F.least(F.lit(1.0), ann / 0.5)), "execution_feasibility": ex}
-    v = F.least(F.lit(1.0), (fund + basis) * 2) * ex
+    parts = yield parts
+    v = (yield {"v": F.least(F.lit(1.0), (fund + basis) * 2) * ex})["v"]
     kind = (F.when((fund > basis) & (fund > 0.1), "funding").when((basis > fund) & (basis > 0.1), "basis")
             .when((fund > 0.05) & (basis > 0.05), "combined").otherwise("none"))
     gain = F.when(kind == "funding", fund).when(kind == "basis", basis).when(kind == "combined", fund + basis).otherwise(0.0)
@@ -281,7 +321,7 @@ def arbitrage_opportunity(f: Feed) -> Column:
                   risk_level=F.when((ex > 0.8) & (bz < 3), "LOW").when(ex > 0.5, "MEDIUM").otherwise("HIGH"))
 
 
-def regime_transition(f: Feed, baseline: Column) -> Column:
+def regime_transition(f: Feed, baseline: Column) -> Signal:
     """``baseline``: mean smart-money index of the last ten updates (NULL before six)."""
     change, strength = f("ticker.price_change_pct", 0.0), f("ticker.market_strength", 0.5)
     now = (F.when((change > 3) & (strength > 0.6), "BULL").when((change < -3) & (strength < 0.4), "BEAR").otherwise("RANGING"))
@@ -296,16 +336,17 @@ def regime_transition(f: Feed, baseline: Column) -> Column:
     peak = F.when((lev > 1.5) | (crowd > 0.7), (lev - 1) * 0.5 + crowd * 0.5)
     parts = {"volatility_regime_change": vol, "flow_toxicity_spike": flow, "funding_divergence": up_to_one(fund),
              "leverage_cycle_extreme": up_to_one(peak)}
+    parts = yield parts
     score = sum((F.coalesce(x, F.lit(0.0)) * k for x, k in ((vol, 0.3), (flow, 0.3), (fund, 0.2), (peak, 0.2))), F.lit(0.0))
     turns = score > 0.5
     nxt = (F.when(~turns, now).when(now == "BULL", F.when(fz > 2, "BEAR").otherwise("RANGING"))
            .when(now == "BEAR", F.when(fz < -2, "BULL").otherwise("RANGING")).otherwise(F.when(strength > 0.5, "BULL").otherwise("BEAR")))
-    v = F.least(F.lit(1.0), score)
+    v = (yield {"v": F.least(F.lit(1.0), score)})["v"]
     return signal(v, parts, 2, current_regime=now, predicted_regime=nxt, transition_probability=v,
                   timeframe_hours=F.when(comp > 0.7, 6).when(score > 0.7, 12).otherwise(24))
 
 
-def execution_quality(f: Feed) -> Column:
+def execution_quality(f: Feed) -> Signal:
     depth = f("orderbook.bid_depth_10", 0.0) + f("orderbook.ask_depth_10", 0.0)
     bps, sz = f("prices.spread_bps", 10.0), f("prices.spread_zscore", 0.0)
     tight = F.greatest(F.lit(0.0), 1 - bps / 20)
@@ -313,7 +354,8 @@ def execution_quality(f: Feed) -> Column:
     parts = {"liquidity": F.when(depth > 0, F.least(F.lit(1.0), depth / 100) * 0.6 + f("orderbook.liquidity_persistence_score", 0.5) * 0.4),
              "spread_quality": F.when(sz < 0, F.least(F.lit(1.0), tight + F.abs(sz) * 0.1)).otherwise(tight), "low_impact": impact,
              "volume_conditions": F.least(F.lit(1.0), f("ticker.relative_volume_percentile", 50.0) / 100)}
-    v = blend(parts)
+    parts = yield parts
+    v = (yield {"v": blend(parts)})["v"]
     return signal(up_to_one(v), parts, 2,
                   quality=F.when(v > 0.8, "EXCELLENT").when(v > 0.6, "GOOD").when(v > 0.4, "FAIR").otherwise("POOR"),
                   slippage_estimate_bps=bps / 2 + (1 - impact) * 10,
@@ -324,13 +366,13 @@ def execution_quality(f: Feed) -> Column:
 def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event_id")) -> DataFrame:
     """The fifteen signals at every update; three of them look at the history of others."""
     f = Feed(cache)
-    base = cache.withColumns({
-        "smart_money_index": smart_money_index(f), "squeeze_probability": squeeze_probability(f),
-        "stop_hunt_probability": stop_hunt_probability(f), "momentum_quality": momentum_quality(f),
-        "market_maker_activity": market_maker_activity(f), "liquidation_cascade_risk": cascade_risk(f),
-        "institutional_phase": institutional_phase(f), "volatility_breakout": volatility_breakout(f),
-        "mean_reversion": mean_reversion(f), "smart_money_flow": smart_money_flow(f),
-        "arbitrage_opportunity": arbitrage_opportunity(f), "execution_quality": execution_quality(f)})
+    own = {"smart_money_index": smart_money_index, "squeeze_probability": squeeze_probability,
+           "stop_hunt_probability": stop_hunt_probability, "momentum_quality": momentum_quality,
+           "market_maker_activity": market_maker_activity, "liquidation_cascade_risk": cascade_risk,
+           "institutional_phase": institutional_phase, "volatility_breakout": volatility_breakout,
+           "mean_reversion": mean_reversion, "smart_money_flow": smart_money_flow,
+           "arbitrage_opportunity": arbitrage_opportunity, "execution_quality": execution_quality}
+    base = f.finish(**{name: fn(f) for name, fn in own.items()})
     base = base.withColumns({"_sq": C("squeeze_probability.value"), "_sh": C("stop_hunt_probability.value"),
                              "_mq": C("momentum_quality.value"), "_sm": C("smart_money_index.value")})
     plan = plan_series(base, by, order, depth=12)
@@ -342,10 +384,10 @@ def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event
         return d.withColumns({
             "_weak": F.when(n > 10, F.avg("_mq").over(far) - F.avg("_mq").over(near)).otherwise(0.0),
             "_base": F.when(sm >= 10, F.avg("_sm").over(ten)).when(sm > 5, 0.3)})
-    out = bounded(base, plan, 12, body)
-    return out.withColumns({
-        "composite_risk": composite_risk(f, C("_sq"), C("_sh")), "momentum_exhaustion": momentum_exhaustion(f, C("_weak")),
-        "regime_transition": regime_transition(f, C("_base"))}).drop("_sq", "_sh", "_mq", "_sm", "_weak", "_base")
+    g = Feed(bounded(base, plan, 12, body))
+    late = {"composite_risk": composite_risk(g, C("_sq"), C("_sh")), "momentum_exhaustion": momentum_exhaustion(g, C("_weak")),
+            "regime_transition": regime_transition(g, C("_base"))}
+    return g.finish(**late).drop("_sq", "_sh", "_mq", "_sm", "_weak", "_base")
 
 
 # Fixed values: (category, direction threshold, weight, inverted) of each signal.

@@ -26,14 +26,15 @@ def weighted_side(levels: Column, n: int = 5) -> tuple[Column, Column]:
     return val, qty
 
 
-def book_columns(bids: Column, asks: Column, mid: Column) -> dict[str, Column]:
+def book_columns(bids: Column, asks: Column) -> dict[str, Column]:
+    """Depth, imbalance and fair prices of one book (NULL prices where a side is empty)."""
     b5, a5, b10, a10 = depth_n(bids, 5), depth_n(asks, 5), depth_n(bids, 10), depth_n(asks, 10)
     (bv, bq), (av, aq) = weighted_side(bids), weighted_side(asks)
     b, a = F.get(bids, F.lit(0)), F.get(asks, F.lit(0))
     top = b["qty"] + a["qty"]
     return {
-        "microprice": F.when(top > 0, (b["price"] * a["qty"] + a["price"] * b["qty"]) / top).otherwise(mid),
-        "weighted_mid_price": F.when((bq > 0) & (aq > 0), (bv / bq + av / aq) / 2).otherwise(mid),
+        "microprice": F.when(top > 0, (b["price"] * a["qty"] + a["price"] * b["qty"]) / top),
+        "weighted_mid_price": F.when((bq > 0) & (aq > 0), (bv / bq + av / aq) / 2),
         "bid_depth_5": b5, "bid_depth_10": b10, "ask_depth_5": a5, "ask_depth_10": a10, "total_depth_10": b10 + a10,
         "depth_imbalance_5": imbalance(b5, a5), "depth_imbalance_10": imbalance(b10, a10),
         "weighted_imbalance": imbalance(bq, aq)}
@@ -43,19 +44,21 @@ def price_features(prices: DataFrame, books: DataFrame, by=("symbol",), ts: str
                    steps=(60.0, 300.0)) -> DataFrame:
     """Per price update: quote, latest book depth and imbalance, and the change over two look-backs.
 
-    Book and both earlier prices come from one as-of pass.
+    Each book is reduced to its columns before the join; book and both earlier prices then come from
+    one as-of pass.
     """
     mids = prices.select(*by, ts, tie, "mid_price")
-    seen = asof_many(prices, {"book": (books, 0.0), "p1": (mids, steps[0]), "p5": (mids, steps[1])}, by, ts, tie)
-    bids, asks = C("book.bids"), C("book.asks")
+    made = book_columns(C("bids"), C("asks"))
+    slim = books.select(*by, ts, *[c for c in (tie,) if c in books.columns], *[v.alias(k) for k, v in made.items()])
+    seen = asof_many(prices, {"book": (slim, 0.0), "p1": (mids, steps[0]), "p5": (mids, steps[1])}, by, ts, tie)
     mid = F.coalesce("mid_price", F.lit(0.0))
     bid, ask = F.coalesce("bid_price", F.lit(0.0)), F.coalesce("ask_price", F.lit(0.0))
 
     def change(name):
         old = C(f"{name}.mid_price")
         return F.coalesce(F.when(old > 0, (mid - old) / old * 100), F.lit(0.0))
-    no_book = bids.isNull()
-    cols = {k: F.when(no_book, 0.0).otherwise(v) for k, v in book_columns(bids, asks, mid).items()}
+    own = {"microprice": mid, "weighted_mid_price": mid}       # stand-ins for a book without sizes
+    cols = {k: F.when(C("book.at").isNull(), 0.0).otherwise(F.coalesce(C(f"book.{k}"), own.get(k, F.lit(0.0)))) for k in made}
     return seen.withColumns({
         "last_price": mid, "spread": ask - bid, "spread_bps": F.when(mid > 0, (ask - bid) / mid * 10000).otherwise(0.0),
         **cols, "price_change_1m": change("p1"), "price_change_5m": change("p5")}).drop("book", "p1", "p5")
@@ -150,8 +153,10 @@ def flow_features(trades: DataFrame, books: DataFrame, every: str = "5 minutes",
         F.sum(F.when(C(qty) > 2 * C("_avg"), C(qty) * C("_k")).otherwise(0.0)).alias("_large"))
     flags = sweep_flags(t, key, [ts, tie]).join(iceberg_flags(t, key), key, "left")
     wide = base.join(big, key).join(flags, key)
-    seen = asof_many(wide, {"book": (books, 0.0)}, by, ts)
-    depth = depth_n(C("book.bids"), 5) + depth_n(C("book.asks"), 5)
+    depth5 = books.select(*by, ts, *[c for c in ("event_id",) if c in books.columns],
+                          (depth_n(C("bids"), 5) + depth_n(C("asks"), 5)).alias("depth"))
+    seen = asof_many(wide, {"book": (depth5, 0.0)}, by, ts)
+    depth = C("book.depth")
     b, s = C("_b"), C("_s")
     net = safe_div(b - s, b + s)
     return seen.select(

@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import bucket, clip, label_by, qty_sum, safe_div
 from tickloom.operators.aggregates import count_if, oi_totals, sum_if
 from tickloom.operators.joins import lag_pairs, spread_matrix
-from tickloom.operators.series import attach, bounded, plan_series, running
+from tickloom.operators.series import attach, bounded, bucket_plan, plan_series, running
 from tickloom.operators.windows import rows
 
 C = F.col
 
 
-def prev(df: DataFrame, keys, order, **cols: str) -> DataFrame:
+def prev(df: DataFrame, keys, order, every: str | None = None, **cols: str) -> DataFrame:
     """Add the previous row's value of columns."""
-    plan = plan_series(df, keys, order, depth=1)
+    plan = bucket_plan(df, keys, order, every, depth=1)
     return bounded(df, plan, 1, lambda d, p: d.withColumns({o: F.lag(c).over(p.window()) for o, c in cols.items()}))
 
 
 # ---- layer 1: order flow ----
 
-def liquidity_imbalance(books: DataFrame, bands=(10, 25, 50), by="symbol", order=("ts",)) -> DataFrame:
+def liquidity_imbalance(books: DataFrame, bands=(10, 25, 50), by="symbol", order=("ts",), every: str | None = None) -> DataFrame:
     """Depth within tick bands of the mid, total imbalance, its change and the pressure label."""
     bids, asks = C("bids"), C("asks")
     mid = (bids[0]["price"] + asks[0]["price"]) / 2
@@ -40,7 +40,7 @@ def liquidity_imbalance(books: DataFrame, bands=(10, 25, 50), by="symbol", order
         cols[f"imbalance_{n}_ticks"] = safe_div(b - a, b + a)
     tb, ta = qty_sum(bids), qty_sum(asks)
     df = books.withColumns({**cols, "bid_depth": tb, "ask_depth": ta, "imbalance_ratio": safe_div(tb - ta, tb + ta)})
-    df = prev(df, [by], order, _p="imbalance_ratio").withColumn("velocity", C("imbalance_ratio") - C("_p")).drop("_p")
+    df = prev(df, [by], order, every, _p="imbalance_ratio").withColumn("velocity", C("imbalance_ratio") - C("_p")).drop("_p")
     r = C("imbalance_ratio")
     strong, mild = F.least(F.abs(r) * 100, F.lit(100.0)), F.least(F.abs(r) * 100, F.lit(80.0))
     return df.withColumns({
@@ -112,7 +112,7 @@ def trade_aggression(trades: DataFrame, every: str, by=("symbol",), ts: str = "t
              .agg(F.sum("_k").alias("large_trades")))
     d = base.join(large, key, "left").na.fill(0, ["large_trades"]).drop("_avg").withColumn("delta", C("buy_volume") - C("sell_volume"))
     d = d.withColumn("delta_pct", safe_div(C("delta"), C("buy_volume") + C("sell_volume")) * 100)
-    plan = plan_series(d, by, ["bucket"], depth=1)
+    plan = bucket_plan(d, by, ["bucket"], every, depth=1)
     d = running(d, plan, {"cvd": ("sum", "delta")})
     d = bounded(d, plan, 1, lambda x, p: x.withColumn("delta_acceleration", C("delta") - F.lag("delta").over(p.window())))
     p = C("delta_pct")
@@ -146,7 +146,7 @@ def microstructure(trades: DataFrame, every: str, by=("symbol",), order=("ts", "
 
 def oi_flow(oi: DataFrame, every: str, by=("symbol",), ts: str = "ts") -> DataFrame:
     """Who opens or closes positions, from the change of total open interest and price."""
-    d = prev(oi_totals(oi, every, by, ts=ts), by, ["bucket"], _o="total_oi", _p="avg_price").where(C("_o").isNotNull())
+    d = prev(oi_totals(oi, every, by, ts=ts), by, ["bucket"], every, _o="total_oi", _p="avg_price").where(C("_o").isNotNull())
     d = d.withColumns({"oi_change_pct": safe_div(C("total_oi") - C("_o"), C("_o")) * 100,
                        "price_change_pct": safe_div(C("avg_price") - C("_p"), C("_p")) * 100}).drop("_o", "_p")
     o, p = C("oi_change_pct"), C("price_change_pct")
@@ -176,7 +176,7 @@ def funding_stress(fr: DataFrame, every: str, by=("symbol",), exchange: str = "e
     """Mean rate of the venues in percent against a norm of 0.01 +- 0.03, stress level and crowding."""
     per = fr.groupBy(*by, exchange, bucket(ts, every).alias("bucket")).agg((F.max_by(rate, ts) * 100).alias("_r"))
     d = per.groupBy(*by, "bucket").agg(F.avg("_r").alias("avg_funding_rate"))
-    d = prev(d, by, ["bucket"], _p="avg_funding_rate")
+    d = prev(d, by, ["bucket"], every, _p="avg_funding_rate")
     d = d.withColumns({"funding_zscore": (C("avg_funding_rate") - 0.01) / 0.03, "funding_momentum": C("avg_funding_rate") - C("_p"),
                        "carry_crowding": F.abs(C("avg_funding_rate") * 3 * 365)}).drop("_p")
     z = C("funding_zscore")
@@ -193,7 +193,7 @@ def basis_regime(mark: DataFrame, every: str, by=("symbol",), exchange: str = "e
     d = per.groupBy(*by, "bucket").agg(
         F.avg("_b").alias("avg_basis_pct"), F.coalesce(F.stddev_pop("_b"), F.lit(0.0)).alias("basis_volatility"),
         ((F.count("_b") > 1) & (F.max("_b") - F.min("_b") > 0.1)).alias("arbitrage_opportunity"))
-    plan = plan_series(d, by, ["bucket"], depth=8)
+    plan = bucket_plan(d, by, ["bucket"], every, depth=8)
 
     def body(x, p):
         w = p.window()
@@ -283,7 +283,7 @@ def _in(col: str, *values: str) -> Column:
     return F.coalesce(C(col).isin(*values), F.lit(False))
 
 
-def market_regime(layers: DataFrame, by=("symbol",), order=("bucket",)) -> DataFrame:
+def market_regime(layers: DataFrame, by=("symbol",), order=("bucket",), every: str | None = None) -> DataFrame:
     """Seven regimes from layer scores, with confidence, strength and the length of the current run."""
     v, d, imb = F.coalesce("vacuum_score", F.lit(0.0)), F.coalesce("delta_pct", F.lit(0.0)), F.coalesce("imbalance_ratio", F.lit(0.0))
     df = layers.withColumns({
@@ -312,8 +312,8 @@ def market_regime(layers: DataFrame, by=("symbol",), order=("bucket",)) -> DataF
         "regime_strength": F.when(r == "SQUEEZE", sg).when(r == "CHAOS", sv).when(r == "BREAKOUT", F.abs(d)).when(r == "ACCUMULATION", sa)
                             .when(r == "DISTRIBUTION", sd).when(r == "MEAN_REVERSION", 100 - sv).otherwise(50).cast("double")})
     from tickloom.operators.series import islands
-    seen = islands(df, by, order, lambda p: p("current_regime") != r).withColumn("_one", F.lit(1))
-    plan = plan_series(seen, [*by, "island"], order)
+    seen = islands(df, by, order, lambda p: p("current_regime") != r, every=every).withColumn("_one", F.lit(1))
+    plan = bucket_plan(seen, [*by, "island"], order, every)
     return running(seen, plan, {"regime_duration": ("sum", "_one")}).drop("island", "_one").withColumn(
         "transition_probability", transition_probabilities())
 
@@ -369,9 +369,10 @@ def event_risk(layers: DataFrame) -> DataFrame:
         "event_risk_level", label_by(C("event_risk_score"), [(80, "EXTREME"), (60, "HIGH"), (40, "ELEVATED"), (20, "MODERATE")], "LOW"))
 
 
-def volatility_state(df: DataFrame, by=("symbol",), order=("bucket",), value: str = "micro_volatility", n: int = 100) -> DataFrame:
+def volatility_state(df: DataFrame, by=("symbol",), order=("bucket",), value: str = "micro_volatility", n: int = 100,
+                     every: str | None = None) -> DataFrame:
     """Place of the current value among the last n, regime, clustering, and expansion odds."""
-    plan = plan_series(df, by, order, depth=n)
+    plan = bucket_plan(df, by, order, every, depth=n)
 
     def body(d, p):
         w, ten = rows(p, n), rows(p, 10)
@@ -397,7 +398,7 @@ def volatility_state(df: DataFrame, by=("symbol",), order=("bucket",), value: st
 PRESSURE = {"orderbook_imbalance": 0.20, "trade_delta": 0.25, "oi_flow": 0.20, "funding_skew": 0.15, "basis_trend": 0.10, "flow_sync": 0.10}
 
 
-def institutional_pressure(layers: DataFrame, by=("symbol",), order=("bucket",)) -> DataFrame:
+def institutional_pressure(layers: DataFrame, by=("symbol",), order=("bucket",), every: str | None = None) -> DataFrame:
     """Weighted pressure in [-100, 100], agreement of its parts and the trend of the last five values."""
     zero = lambda n: F.coalesce(C(n), F.lit(0.0))
     sync, dom = zero("synchronization_score"), C("dominant_direction")
@@ -410,7 +411,7 @@ def institutional_pressure(layers: DataFrame, by=("symbol",), order=("bucket",))
     count = lambda test: reduce(lambda a, b: a + b, [F.when(test(C(f"part_{k}")), 1).otherwise(0) for k in parts])
     df = df.withColumns({"pressure_score": score,
                          "pressure_confidence": F.greatest(count(lambda x: x > 10), count(lambda x: x < -10)) / 6 * 100}).drop(*[f"part_{k}" for k in parts])
-    plan = plan_series(df, by, order, depth=6)
+    plan = bucket_plan(df, by, order, every, depth=6)
 
     def body(d, p):
         w = p.window()
@@ -490,7 +491,7 @@ def layer_rows(trades: DataFrame, books: DataFrame, oi: DataFrame, ticker: DataF
     key = ["symbol", "bucket"]
     b = bucket(ts, every).alias("bucket")
     book = books.groupBy("symbol", b).agg(F.max_by(F.struct("bids", "asks"), ts).alias("x")).select(*key, "x.*")
-    vac = liquidity_vacuum(liquidity_imbalance(book, order=("bucket",))).select(*key, "imbalance_ratio", "vacuum_score", "thin_zones")
+    vac = liquidity_vacuum(liquidity_imbalance(book, order=("bucket",), every=every)).select(*key, "imbalance_ratio", "vacuum_score", "thin_zones")
     liq = liquidations.groupBy("symbol", b).agg(
         sum_if(C("side") == "long", "value_usd").alias("long_liquidation_value"), sum_if(C("side") == "short", "value_usd").alias("short_liquidation_value"))
     tot = C("long_liquidation_value") + C("short_liquidation_value")
@@ -498,7 +499,7 @@ def layer_rows(trades: DataFrame, books: DataFrame, oi: DataFrame, ticker: DataF
         "_liq": tot, "cascade_risk": label_by(tot, [(10_000_000, "EXTREME"), (1_000_000, "HIGH"), (100_000, "MODERATE")], "LOW"),
         "dominance": F.when(C("long_liquidation_value") / tot > 0.7, "LONG_LIQUIDATION_DOMINANT")
                       .when(C("short_liquidation_value") / tot > 0.7, "SHORT_LIQUIDATION_DOMINANT").otherwise("BALANCED")})
-    liq = prev(liq, ["symbol"], ["bucket"], _pl="_liq").withColumn("liquidation_momentum", C("_liq") - C("_pl")).drop("_liq", "_pl")
+    liq = prev(liq, ["symbol"], ["bucket"], every, _pl="_liq").withColumn("liquidation_momentum", C("_liq") - C("_pl")).drop("_liq", "_pl")
     parts = [
         trade_aggression(trades, every).drop("trade_count"),
         microstructure(trades, every).select(*key, "price_impact", "micro_volatility", "market_quality", "total_volume"),
@@ -512,8 +513,8 @@ def layer_rows(trades: DataFrame, books: DataFrame, oi: DataFrame, ticker: DataF
 def market_intelligence(trades, books, oi, ticker, funding, marks, liquidations, every: str) -> DataFrame:
     """All five layers for every symbol and bucket in one plan."""
     base = layer_rows(trades, books, oi, ticker, funding, marks, liquidations, every)
-    base = volatility_state(event_risk(market_regime(base)))
-    return alpha_signal(absorption(alpha_squeeze(institutional_pressure(base))))
+    base = volatility_state(event_risk(market_regime(base, every=every)), every=every)
+    return alpha_signal(absorption(alpha_squeeze(institutional_pressure(base, every=every))))
 
 
 def period_report(prices: DataFrame, trades: DataFrame, funding: DataFrame, liquidations: DataFrame, start, end, by=("symbol",), ts: str = "ts") -> DataFrame:

@@ -16,9 +16,13 @@ def build_session(app: str = "tickloom", master: str | None = None, shuffle_part
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # methods beyond 8000 bytes are never compiled by the JVM: rather run those stages operator by operator
+         .config("spark.sql.codegen.hugeMethodLimit", "8000")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = b.master(master)
+        if master.startswith("local"):      # small inputs: keep all cores busy after a shuffle
+            b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():

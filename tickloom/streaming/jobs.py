@@ -205,7 +205,8 @@ def stream_composites(updates: DataFrame, schema: str, signals: dict[str, Callab
     cache = stream_feature_cache(updates, **kw)
     wide = cache.withColumn("c", F.from_json("cache", schema)).select(*[c for c in cache.columns if c != "cache"], "c.*")
     feed = Feed(wide)
-    return wide.select(*[c for c in cache.columns if c != "cache"], *[fn(feed)["value"].alias(n) for n, fn in signals.items()])
+    done = feed.finish(**{n: fn(feed) for n, fn in signals.items()})
+    return done.select(*[c for c in cache.columns if c != "cache"], *[C(n)["value"].alias(n) for n in signals])
 
 
 # ---- sink ----
