@@ -62,16 +62,16 @@ def _(t):
     return store.read_stream(t.spark, root, "trades").select(*schema.fieldNames())
 
 
-@query("s5_typed_feature_table", uses="funding", doubles="funding_rate funding_rate_annualized", digits=8, sql="""
-       SELECT symbol, exchange, ts, funding_rate, funding_rate * 1095 AS funding_rate_annualized FROM funding""")
+@query("s5_typed_feature_table", uses="funding", doubles="funding_rate annualized_rate", digits=8, sql="""
+       SELECT symbol, exchange, ts, funding_rate, funding_rate * 1095 AS annualized_rate FROM funding""")
 def _(t):
     root = scratch_path(t.spark, "s5")
     df = (t.funding.withColumn("market_type", F.lit("futures"))
-          .withColumn("funding_rate_annualized", K.annualize(C("funding_rate"))))
-    store.append(df.select("symbol", "exchange", "market_type", "ts", "funding_rate", "funding_rate_annualized"),
+          .withColumn("annualized_rate", K.annualize(C("funding_rate"))))
+    store.append(df.select("symbol", "exchange", "market_type", "ts", "funding_rate", "annualized_rate"),
                  root, "funding_features", store.PARTS)
     return store.read_stream(t.spark, root, "funding_features").select(
-        "symbol", "exchange", "ts", "funding_rate", "funding_rate_annualized")
+        "symbol", "exchange", "ts", "funding_rate", "annualized_rate")
 
 
 @query("s6_append", uses="trades", doubles="total", sql="""SELECT symbol, exchange, count(*) * 2 AS n,
@@ -83,14 +83,12 @@ def _(t):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("quote_value").alias("total")))
 
 
-@query("s7_upsert_ignore", sql="""SELECT o_orderpriority AS symbol, o_orderdate AS open_time,
-       count(*) > 0 AS kept FROM orders WHERE o_orderdate NOT IN
-       (SELECT o_orderdate FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2""")
+@query("s7_upsert_ignore", sql="""SELECT DISTINCT o_orderpriority AS symbol, o_orderdate AS open_time FROM orders
+       WHERE (o_orderpriority, o_orderdate) NOT IN (SELECT (o_orderpriority, o_orderdate) FROM orders WHERE o_orderstatus = 'F')""")
 def _(t):
-    new = t.table("orders").select(C("o_orderpriority").alias("symbol"), C("o_orderdate").alias("open_time"))
-    have = t.table("orders").where("o_orderstatus = 'F'").select(C("o_orderdate").alias("open_time"))
-    one = store.upsert_ignore(new, new.limit(0), ["symbol", "open_time"])
-    return (one.join(have, "open_time", "left_anti").select("symbol", "open_time").withColumn("kept", F.lit(True)))
+    bars = t.table("orders").select(C("o_orderpriority").alias("symbol"), C("o_orderdate").alias("open_time"), "o_orderstatus")
+    stored = bars.where("o_orderstatus = 'F'")
+    return store.upsert_ignore(bars, stored, ["symbol", "open_time"]).select("symbol", "open_time")
 
 
 @query("s8_export_day", uses="trades", sql="SELECT * FROM trades WHERE CAST(ts AS DATE) = DATE '2024-01-15'")

@@ -264,8 +264,8 @@ def _(t):
 
 
 @query("b13_feature_status", uses="funding trades", sql="""WITH s AS (SELECT count(*) AS row_count, max(ts) AS last_record, 'funding' AS category
-       FROM funding UNION ALL SELECT count(*), max(ts), 'flow' FROM trades WHERE side = 'buy'), n AS (SELECT max(last_record) AS now FROM s)
+       FROM funding UNION ALL SELECT count(*), max(ts), 'flow' FROM trades), n AS (SELECT max(last_record) AS now FROM s)
        SELECT s.*, CAST(floor(epoch(now - last_record)) AS BIGINT) AS age_seconds, CASE WHEN row_count = 0 THEN 'empty' WHEN floor(epoch(now -
        last_record)) > 300 THEN 'stale' ELSE 'fresh' END AS status FROM s, n""")
 def _(t):
-    return B.feature_status({"funding": _stored_funding(t), "flow": t.trades.where("side = 'buy'")})
+    return B.feature_status({"funding": _stored_funding(t), "flow": t.trades})

@@ -53,13 +53,12 @@ def _(t):
 
 
 @query("j5_asof_join", uses="trades prices", doubles="bid_price", sql="""SELECT t.trade_id, t.symbol, t.ts,
-       p.ts AS right_ts, p.bid_price FROM (SELECT * FROM trades WHERE side = 'buy') t ASOF LEFT JOIN
-       (SELECT symbol, ts - INTERVAL 90 SECOND AS ts, bid_price FROM prices WHERE exchange <> 'view') p
+       p.ts AS right_ts, p.bid_price FROM trades t ASOF LEFT JOIN
+       (SELECT symbol, ts + INTERVAL 90 SECOND AS ts, bid_price FROM prices) p
        ON t.symbol = p.symbol AND t.ts >= p.ts""")
 def _(t):
-    right = t.prices.where("exchange <> 'view'").select("symbol", (C("ts") - F.expr("INTERVAL 90 SECONDS")).alias("ts"),
-                                                        "bid_price")
-    return J.asof_join(t.trades.where("side = 'buy'").select("symbol", "ts", "trade_id"), right, "symbol")
+    right = t.prices.select("symbol", (C("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"), "bid_price")
+    return J.asof_join(t.trades.select("symbol", "ts", "trade_id"), right, "symbol")
 
 
 @query("j6_feature_cache", uses="ev", doubles="p q r", sql="""SELECT event_id, symbol,

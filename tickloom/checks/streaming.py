@@ -132,7 +132,8 @@ def _(t):
     rows = rows.select("symbol", "exchange", "ts", (C("event_id") * 10 + C("u.i")).alias("event_id"), "u.stream", "u.features")
     schema = ", ".join(f"{s} struct<" + ", ".join(f"{n}: {'string' if 'CASE' in x else 'double'}" for n, x in fs.items()) + ">" for s, fs in use.items())
     out = done(t, X.stream_composites(rows, schema, {"squeeze_probability": P.squeeze_probability}), "x11")
-    return out.where(C("event_id") % 10 == 2).select(F.floor(C("event_id") / 10).alias("event_id"), "squeeze_probability")
+    last = out.groupBy(F.floor(C("event_id") / 10).alias("event")).agg(F.max_by("squeeze_probability", "event_id").alias("squeeze_probability"))
+    return last.withColumnRenamed("event", "event_id")
 
 
 @query("x12_stream_drift")

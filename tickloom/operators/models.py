@@ -597,7 +597,7 @@ def recommend_method(basic: DataFrame, extra: DataFrame, season: DataFrame, keys
     score = (0.5 + trend * 0.15 + s * 0.15 + ac * 0.1 + F.when(C("sample_entropy") < 1, 0.1).when(C("sample_entropy") > 2, -0.1).otherwise(0.0)
              + F.when(h > 0.6, 0.1).when(h < 0.4, -0.05).otherwise(0.0))
     d = d.withColumn("predictability", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    pick = (F.when((s > 0.3) & (trend > 0.3), "holt_winters").when(s > 0.3, "seasonal_naive").when(trend > 0.3, "holt")
+    pick = (F.when((s > 0.1) & (trend > 0.3), "holt_winters").when(s > 0.1, "seasonal_naive").when(trend > 0.3, "holt")
             .when(h > 0.6, "drift").when(C("predictability") < 0.4, "ensemble").when(ac < 0.2, "theta").otherwise("naive"))
     return d.select(*k, "predictability", pick.alias("method"), trend.alias("trend_strength"), s.alias("seasonality_strength"),
                     "acf_lag1", "hurst_exponent", "sample_entropy", "primary_period")

@@ -6,7 +6,6 @@ window is partitioned by (key, chunk):
 
 * ``bounded``  – frames of at most ``depth`` rows: each chunk gets the last rows of the one before.
 * ``running``  – unbounded prefixes: each chunk gets the aggregate of all chunks before it.
-* ``ranged``   – time frames: rows are copied to every later chunk their frame can reach.
 
 Series below the limit keep the plain one-shuffle window. The cut points come from quantiles of the
 order column, so they are a pure function of the data and survive recomputation.
@@ -55,13 +54,11 @@ class SeriesPlan:
         order = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
         return Window.partitionBy(*self.parts).orderBy(*order)
 
-    def assign(self, df: DataFrame, shift: Column | None = None) -> DataFrame:
+    def assign(self, df: DataFrame) -> DataFrame:
         """Add the chunk number of each row (0 for series that are not cut)."""
         tag = f"_{next(_SERIAL)}"          # fresh names: a lineage may pass here several times
         cuts = self.cuts.toDF(*[c + tag for c in self.cuts.columns])
         pos = position(df, self.order[0])
-        if shift is not None:
-            pos = pos + shift
         found = F.col("_cuts" + tag)
         joined = df.join(F.broadcast(cuts), _same_keys(self.keys, tag), "left")
         return joined.select(*df.columns, F.coalesce(_count_cuts(found, pos), F.lit(0)).alias(CHUNK), found.isNotNull().alias(HOT))
@@ -181,19 +178,6 @@ def bounded(df: DataFrame, plan: SeriesPlan, depth: int, body: Callable[[DataFra
     return body(full, plan).where(~F.col(HALO)).drop(HALO, CHUNK, HOT)
 
 
-def ranged(df: DataFrame, plan: SeriesPlan, seconds: float,
-           body: Callable[[DataFrame, SeriesPlan], DataFrame]) -> DataFrame:
-    """Like ``bounded`` for frames that look back ``seconds`` in time."""
-    if not plan.hot:
-        return body(df, plan)
-    own = plan.assign(df)
-    reach = plan.assign(own.withColumnsRenamed({CHUNK: "_own", HOT: "_was"}),
-                        F.lit(int(seconds * 1_000_000))).withColumnRenamed(CHUNK, "_far")
-    full = (reach.withColumn(CHUNK, F.explode(F.sequence("_own", "_far")))
-            .withColumn(HALO, F.col(CHUNK) != F.col("_own")).drop("_own", "_far", "_was"))
-    return body(full, plan).where(~F.col(HALO)).drop(HALO, CHUNK, HOT)
-
-
 _RUN = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
         "last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True)}
 
