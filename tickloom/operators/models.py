@@ -318,15 +318,37 @@ def seasonality(df: DataFrame, keys, every: str, **kw) -> DataFrame:
     return on_grid(df, keys, every, fn, "seasonal boolean, primary_period int, strength double, periods array<int>", **kw)
 
 
-def median_slope(x: np.ndarray) -> float:
-    """Median slope over all pairs of points with different values (Sen), one distance at a time."""
+def median_slope(x: np.ndarray, direct: int = 3000) -> float:
+    """Median slope over all pairs of points with different values (Sen).
+
+    Long series are searched by value: the pairs with a slope below b are the falling pairs of
+    x - b * position, which are counted without being formed.
+    """
     n = len(x)
     if n < 2:
         return 0.0
-    parts = [(x[k:] - x[:-k]) / k for k in range(1, n)]
-    s = np.concatenate(parts)
-    s = s[s != 0]
-    return float(np.median(s)) if len(s) else 0.0
+    if n <= direct:
+        s = np.concatenate([(x[k:] - x[:-k]) / k for k in range(1, n)])
+        s = s[s != 0]
+        return float(np.median(s)) if len(s) else 0.0
+    at = np.arange(n)
+    tied = kendall_counts(x)[2]
+    total = n * (n - 1) // 2 - tied
+    if total == 0:
+        return 0.0
+
+    def below(b: float) -> int:
+        return kendall_counts(x - b * at)[1] - (tied if b > 0 else 0)
+
+    def smallest_above(rank: int) -> float:
+        lo, hi = float(np.diff(x).min()), float(np.nextafter(np.diff(x).max(), np.inf))
+        while hi - lo > 1e-12 * max(1.0, abs(lo), abs(hi)):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if below(mid) <= rank else (lo, mid)
+        return (lo + hi) / 2
+    low, high = (total - 1) // 2, total // 2
+    first = smallest_above(low)
+    return first if low == high else (first + smallest_above(high)) / 2
 
 
 def mann_kendall_of(x: np.ndarray, method: str = "original", period: int = 24, alpha: float = 0.05) -> dict:

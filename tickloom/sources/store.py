@@ -72,10 +72,13 @@ def create_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructTyp
     return made
 
 
-def append(df: DataFrame, root: str, stream: str, parts=("symbol", "exchange"), salts: int = 1) -> None:
-    """Append with one file per partition value and task; ``salts`` spreads hot partitions."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    (df.repartition(*parts, spread).sortWithinPartitions(*parts, *[c for c in ("ts",) if c in df.columns])
+def append(df: DataFrame, root: str, stream: str, parts=("symbol", "exchange")) -> None:
+    """Append to the partitioned stream, sorted by time inside each file.
+
+    The rebalance hint lets Spark split partitions that are large and join small ones, so a hot key is
+    written by many tasks and a rare one by few.
+    """
+    (df.hint("rebalance", *parts).sortWithinPartitions(*parts, *[c for c in ("ts",) if c in df.columns])
      .write.mode("append").partitionBy(*parts).parquet(f"{root}/{stream}"))
 
 
@@ -139,4 +142,4 @@ def to_series(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
 
 def route(df: DataFrame, path: str, by: str = "symbol") -> None:
     """Write a mixed feed into per-key folders; existing keys of other runs stay."""
-    df.repartition(by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("append").partitionBy(by).parquet(path)
+    df.hint("rebalance", by).write.mode("append").partitionBy(by).parquet(path)
