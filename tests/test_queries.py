@@ -16,6 +16,17 @@ def test_query_matches_sql(spark, tiny, name):
     assert status == "ok", note
 
 
+def test_signals_to_recommendations(spark, tiny):
+    """All fifteen signals side by side, ranked and turned into one recommendation per update."""
+    from tickloom.checks.composites import cache
+    from tickloom.checks.streams import Tables
+    from tickloom.plans import composites as P
+    rows = P.signal_rows(P.all_signals(cache(Tables(spark, tiny))))
+    out = P.recommend(P.correlation_penalty(P.rank_signals(rows))).select("market_bias", "bias_confidence", "strength", "entry_bias").collect()
+    assert len(out) == 1000
+    assert all(0 <= r["bias_confidence"] <= 1 and r["entry_bias"] in ("wait", "conservative", "aggressive") for r in out)
+
+
 def test_entry(spark):
     import __spark_entry__
     assert __spark_entry__.entry(spark).columns == ["exchange", "bucket", "open", "high", "low", "close", "ticks"]

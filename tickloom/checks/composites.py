@@ -111,7 +111,7 @@ def _(t):
        least(1, {wavg(None, **{k: k for k in HUNT_PARTS})[0]}) AS sh FROM p) SELECT event_id, greatest(0, least(1, (oi_liquidation_cascade_risk +
        sq + sh + abs(prices_hurst_exponent - 0.5) * 2) / 4)) AS value, 1e0 AS confidence FROM q""")
 def _(t):
-    return P.all_signals(cache(t)).select("event_id", "composite_risk.value", "composite_risk.confidence")
+    return P.all_signals(cache(t), names=["composite_risk"]).select("event_id", "composite_risk.value", "composite_risk.confidence")
 
 
 @query("c6_market_maker_activity", uses="ev", doubles="value confidence", sql=sql_signal({
@@ -215,7 +215,7 @@ MQ = f"""{FLAT}, m AS (SELECT *, greatest(0, least(1, (0.5 + greatest(-0.5, leas
        0 END AS be FROM p) SELECT event_id, least(1, greatest(bu, be)) AS value, n / 4 AS confidence, greatest(bu, be) > 0.5 AS exhaustion, CASE WHEN bu > be
        THEN 'bullish' ELSE 'bearish' END AS trend_direction, greatest(bu, be) * 0.8 AS reversal_probability FROM q WHERE n >= 2""")
 def _(t):
-    out = P.all_signals(cache(t)).where("momentum_exhaustion IS NOT NULL")
+    out = P.all_signals(cache(t), names=["momentum_exhaustion"]).where("momentum_exhaustion IS NOT NULL")
     return out.select("event_id", "momentum_exhaustion.*").drop("components")
 
 
@@ -261,7 +261,7 @@ def _(t):
        ELSE 'BEAR' END AS predicted_regime, least(1, s) AS transition_probability, CASE WHEN ticker_volatility_compression_idx > 0.7 THEN 6 WHEN s > 0.7 THEN 12
        ELSE 24 END AS timeframe_hours FROM r WHERE n >= 2""")
 def _(t):
-    out = P.all_signals(cache(t)).where("regime_transition IS NOT NULL")
+    out = P.all_signals(cache(t), names=["regime_transition"]).where("regime_transition IS NOT NULL")
     return out.select("event_id", "regime_transition.*").drop("components")
 
 

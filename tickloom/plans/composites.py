@@ -363,8 +363,13 @@ def execution_quality(f: Feed) -> Signal:
                   optimal_order_splits=F.when(v > 0.8, 1).when(v > 0.6, 3).when(v > 0.4, 5).otherwise(10))
 
 
-def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event_id")) -> DataFrame:
-    """The fifteen signals at every update; three of them look at the history of others."""
+# Signals that look at the newest or recent values of others.
+NEEDS = {"composite_risk": ["squeeze_probability", "stop_hunt_probability"], "momentum_exhaustion": ["momentum_quality"],
+         "regime_transition": ["smart_money_index"]}
+
+
+def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event_id"), names=None) -> DataFrame:
+    """The signals at every update (all fifteen, or ``names`` and what they look back at)."""
     f = Feed(cache)
     own = {"smart_money_index": smart_money_index, "squeeze_probability": squeeze_probability,
            "stop_hunt_probability": stop_hunt_probability, "momentum_quality": momentum_quality,
@@ -372,9 +377,13 @@ def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event
            "institutional_phase": institutional_phase, "volatility_breakout": volatility_breakout,
            "mean_reversion": mean_reversion, "smart_money_flow": smart_money_flow,
            "arbitrage_opportunity": arbitrage_opportunity, "execution_quality": execution_quality}
-    base = f.finish(**{name: fn(f) for name, fn in own.items()})
-    base = base.withColumns({"_sq": C("squeeze_probability.value"), "_sh": C("stop_hunt_probability.value"),
-                             "_mq": C("momentum_quality.value"), "_sm": C("smart_money_index.value")})
+    wanted = set(names or [*own, *NEEDS])
+    wanted |= {n for w in wanted for n in NEEDS.get(w, [])}
+    base = f.finish(**{name: fn(f) for name, fn in own.items() if name in wanted})
+    if not wanted & set(NEEDS):
+        return base
+    look = {"_sq": "squeeze_probability", "_sh": "stop_hunt_probability", "_mq": "momentum_quality", "_sm": "smart_money_index"}
+    base = base.withColumns({k: C(f"{n}.value") if n in wanted else F.lit(None).cast("double") for k, n in look.items()})
     plan = plan_series(base, by, order, depth=12)
     base = running(base, plan, {"_sq": ("last", "_sq"), "_sh": ("last", "_sh")})
 
@@ -387,7 +396,7 @@ def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event
     g = Feed(bounded(base, plan, 12, body))
     late = {"composite_risk": composite_risk(g, C("_sq"), C("_sh")), "momentum_exhaustion": momentum_exhaustion(g, C("_weak")),
             "regime_transition": regime_transition(g, C("_base"))}
-    return g.finish(**late).drop("_sq", "_sh", "_mq", "_sm", "_weak", "_base")
+    return g.finish(**{n: s for n, s in late.items() if n in wanted}).drop("_sq", "_sh", "_mq", "_sm", "_weak", "_base")
 
 
 # Fixed values: (category, direction threshold, weight, inverted) of each signal.
