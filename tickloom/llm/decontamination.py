@@ -72,13 +72,13 @@ def index_items(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
                         cls = size_class(hi - lo)
                         x = (v[lo:hi] >> np.uint64(32)).astype(np.uint32)
                         low = (x[None] * _A[:, None] + _B[:, None]).min(1, keepdims=True)
-                        rows.append((i, cls, keys_of(low, cls)[:, 0].view(np.int64), v[lo:hi].tobytes()))
+                        rows.append((i, cls, keys_of(low, cls)[:, 0].view(np.int64), v[lo:hi].view(np.int64)))
                 if rows:
                     i, cls, keys, sets = zip(*rows)
-                    yield pa.record_batch([c["k"].take(pa.array(i)), pa.array(cls, pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["k", "cls", "keys", "shingles"])
+                    yield pa.record_batch([c["k"].take(pa.array(i)), pa.array(cls, pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(sets), pa.list_(pa.int64()))], ["k", "cls", "keys", "shingles"])
 
     rows = texts_of(items, key, text)
-    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, cls int, keys array<bigint>, shingles binary")
+    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, cls int, keys array<bigint>, shingles array<bigint>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text",
@@ -92,8 +92,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
     scattered over many windows, below 1e-3. Candidates are decided on the whole document's shingles.
 
     Windows are never shuffled: a task tests its windows' keys against a bitmap of 8 MB, whatever the number of items, and sends
-    on only documents that hit a bit, with their distinct shingles. The joins that follow are exact, so a full bitmap costs
-    time, not results. Texts of fewer than ``width`` words are one shingle, and match only a text that is equal to it in words.
+    on only documents that hit a bit, with those of their distinct shingles that a second such bitmap finds among the items'.
+    The joins that follow are exact, so a full bitmap costs time, not results. Texts of fewer than ``width`` words are one shingle, and match only a text that is equal to it in words.
 
     Null and empty texts and items have no shingles and match nothing; equal rows match alike and are reported once (a null id
     too); empty tables give no rows; further columns of the input are ignored.
@@ -101,7 +101,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
     index = stored(index_items(items, item_key, item_text, width), "test-items")
     classes = sorted(r["cls"] for r in index.select("cls").distinct().collect())        # at most CLASSES
     postings = index.select(F.col("k").alias("item"), F.explode("keys").alias("h"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(postings, "h", BITS))
+    context = docs.sparkSession.sparkContext
+    wanted = context.broadcast(bitmap(postings, "h", BITS))
+    asked_for = context.broadcast(bitmap(index.select(F.explode("shingles").alias("h")), "h", BITS))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -114,15 +116,17 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
                         hits.setdefault(int(doc[w]), set()).add(int(keys[f, w].view(np.int64)))
                 if hits:
                     at_docs = sorted(hits)
-                    sets = [np.unique(v[at[i]:at[i + 1]]).tobytes() for i in at_docs]
-                    yield pa.record_batch([c["k"].take(pa.array(at_docs)), pa.array([hashlib.md5(s).hexdigest() for s in sets]),
+                    sets = [np.unique(v[at[i]:at[i + 1]]) for i in at_docs]
+                    names = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
+                    sets = [s[in_bitmap(asked_for.value, s)].tobytes() for s in sets]
+                    yield pa.record_batch([c["k"].take(pa.array(at_docs)), pa.array(names),
                                            pa.array([sorted(hits[i]) for i in at_docs], pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["k", "d", "keys", "shingles"])
 
     rows = texts_of(docs, key, text)
     kind, item_kind = dict(rows.dtypes)["k"], dict(index.dtypes)["k"]
     hit = stored(rows.mapInArrow(search, f"k {kind}, d string, keys array<bigint>, shingles binary"), "test-hits")
     pairs = hit.select("k", "d", F.explode("keys").alias("h")).join(postings, "h").select("k", "d", "item").distinct()
-    sets = hit.select("k", "d", F.col("shingles").alias("own")).dropDuplicates(["k", "d"])
+    sets = hit.select("k", "d", F.col("shingles").alias("own"))
     same = [F.col("a.k").eqNullSafe(F.col("b.k")), F.col("a.d") == F.col("b.d")]
     full = pairs.alias("a").join(sets.alias("b"), same).select("a.k", "item", "own")
     full = full.join(index.select(F.col("k").alias("item2"), F.col("shingles").alias("asked")), F.col("item").eqNullSafe(F.col("item2"))).select("k", "item", "own", "asked")
@@ -130,8 +134,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, asked = (b[x].to_pylist() for x in ("own", "asked"))
-            shared = [int(np.isin(np.frombuffer(q, np.uint64), np.frombuffer(d, np.uint64), assume_unique=True).sum()) for d, q in zip(own, asked)]
-            yield pa.record_batch([b["k"], b["item"], pa.array(shared, pa.int64()), pa.array([len(q) // 8 for q in asked], pa.int64())], ["k", "item", "n_shared", "n_item"])
+            shared = [int(np.isin(np.array(q, np.int64), np.frombuffer(d, np.int64), assume_unique=True).sum()) for d, q in zip(own, asked)]
+            yield pa.record_batch([b["k"], b["item"], pa.array(shared, pa.int64()), pa.array([len(q) for q in asked], pa.int64())], ["k", "item", "n_shared", "n_item"])
 
     share = F.col("n_shared") / F.col("n_item")
     return (full.mapInArrow(verify, f"k {kind}, item {item_kind}, n_shared long, n_item long").where(share >= least).distinct()
