@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from tickloom.llm.common import stored, table
 
 #: Queues at most; beyond that the smaller sources share hashed queues, so that the schedule has a proven size.
 MAX_QUEUES = 1024
-#: Word tokens remembered per worker.
-CACHE = 400_000
+#: Words whose ids a worker process remembers, across its tasks.
+CACHE = 1_000_000
 #: Fixed-point steps of one token of credit.
 STEP = 1024
 
@@ -37,15 +38,25 @@ class Encoder:
     def __call__(self, texts: list[str], end: int) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for ws in split for w in ws})
+        if len(self.known) + len(new) > CACHE:      # the older half goes
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            new = list({w for ws in split for w in ws} - self.known.keys())
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, self.kind).tobytes()
         last = np.array([end], self.kind).tobytes()
         return [b"".join(map(self.known.__getitem__, ws)) + last for ws in split]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The worker process's encoder: most words of a task are known from the tasks before."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -58,7 +69,7 @@ def encode(docs: DataFrame, key: str, text: str, source: str, vocabulary: str, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        enc, part, before = Encoder(vocabulary), TaskContext.get().partitionId(), {}
+        enc, part, before = encoder(vocabulary), TaskContext.get().partitionId(), {}
         width = np.dtype(enc.kind).itemsize
         for b in batches:
             for lo in range(0, b.num_rows, 256):

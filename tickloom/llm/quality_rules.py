@@ -55,9 +55,9 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                        "c.n_repeat_words", (F.col("n") - F.col("no_upper")).cast("long").alias("n_upper"), (F.col("n") - F.col("no_marks")).cast("long").alias("n_marks"))
 
 
-def vote(bad: str, good: str) -> Column:
-    """-1 where the rule finds low quality, 1 where it finds quality, 0 where it abstains."""
-    return F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END")
+def vote(bad: str, good: str) -> str:
+    """SQL: -1 where the rule finds low quality, 1 where it finds quality, 0 where it abstains."""
+    return f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
 
 
 #: The rules by name; each is a few comparisons over the counts. Texts without words make all but the first abstain.
@@ -97,14 +97,14 @@ def posterior(votes: tuple[int, ...], prior: float, rates: list[tuple[float, flo
     return 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(log_odds(v, *r) for v, r in zip(votes, rates))))
 
 
-def supervise(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def supervise(docs: DataFrame, rules: dict[str, str] | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, the counts, base_failed, ``quality`` (posterior probability) and kept.
 
     The counts are computed once, into the shared folder. EM reads only the number of documents with each pattern of votes, and
     its result returns as one expression over the votes. Null, empty and blank texts have no words and fail the base rule;
     repeated rows are judged alike, each once; an empty table gives no rows; further columns of the input are ignored.
     """
-    rules = RULES if rules is None else rules
+    rules = {name: F.expr(sql) for name, sql in (RULES if rules is None else rules).items()}
     rows = stored(features(docs, key, text), "quality-counts")
     seen = rows.groupBy(*[c.alias(f"v_{name}") for name, c in rules.items()]).agg(F.count(F.lit(1)).alias("n")).collect()   # <= 3 ** rules
     prior, rates = fit(sorted((tuple(int(x) for x in r[:-1]), r["n"]) for r in seen))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower, table
+from tickloom.llm.common import ascii_lower, stored, table
 from tickloom.llm.graph import components
 
 #: Fixed rules of the query: (verdict, host, path).
@@ -61,23 +61,25 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     repeated rows are judged alike, each once; further columns of the input are ignored; an empty table gives no rows.
     """
     u, h = F.col(url).cast("string"), F.col(html).cast("string")
-    base = pages.select(
-        F.col(key).alias("k"), host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("node"),
-        node_of(target_of(h, u, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")).alias("canonical"),
-        node_of(target_of(h, u, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")).alias("refresh"))
-    links = base.select(F.col("node").alias("a"), F.explode(F.array("canonical", "refresh")).alias("b")).where("b IS NOT NULL")
-    extra = None
+
+    def ruled(address: Column, value) -> Column:
+        return longest_rule(host_of(address), path_of(address), rules, value)
+
+    def resource(address: Column) -> Column:
+        return F.struct(node_of(address).alias("node"), ruled(address, lambda r: r[0]).alias("own"))
+
+    canonical = target_of(h, u, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = target_of(h, u, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    links = pages.select(resource(u).alias("a"), F.explode(F.array(canonical, refresh)).alias("t")).where("t IS NOT NULL").select("a", resource(F.col("t")).alias("b"))
     if redirects is not None:
         s, t = (F.col(c).cast("string") for c in redirects.columns[:2])
-        extra = redirects.select(node_of(s).alias("a"), node_of(t).alias("b"), host_of(s).alias("h1"), path_of(s).alias("p1"))
-        links = links.union(extra.select("a", "b"))
-    roots = components(links)
-    rule = longest_rule(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2])
-    action = longest_rule(F.col("host"), F.col("path"), rules, lambda r: r[0])
-    own = base.select("k", "host", "path", "node", rule.alias("rule"), action.alias("own"))
-    named = own.select("node", "own")
-    if extra is not None:       # a redirecting URL that is no page of the table carries its rule too
-        named = named.union(extra.select(F.col("a"), longest_rule(F.col("h1"), F.col("p1"), rules, lambda r: r[0])))
+        links = links.union(redirects.select(resource(s), resource(t)))
+    links = stored(links.where("a.node IS NOT NULL AND b.node IS NOT NULL"), "links")
+    roots = components(links.select("a.node", F.col("b.node").alias("target")), "node", "target")
+    own = pages.select(F.col(key).alias("k"), host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("node"),
+                       ruled(u, lambda r: r[1] + r[2]).alias("rule"), ruled(u, lambda r: r[0]).alias("own"))
+    # a linked resource carries its rule into its class even if it is no page of the table
+    named = own.select("node", "own").union(links.select(F.explode(F.array("a", "b")).alias("x")).select("x.*"))
     root = F.coalesce("root", "node")
     classes = (named.where("node IS NOT NULL AND own IS NOT NULL").groupBy("node", "own").agg(F.lit(1).alias("one"))
                .join(roots, "node", "left").groupBy(root.alias("alias_of")).agg(F.min("own").alias("class_verdict")))
@@ -110,15 +112,18 @@ targets AS (
 urls AS (
   SELECT node, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t WHEN contains(t, '://') THEN t END AS t FROM targets),
 links AS (
-  SELECT DISTINCT node AS a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-         || regexp_replace(regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+\z', '') || regexp_extract(t, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS b
-  FROM urls WHERE t IS NOT NULL AND node IS NOT NULL),
+  SELECT DISTINCT node AS a, h || regexp_replace(p, '/+\z', '') || q AS b, (
+           SELECT arg_max(action, length(rules.h || rules.p)) FROM rules WHERE (l.h = rules.h OR ends_with(l.h, '.' || rules.h)) AND starts_with(l.p, rules.p)) AS own
+  FROM (SELECT node, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+               regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(t, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS q
+        FROM urls WHERE t IS NOT NULL AND node IS NOT NULL) l WHERE h <> ''),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(node, r) AS (
   SELECT node, node FROM (SELECT node FROM own WHERE node IS NOT NULL UNION SELECT b FROM links) n
   UNION SELECT reach.node, b FROM reach JOIN both_ways ON reach.r = a),
 roots AS (SELECT node, min(r) AS alias_of FROM reach GROUP BY node),
-classes AS (SELECT alias_of, min(own) AS class_verdict FROM own JOIN roots USING (node) WHERE own IS NOT NULL GROUP BY alias_of)
+named AS (SELECT node, own FROM own UNION ALL SELECT b, own FROM links),
+classes AS (SELECT alias_of, min(own) AS class_verdict FROM named JOIN roots USING (node) WHERE own IS NOT NULL GROUP BY alias_of)
 SELECT page_id, host, path, rule, coalesce(own, class_verdict, 'allow') AS verdict, alias_of
 FROM own LEFT JOIN roots USING (node) LEFT JOIN classes USING (alias_of)
 """
