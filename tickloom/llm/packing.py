@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -21,30 +23,50 @@ CACHE = 1_000_000
 STEP = 1024
 
 
-class Encoder:
-    """Token ids of texts by a public tokenizer; words already seen come from a bounded cache.
+class Encoder(dict):
+    """Token ids of texts by a public tokenizer: a mapping from words to their ids, filled as words are met, of bounded size.
 
     Blanks and line ends always part tokens in a vocabulary that drops white space, so a text's ids are those of its
-    blank-separated words in order.
+    blank-separated words in order. Plain words, Latin letters and then ASCII punctuation, are two pieces to the tokenizer; for
+    them its model is asked directly, and once for each piece.
     """
 
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
+
     def __init__(self, vocabulary: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(vocabulary)
-        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str], end: int) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:      # the older half goes
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-            new = list({w for ws in split for w in ws} - self.known.keys())
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-        last = np.array([end], self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) + last for ws in split]
+        one = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenize = self.tok.model.tokenize
+        self.bytes = {c: one.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100) if not chr(c).isspace()}
+        self.code, self.kind = ("H", "<u2") if self.tok.get_vocab_size() <= 1 << 16 else ("I", "<u4")
+        self.pieces: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        plain = self.PLAIN(word)
+        if plain:
+            ids = self.piece(plain[1].lower()) + self.piece(plain[2])
+        else:
+            ids = array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenize(piece.translate(self.bytes))]).tobytes()
+        return ids
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        for cache in (self, self.pieces):
+            if len(cache) > CACHE:                  # the older half goes
+                for w in list(islice(cache, len(cache) // 2)):
+                    del cache[w]
+        last = array(self.code, [end]).tobytes()
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) + last for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -74,7 +96,7 @@ def encode(docs: DataFrame, key: str, text: str, source: str, vocabulary: str, e
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 c = b.slice(lo, 256)
-                ids = enc(c["t"].to_pylist(), end)
+                ids = enc.encode(c["t"].to_pylist(), end)
                 at = []
                 for s, x in zip(c["source"].to_pylist(), ids):
                     at.append(before.get(s, 0))
