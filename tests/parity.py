@@ -72,7 +72,7 @@ def main():
         i = args.index("--sf")
         sf = args[i + 1]
         del args[i:i + 2]
-    spark = build_session("parity", "local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("parity", "local[3]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     qs, oracle = entry_module.queries(), entry_module.oracle_sql()
     fails = 0

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tickloom.checks.joins import LATEST, RETURNS, latest_price, returns_grid
-from tickloom.checks.registry import query
+from tickloom.checks.registry import SQL, query
 from tickloom.checks.windows import CASCADE_SQL
 from tickloom.plans import layers as L
 
@@ -51,14 +51,20 @@ def _(t):
         "vec_id", "depth_25bps", "depth_50bps", "spread_bps", "thin_zones", "vacuum_score", "slippage_risk", "breakout_probability")
 
 
-@query("l3_orderbook_persistence", uses="books", doubles="price avg_size size_variance persistence_pct reliability", sql="""WITH l AS (SELECT * FROM books
-       QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 60), n AS (SELECT symbol, count(*) AS n FROM l GROUP BY 1), x AS (SELECT symbol,
-       'support' AS zone, unnest(bids) AS v FROM l UNION ALL SELECT symbol, 'resistance', unnest(asks) FROM l), g AS (SELECT symbol, zone, round(v.price, 8) AS
-       price, count(*) AS c, avg(v.qty) AS avg_size, var_pop(v.qty) AS size_variance FROM x GROUP BY 1, 2, 3), p AS (SELECT symbol, zone, price, avg_size,
-       size_variance, c / n * 100 AS persistence_pct, c / n * 100 * (1 - least(size_variance / avg_size, 1)) AS reliability FROM g JOIN n USING (symbol) WHERE c /
-       n * 100 >= 50) SELECT *, CAST(row_number() OVER (PARTITION BY symbol, zone ORDER BY reliability DESC, price) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""")
+def venues(books):
+    return books.withColumn("exchange", F.concat(F.lit("X"), (C("vec_id") % 3).cast("string")))
+
+
+@query("l3_orderbook_persistence", uses="books", doubles="price avg_size size_variance persistence_pct reliability overall_score", sql="""WITH l AS (SELECT *, 'X' || (vec_id % 3) AS exchange FROM
+       books QUALIFY row_number() OVER (PARTITION BY symbol, exchange ORDER BY ts DESC, vec_id DESC) <= 60), n AS (SELECT symbol, exchange, count(*) AS n FROM l GROUP BY 1, 2 HAVING count(*) >= 5),
+       x AS (SELECT symbol, exchange, 'support' AS zone, unnest(bids[1:20]) AS v FROM l UNION ALL SELECT symbol, exchange, 'resistance', unnest(asks[1:20]) FROM l), g AS (SELECT symbol,
+       exchange, zone, round(v.price, 8) AS price, count(*) AS c, avg(v.qty) AS avg_size, var_pop(v.qty) AS size_variance FROM x GROUP BY 1, 2, 3, 4), p AS (SELECT symbol, exchange, zone,
+       price, avg_size, size_variance, c / n * 100 AS persistence_pct, CASE WHEN avg_size > 0 THEN c / n * 100 * (1 - least(size_variance / avg_size, 1)) ELSE 0 END AS reliability FROM g
+       JOIN n USING (symbol, exchange) WHERE c / n * 100 >= 50), v AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY symbol, exchange, zone ORDER BY reliability DESC, price) <= 5),
+       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, zone ORDER BY reliability DESC, exchange, price) AS INTEGER) AS rank FROM v) SELECT *, avg(reliability) OVER (PARTITION
+       BY symbol) AS overall_score FROM r WHERE rank <= 10""")
 def _(t):
-    return L.orderbook_persistence(t.books)
+    return L.orderbook_persistence(venues(t.books), tie="vec_id")
 
 
 @query("l4_trade_aggression", uses="trades", doubles="buy_volume sell_volume delta delta_pct cvd delta_acceleration", sql=f"""WITH t AS (SELECT *, {TB} AS bucket FROM
@@ -277,11 +283,12 @@ def _(t):
     return L.absorption(layer_input(t)).select("event_id", "absorption_strength", "absorption_type")
 
 
-@query("l19_defended_levels", uses="books")
+@query("l19_defended_levels", uses="books", sql=f"""WITH z AS ({SQL["l3_orderbook_persistence"]}) SELECT symbol, 'NONE' AS absorption_type, g.defended_levels FROM (SELECT DISTINCT
+       symbol FROM books) LEFT JOIN (SELECT symbol, list(price ORDER BY reliability DESC, zone DESC, price DESC)[1:5] AS defended_levels FROM z WHERE rank <= 3 AND reliability > 60 GROUP BY 1) g USING (symbol)""")
 def _(t):
-    zones = L.orderbook_persistence(t.books)
+    zones = L.orderbook_persistence(venues(t.books), tie="vec_id")
     keys = t.books.select("symbol").distinct().withColumns({"total_volume": F.lit(100.0), "price_impact": F.lit(0.1), "delta_pct": F.lit(1.0)})
-    return L.absorption(keys, zones).select("symbol", "absorption_type", "defended_levels")
+    return L.absorption(keys, zones).select("symbol", "absorption_type", C("defended_levels.price").alias("defended_levels"))
 
 
 VOTES = {"pressure_direction": "CASE event_id % 4 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BEARISH' WHEN 2 THEN 'SLIGHTLY_BULLISH' ELSE 'NEUTRAL' END",

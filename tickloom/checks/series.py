@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.checks.registry import query
+from tickloom.checks.registry import SQL, query
 from tickloom.functions import udfs
 from tickloom.operators import detectors as D
 from tickloom.operators import models as M
@@ -144,15 +144,19 @@ def _(t):
 @query("m15_series_regime", uses="hourly", doubles="volatility vol_percentile trend_slope", sql=f"""WITH a AS (SELECT *, row_number() OVER (o) AS i, value / lag(value) OVER (o) - 1 AS r FROM hourly WINDOW o AS ({W})),
        b AS (SELECT *, CASE WHEN count(r) OVER (o ROWS 19 PRECEDING) >= 20 THEN stddev_samp(r) OVER (o ROWS 19 PRECEDING) * sqrt(252) END AS rv, stddev_samp(r) OVER (o ROWS 49
        PRECEDING) * sqrt(252) AS v, regr_slope(value, i) OVER (o ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS sl, avg(value) OVER (o ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)
-       AS m FROM a WINDOW o AS ({W})), c AS (SELECT *, list_filter(list(rv) OVER ({W} ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS h FROM b), d AS
-       (SELECT *, len([x for x in h if x < v]) / len(h) AS vp FROM c WHERE i > 50) SELECT series, ts, v AS volatility, vp AS vol_percentile, sl AS trend_slope, CASE WHEN vp > 0.9
+       AS m FROM a WINDOW o AS ({W})), c AS (SELECT *, list_filter(list(rv) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda x: x IS NOT NULL) AS h FROM b), d AS
+       (SELECT *, len([x for x in h if x < v]) / (i - 1) AS vp FROM c WHERE i > 50) SELECT series, ts, v AS volatility, vp AS vol_percentile, sl AS trend_slope, CASE WHEN vp > 0.9
        THEN 'HIGH_VOLATILITY' WHEN vp < 0.1 THEN 'LOW_VOLATILITY' WHEN sl > 0.001 * m THEN 'TRENDING_UP' WHEN sl < -0.001 * m THEN 'TRENDING_DOWN' ELSE 'RANGING' END AS regime
        FROM d""")
 def _(t):
     return D.series_regime(t.hourly, K, O).drop("value")
 
 
-@query("m15_transition_matrix")
+REGIME_SQL = SQL["m15_series_regime"]
+
+
+@query("m15_transition_matrix", doubles="probability", sql=f"""WITH r AS ({REGIME_SQL}), t AS (SELECT series, lag(regime) OVER ({W}) AS from_label, regime AS to_label FROM r), n AS (SELECT series, from_label,
+       to_label, count(*) AS n FROM t WHERE from_label IS NOT NULL GROUP BY 1, 2, 3) SELECT *, n / sum(n) OVER (PARTITION BY series, from_label) AS probability FROM n""")
 def _(t):
     return D.transition_matrix(D.series_regime(t.hourly, K, O), K, O)
 

@@ -61,6 +61,8 @@ def with_streams(uses: str, sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({STREAM_SQL[n][1]})" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        body, ctes = "WITH " + body[15:], "RECURSIVE " + ctes
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
 
 

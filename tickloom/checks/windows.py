@@ -362,11 +362,13 @@ def _(t):
     return Q.issue_log(Q.validate_prices(t.prices), ["symbol", "bucket", "exchange"])
 
 
-@query("q11_triggers", uses="prices", doubles="value", sql="""WITH g AS (SELECT symbol, ts, epoch(ts - lag(ts) OVER (PARTITION BY symbol
+# a firing leads to the first hit at or after the end of its cooldown
+@query("q11_triggers", uses="prices", doubles="value", sql="""WITH RECURSIVE g AS (SELECT symbol, ts, epoch(ts - lag(ts) OVER (PARTITION BY symbol
        ORDER BY ts)) AS value FROM prices), h AS (SELECT *, CASE WHEN value > 60 AND value <= 300 THEN 'interpolate_missing_data'
        WHEN value > 300 THEN 'request_backfill' END AS action, CASE WHEN value > 60 AND value <= 300 THEN 60 ELSE 600 END AS cool
-       FROM g), p AS (SELECT *, lag(ts) OVER (PARTITION BY symbol, action ORDER BY ts) AS prev FROM h WHERE action IS NOT NULL)
-       SELECT symbol, ts, 'gap_duration_seconds' AS metric, value, action FROM p WHERE prev IS NULL OR epoch(ts - prev) >= cool""")
+       FROM g WHERE value > 60), n AS (SELECT h.*, (SELECT min(x.ts) FROM h x WHERE x.symbol = h.symbol AND x.action = h.action AND x.ts >= h.ts + to_seconds(h.cool)) AS next
+       FROM h), f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY symbol, action ORDER BY ts) = 1 UNION ALL SELECT n.* FROM f JOIN n ON n.symbol = f.symbol AND n.action =
+       f.action AND n.ts = f.next) SELECT symbol, ts, 'gap_duration_seconds' AS metric, value, action FROM f""")
 def _(t):
     gaps = W.detect_gaps(t.prices, ["symbol"], expected_s=0)
     m = gaps.select("symbol", C("gap_end").alias("ts"), F.lit("gap_duration_seconds").alias("metric"),

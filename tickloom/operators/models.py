@@ -8,6 +8,7 @@ Python. The functions below work on one such series (numpy) and stay small.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable
 from statistics import NormalDist
 
@@ -318,37 +319,68 @@ def seasonality(df: DataFrame, keys, every: str, **kw) -> DataFrame:
     return on_grid(df, keys, every, fn, "seasonal boolean, primary_period int, strength double, periods array<int>", **kw)
 
 
-def median_slope(x: np.ndarray, direct: int = 3000) -> float:
-    """Median slope over all pairs of points with different values (Sen).
+def _ordinal(x: float) -> int:
+    """Doubles as integers in the same order, so that halving a range of them ends at one double."""
+    n = struct.unpack("<q", struct.pack("<d", x))[0]
+    return n if n >= 0 else -(n & 0x7FFFFFFFFFFFFFFF)
+
+
+def _double(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n if n >= 0 else (-n | -0x8000000000000000)))[0]
+
+
+def slope_at(x: np.ndarray, ranks: list[int], total: int, tied: int) -> list[float]:
+    """Slopes of the pairs of points at positions (from 0) of their ascending order, ties of value left out.
 
-    Long series are searched by value: the pairs with a slope below b are the falling pairs of
-    x - b * position, which are counted without being formed.
+    Pairs with a slope below b are the falling pairs of x - b * position, counted without being formed; b is searched among
+    the doubles themselves, so the answer is as fine at 1e-14 as at 1e14. Values are first scaled to steps of about one.
     """
+    at, steps = np.arange(len(x)), np.diff(x)
+    scale = float(np.abs(steps).max())
+    y = (x - x[0]) / scale
+
+    def below(b: float) -> int:
+        return kendall_counts(y - b * at)[1] - (tied if b > 0 else 0)
+
+    found = []
+    for rank in ranks:
+        lo, hi = _ordinal(float(np.diff(y).min())), _ordinal(float(np.nextafter(np.diff(y).max(), np.inf)))
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if below(_double(mid)) <= rank else (lo, mid)
+        found.append(_double(lo) * scale)
+    return found
+
+
+def sen_slope(x: np.ndarray, var: float | None = None, alpha: float = 0.05, direct: int = 3000) -> tuple[float, float, float]:
+    """Median slope over all pairs of points with different values, and the interval of slopes around it for a variance of S."""
     n = len(x)
     if n < 2:
-        return 0.0
-    if n <= direct:
-        s = np.concatenate([(x[k:] - x[:-k]) / k for k in range(1, n)])
-        s = s[s != 0]
-        return float(np.median(s)) if len(s) else 0.0
-    at = np.arange(n)
+        return 0.0, 0.0, 0.0
     tied = kendall_counts(x)[2]
     total = n * (n - 1) // 2 - tied
     if total == 0:
-        return 0.0
+        return 0.0, 0.0, 0.0
+    c = NORMAL.inv_cdf(1 - alpha / 2) * math.sqrt(max(var or 0.0, 0.0))
+    ranks = [(total - 1) // 2, total // 2, *(max(0, min(int((total + sign * c) / 2), total - 1)) for sign in (-1, 1))]
+    if n <= direct:
+        s = np.concatenate([(x[k:] - x[:-k]) / k for k in range(1, n)])
+        s = np.partition(s[s != 0], sorted(set(ranks)))
+        a, b, low, high = (float(s[r]) for r in ranks)
+    else:
+        unique = sorted(set(ranks))
+        got = dict(zip(unique, slope_at(x, unique, total, tied)))
+        a, b, low, high = (got[r] for r in ranks)
+    return (a + b) / 2, low, high
 
-    def below(b: float) -> int:
-        return kendall_counts(x - b * at)[1] - (tied if b > 0 else 0)
 
-    def smallest_above(rank: int) -> float:
-        lo, hi = float(np.diff(x).min()), float(np.nextafter(np.diff(x).max(), np.inf))
-        while hi - lo > 1e-12 * max(1.0, abs(lo), abs(hi)):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if below(mid) <= rank else (lo, mid)
-        return (lo + hi) / 2
-    low, high = (total - 1) // 2, total // 2
-    first = smallest_above(low)
-    return first if low == high else (first + smallest_above(high)) / 2
+def _interval(slopes: np.ndarray, var: float, alpha: float) -> tuple[float, float]:
+    n, c = len(slopes), NORMAL.inv_cdf(1 - alpha / 2) * math.sqrt(max(var, 0.0))
+    return tuple(float(slopes[max(0, min(int((n + sign * c) / 2), n - 1))]) for sign in (-1, 1))
+
+
+def median_slope(x: np.ndarray, direct: int = 3000) -> float:
+    return sen_slope(x, direct=direct)[0]
 
 
 def mann_kendall_of(x: np.ndarray, method: str = "original", period: int = 24, alpha: float = 0.05) -> dict:
@@ -357,7 +389,7 @@ def mann_kendall_of(x: np.ndarray, method: str = "original", period: int = 24, a
     s = up - down
     ties = np.unique(x, return_counts=True)[1]
     var = (n * (n - 1) * (2 * n + 5) - np.sum(ties * (ties - 1) * (2 * ties + 5))) / 18
-    slope = median_slope(x)
+    slope, low, high = sen_slope(x, var, alpha)
     tau = 2 * s / (n * (n - 1)) if n > 1 else 0.0
     if method == "seasonal" and n // period >= 2:
         parts = [x[k::period] for k in range(period) if len(x[k::period]) > 1]
@@ -365,9 +397,9 @@ def mann_kendall_of(x: np.ndarray, method: str = "original", period: int = 24, a
         s = sum(u - d for u, d, _ in counts)
         var = sum(len(q) * (len(q) - 1) * (2 * len(q) + 5) / 18 for q in parts)
         within = [np.concatenate([(q[k:] - q[:-k]) / (k * period) for k in range(1, len(q))]) for q in parts]
-        all_s = np.concatenate(within)
+        all_s = np.sort(np.concatenate(within))
         all_s = all_s[all_s != 0]
-        slope = float(np.median(all_s)) if len(all_s) else 0.0
+        slope, low, high = (float(np.median(all_s)), *_interval(all_s, var, alpha)) if len(all_s) else (0.0, 0.0, 0.0)
         tau = s / (period * (n // period) * (n // period - 1) / 2)
     elif method == "modified":
         ranks = pd.Series(x).rank().to_numpy()
@@ -381,12 +413,12 @@ def mann_kendall_of(x: np.ndarray, method: str = "original", period: int = 24, a
     p = 2 * (1 - NORMAL.cdf(abs(z)))
     trend = "no_trend" if p >= alpha else ("increasing" if z > 0 else "decreasing")
     return {"s": [int(s)], "z_score": [float(z)], "p_value": [p], "tau": [float(tau)], "slope": [slope],
-            "intercept": [float(np.median(x - slope * np.arange(n)))], "trend": [trend]}
+            "slope_low": [low], "slope_high": [high], "intercept": [float(np.median(x - slope * np.arange(n)))], "trend": [trend]}
 
 
 def mann_kendall(df: DataFrame, keys, every: str, method: str = "original", period: int = 24, **kw) -> DataFrame:
     return on_grid(df, keys, every, lambda t, x: mann_kendall_of(x, method, period),
-                   "s long, z_score double, p_value double, tau double, slope double, intercept double, trend string", **kw)
+                   "s long, z_score double, p_value double, tau double, slope double, slope_low double, slope_high double, intercept double, trend string", **kw)
 
 
 # ---- pattern distance ----

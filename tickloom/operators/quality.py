@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.columns import bucket, json_valid
 from tickloom.operators.aggregates import count_if
-from tickloom.operators.series import bounded, plan_series
-from tickloom.operators.windows import rows, time_sums
+from tickloom.operators.series import bounded, plan_series, position, running
+from tickloom.operators.windows import rows, time_moments
 
 C = F.col
 
@@ -70,11 +73,7 @@ def validate_vs_history(p: DataFrame, keys, ts: str = "ts", tie: str = "event_id
                         minutes: int = 60, max_pct: float = 5.0, max_z: float = 3.0) -> DataFrame:
     """Each price against mean and sample deviation of the preceding minutes, itself excluded."""
     x = C(price)
-    s = time_sums(p, keys, ts, tie, {"n": F.lit(1), "s": x, "q": x * x}, {"w": minutes * 60})
-    n, total, sq = F.round("n_w") - 1, C("s_w") - x, C("q_w") - x * x
-    mean = F.when(n >= 1, total / n)
-    var = F.when(n >= 2, F.greatest(F.lit(0.0), (sq - total * total / n) / (n - 1)))
-    out = s.withColumns({"samples": n.cast("long"), "mean": mean, "std": F.sqrt(var)}).drop("n_w", "s_w", "q_w")
+    out = time_moments(p, keys, ts, tie, price, minutes * 60).withColumn("samples", C("samples").cast("long"))
     known = (C("mean") > 0) & (C("std") > 1e-9)
     return (out.withColumns({"z_score": F.when(known, (x - C("mean")) / C("std")),
                              "deviation_pct": F.when(known, F.abs((x - C("mean")) / C("mean") * 100))})
@@ -206,9 +205,10 @@ TRIGGER_RULES = [
 
 
 def triggers(metrics: DataFrame, keys, ts: str = "ts", metric: str = "metric", value: str = "value") -> DataFrame:
-    """Action rows of the metrics that break a rule; a repeat within the cooldown of the previous hit is dropped.
+    """Action rows of the metrics that break a rule, each at least the rule's cooldown after the rule last fired for the key.
 
-    The cooldown counts from the previous hit of the same rule, so one look-back row decides.
+    A hit after a pause of the cooldown or more fires in any case, so series are cut there. Inside such a run the firings follow
+    one from the other: tasks read their runs in order, batch by batch, and keep nothing but the time of the last firing.
     """
     action = cool = None
     for name, low, high, act, secs in TRIGGER_RULES:
@@ -217,8 +217,33 @@ def triggers(metrics: DataFrame, keys, ts: str = "ts", metric: str = "metric", v
             test = test & (C(value) <= high)
         action = F.when(test, act) if action is None else action.when(test, act)
         cool = F.when(test, secs) if cool is None else cool.when(test, secs)
-    hits = metrics.withColumns({"action": action, "_cool": cool}).where(C("action").isNotNull())
-    plan = plan_series(hits, [*keys, "action"], [ts], depth=1)
-    got = bounded(hits, plan, 1, lambda d, p: d.withColumn("_prev", F.lag(ts).over(p.window())))
-    since = F.timestamp_diff("MICROSECOND", C("_prev"), C(ts)) / 1e6
-    return got.where(C("_prev").isNull() | (since >= C("_cool"))).drop("_prev", "_cool")
+    hits = metrics.withColumns({"action": action, "_cool": cool.cast("long") * 1_000_000}).where(C("action").isNotNull())
+    hits = hits.withColumn("_us", position(hits, ts))
+    series = [*keys, "action"]
+    plan = plan_series(hits, series, ["_us"], depth=1)
+
+    def flag(d: DataFrame, p) -> DataFrame:
+        before = F.lag("_us").over(p.window())
+        return d.withColumn("_start", F.when(before.isNull() | (C("_us") - before >= C("_cool")), 1).otherwise(0))
+    runs = running(bounded(hits, plan, 1, flag), plan, {"_run": ("sum", "_start")}).drop("_start")
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = last = None
+        for b in batches:
+            run, us, cool_us = (b[c].to_numpy() for c in ("_id", "_us", "_cool"))
+            edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            keep = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi == lo:
+                    continue
+                at = lo
+                if run[lo] == here:
+                    at = lo + int(np.searchsorted(us[lo:hi], last + cool_us[lo]))
+                while at < hi:
+                    keep.append(at)
+                    last = us[at]
+                    at += max(1, int(np.searchsorted(us[at:hi], last + cool_us[at])))
+                here = run[lo]
+            yield b.take(pa.array(keep, pa.int64()))
+    dealt = (runs.withColumn("_id", F.xxhash64(*series, "_run")).repartition(*series, "_run").sortWithinPartitions("_id", *series, "_run", "_us"))
+    return dealt.mapInArrow(fire, dealt.schema).select(*metrics.columns, "action")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.columns import safe_div
-from tickloom.operators.series import (SeriesPlan, attach, bounded, islands, order_value, plan_series, quantiles,
+from tickloom.operators.series import (SeriesPlan, attach, bounded, islands, order_value, plan_series, position, quantiles,
                                        running)
 
 C = F.col
@@ -104,35 +107,87 @@ def ewma(df: DataFrame, keys, order, cols: dict[str, tuple[str, int]], digits: i
     return bounded(df, plan, depth, body)
 
 
-def time_sums(df: DataFrame, keys, ts: str, tie: str, sums: dict[str, Column | str],
-              windows: dict[str, float]) -> DataFrame:
-    """Sums over the last ``seconds`` of time at every row: columns ``{out}_{window}``.
+def _over_time(df: DataFrame, keys, ts: str, tie: str, values: dict[str, Column], longest: float, frame, out: list[str]) -> DataFrame:
+    """Add columns computed from each row's time window by ``frame(position, {name: (values, known)})`` -> {out: (values, known)}.
 
-    Each row enters with its value and leaves ``seconds`` later with the opposite sign, so one
-    running sum gives every window in linear time however many rows a window holds.
+    Rows are dealt to fixed stretches of time as long as the longest window, and a stretch also sees the one before it: no pass
+    over the data to count rows, a hot series is cut like any other, and a task holds two windows of one key. What only looks
+    on carries no payload.
     """
-    names = list(windows)
-    vals = df.withColumns({f"_x{i}": (C(c) if isinstance(c, str) else c).cast("double")
-                           for i, c in enumerate(sums.values())})
-    ntz = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
-    steps = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(int(s * 1_000_000)).cast("long").alias("us"))
-                      for k, s in enumerate([0.0, *windows.values()])])
-    moves = vals.withColumn("_m", F.explode(steps)).withColumns({
-        "_kind": C("_m.kind"),
-        "_at": F.timestamp_add("MICROSECOND", C("_m.us"), C(ts)).cast("timestamp_ntz" if ntz else "timestamp")})
+    width = int(longest * 1_000_000)
+    cell = F.floor(position(df, ts) / F.lit(width)).cast("long")
     kept = [c for c in df.columns if c not in (*keys, tie)]
-    # rows that only leave carry no payload
-    moves = moves.withColumn("_row", F.when(C("_kind") == 0, F.struct(*kept)))
-    flows, specs = {}, {}
-    for k, w in enumerate(names, 1):
-        for i, out in enumerate(sums):
-            flows[f"_f{k}_{i}"] = (F.when(C("_kind") == 0, C(f"_x{i}")).when(C("_kind") == k, -C(f"_x{i}"))
-                                   .otherwise(0.0))
-            specs[f"{out}_{w}"] = ("sum", f"_f{k}_{i}")
-    slim = moves.withColumns(flows).select(*keys, tie, "_at", "_kind", "_row", *flows)
-    order = ["_at", "_kind", tie]
-    done = running(slim, plan_series(slim, keys, order), specs).where(C("_kind") == 0)
-    return done.select(*keys, tie, *[C("_row")[c].alias(c) for c in kept], *specs)
+    d = df.select(*keys, tie, position(df, ts).alias("_pos"), F.explode(F.array(cell, cell + 1)).alias("_cell"), cell.alias("_home"),
+                  *[v.cast("double").alias(f"_x_{n}") for n, v in values.items()], F.struct(*kept).alias("_row"))
+    d = d.withColumn("_row", F.when(C("_cell") == C("_home"), C("_row")))
+    schema = T.StructType([*[df.schema[c] for c in (*keys, tie)], T.StructField("_row", d.schema["_row"].dataType), *[T.StructField(o, T.DoubleType()) for o in out]])
+
+    names = list(values)
+
+    def run(group: pa.Table) -> pa.Table:
+        g = group.sort_by([("_pos", "ascending"), (tie, "ascending")]).combine_chunks()
+        arrays = {n: (g[f"_x_{n}"].fill_null(0.0).to_numpy(), g[f"_x_{n}"].is_valid().to_numpy()) for n in names}
+        got = frame(g["_pos"].to_numpy(), arrays)
+        cols = [g[c] for c in (*keys, tie, "_row")] + [pa.array(x, pa.float64(), mask=~known) for x, known in (got[o] for o in out)]
+        return pa.table(cols, [*keys, tie, "_row", *out]).filter(pc.equal(g["_cell"], g["_home"]))
+    done = d.groupBy(*keys, "_cell").applyInArrow(run, schema)
+    return done.select(*keys, tie, *[C("_row")[c].alias(c) for c in kept], *out)
+
+
+def _fold_frames(length: np.ndarray, last: np.ndarray, parts: tuple, empty: tuple, add) -> tuple:
+    """Fold ``length`` rows up to row ``last`` for all rows at once, out of folds over 1, 2, 4, ... rows: nothing outside a frame
+    ever enters it, so there is nothing to take off again."""
+    total, at, size = tuple(np.full(len(length), e) for e in empty), last.copy(), 1
+    while len(length) and size <= int(length.max()):
+        use = np.flatnonzero(length & size)
+        joined = add(tuple(x[at[use]] for x in parts), tuple(t[use] for t in total))
+        for t, j in zip(total, joined):
+            t[use] = j
+        at[use] -= size
+        longer = tuple(x.copy() for x in parts)
+        for x, j in zip(longer, add(tuple(x[:-size] for x in parts), tuple(x[size:] for x in parts))):
+            x[size:] = j
+        parts, size = longer, size * 2
+    return total
+
+
+def time_sums(df: DataFrame, keys, ts: str, tie: str, sums: dict[str, Column | str], windows: dict[str, float]) -> DataFrame:
+    """Sums over the last ``seconds`` of time at every row, equal times in the order of ``tie``: columns ``{out}_{window}``.
+
+    An infinite or huge value touches only the windows that hold it. NULL values count as 0.
+    """
+    values = {o: (C(c) if isinstance(c, str) else c) for o, c in sums.items()}
+
+    def frame(pos, arrays):
+        here, out = np.arange(len(pos)), {}
+        for w, seconds in windows.items():
+            length = here - np.searchsorted(pos, pos - int(seconds * 1_000_000)) + 1
+            for n, (x, _) in arrays.items():
+                with np.errstate(invalid="ignore", over="ignore"):
+                    out[f"{n}_{w}"] = _fold_frames(length, here, (x,), (0.0,), lambda a, b: (a[0] + b[0],))[0], np.ones(len(pos), bool)
+        return out
+    return _over_time(df, keys, ts, tie, values, max(windows.values()), frame, [f"{o}_{w}" for w in windows for o in sums])
+
+
+def _merge_moments(a, b):
+    """(n, mean, sum of squared deviations) of two lots of rows together."""
+    n = a[0] + b[0]
+    d, share = b[1] - a[1], np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    return n, np.where(a[0] > 0, a[1] + d * share, b[1]), a[2] + b[2] + np.where((a[0] > 0) & (b[0] > 0), d * d * a[0] * share, 0.0)
+
+
+def time_moments(df: DataFrame, keys, ts: str, tie: str, col: str, seconds: float) -> DataFrame:
+    """``samples``, ``mean`` and ``std`` (sample) of the values in the last ``seconds`` before each row, itself excluded."""
+    def frame(pos, arrays):
+        x, known = arrays["x"]
+        here = np.arange(len(pos))
+        length = here - np.searchsorted(pos, pos - int(seconds * 1_000_000))
+        one = known.astype(float)
+        with np.errstate(invalid="ignore", over="ignore"):
+            n, mean, square = _fold_frames(length, np.maximum(here - 1, 0), (one, x, np.zeros(len(x))), (0.0, 0.0, 0.0), _merge_moments)
+            std = np.sqrt(square / np.maximum(n - 1, 1))
+        return {"samples": (n, n >= 0), "mean": (mean, n >= 1), "std": (std, n >= 2)}
+    return _over_time(df, keys, ts, tie, {"x": C(col)}, seconds, frame, ["samples", "mean", "std"])
 
 
 def latest_per(df: DataFrame, keys, ts: str = "ts") -> DataFrame:

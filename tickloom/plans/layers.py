@@ -80,20 +80,29 @@ def liquidity_vacuum(books: DataFrame, typical_depth: float = 1000.0) -> DataFra
                            "breakout_probability": F.when(v > 70, 85).when(v > 50, 65).when(v > 30, 40).otherwise(20)})
 
 
-def orderbook_persistence(books: DataFrame, by=("symbol",), ts: str = "ts", n: int = 60, levels: int = 20, top: int = 5) -> DataFrame:
-    """Prices standing in at least half of the last n snapshots: support and resistance with reliability."""
-    w = Window.partitionBy(*by).orderBy(C(ts).desc())
-    last = books.withColumn("_r", F.row_number().over(w)).where(C("_r") <= n)
-    total = last.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")).where(C("_total") >= 5)
+def orderbook_persistence(books: DataFrame, by=("symbol",), venue: str = "exchange", ts: str = "ts", tie: str | None = None, n: int = 60, levels: int = 20,
+                          per_venue: int = 5, top: int = 10) -> DataFrame:
+    """Prices standing in at least half of the last n snapshots of a venue: support and resistance with reliability.
+
+    A venue gives its ``per_venue`` best levels of a side; of all venues' levels the ``top`` best of a side stay. ``overall_score``
+    is the mean reliability of what stays for a symbol.
+    """
+    own = [*by, venue]
+    newest = Window.partitionBy(*own).orderBy(C(ts).desc(), *([C(tie).desc()] if tie else []))
+    last = books.withColumn("_r", F.row_number().over(newest)).where(C("_r") <= n)
+    total = last.groupBy(*own).agg(F.count(F.lit(1)).alias("_total")).where(C("_total") >= 5)
     both = F.concat(*[F.transform(F.slice(s, 1, levels), _tag(k)) for s, k in (("bids", "support"), ("asks", "resistance"))])
-    lv = last.select(*by, F.explode(both).alias("l")).groupBy(*by, "l.zone", "l.price").agg(
+    lv = last.select(*own, F.explode(both).alias("l")).groupBy(*own, "l.zone", "l.price").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("l.qty").alias("avg_size"), F.var_pop("l.qty").alias("size_variance"))
     pct = C("_n") / C("_total") * 100
-    d = lv.join(total, list(by)).withColumn("persistence_pct", pct).where(C("persistence_pct") >= 50)
+    d = lv.join(total, own).withColumn("persistence_pct", pct).where(C("persistence_pct") >= 50)
     d = d.withColumn("reliability", F.when(C("avg_size") > 0, C("persistence_pct") * (
         1 - F.least(C("size_variance") / C("avg_size"), F.lit(1.0)))).otherwise(0.0))
-    rank = F.row_number().over(Window.partitionBy(*by, "zone").orderBy(C("reliability").desc(), "price"))
-    return d.withColumn("rank", rank).where(C("rank") <= top).drop("_n", "_total")
+    mine = F.row_number().over(Window.partitionBy(*own, "zone").orderBy(C("reliability").desc(), "price"))
+    d = d.withColumn("_v", mine).where(C("_v") <= per_venue)
+    rank = F.row_number().over(Window.partitionBy(*by, "zone").orderBy(C("reliability").desc(), venue, "price"))
+    d = d.withColumn("rank", rank).where(C("rank") <= top)
+    return d.withColumn("overall_score", F.avg("reliability").over(Window.partitionBy(*by))).drop("_n", "_total", "_v")
 
 
 def _tag(kind: str):

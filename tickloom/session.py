@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def build_session(app: str = "tickloom", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf) -> SparkSession:
     """UTC clock, AQE with skew handling; cluster settings win where given."""
@@ -18,6 +21,8 @@ def build_session(app: str = "tickloom", master: str | None = None, shuffle_part
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          # methods beyond 8000 bytes are never compiled by the JVM: rather run those stages operator by operator
          .config("spark.sql.codegen.hugeMethodLimit", "8000")
+         # checkpoints go when nothing refers to them any more
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = b.master(master)
@@ -31,12 +36,13 @@ def build_session(app: str = "tickloom", master: str | None = None, shuffle_part
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared checkpoint folder. On a local master alone, where there is no cluster to share with, an unset folder
+    is made for the session; on any other master it must be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _OWN.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tickloom-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tickloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
