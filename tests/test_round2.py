@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import detectors as D
 from tickloom.operators import models as M
@@ -12,6 +13,8 @@ from tickloom.operators import quality as Q
 from tickloom.operators import windows as W
 from tickloom.plans import layers as L
 
+C = F.col
+
 T0 = datetime(2024, 1, 1)
 
 
@@ -132,3 +135,22 @@ def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
                 return default
     with pytest.raises(RuntimeError):
         session.scratch_dir(Fake())
+
+
+def test_signals_read_what_calculators_produce(spark, tiny):
+    from tickloom.checks.composites import raw_streams
+    from tickloom.checks.institutional import VENUES
+    from tickloom.checks.streams import Tables
+    from tickloom.plans import composites as P
+    seen = P.market_features(raw_streams(Tables(spark, tiny)), every="6 hours", venues=VENUES, cluster_ms=7_200_000)
+    assert {s: sorted(seen.schema[s].dataType.fieldNames()) for s in P.FIELDS} == {s: sorted(f) for s, f in P.FIELDS.items()}
+    out = P.all_signals(seen, by=["symbol"]).select(
+        "symbol", "ts", "event_id", C("orderbook.bid_wall_detected").alias("wall"), C("trades.iceberg_detected").alias("berg"), C("trades.trade_clustering_index").alias("packed"),
+        C("orderbook.spread").alias("spread"), C("ticker.volume").alias("volume"), C("smart_money_flow.volume_estimate").alias("estimate"),
+        C("arbitrage_opportunity.components.execution_feasibility").alias("feasible"), C("execution_quality.components.low_impact").alias("impact")).toPandas()
+    assert not out.duplicated(["symbol", "ts", "event_id"]).any() and len(out) >= 1000
+    assert out.spread.dropna().gt(0).all() and out.volume.dropna().gt(0).all() and out.packed.dropna().between(0, 1).all() and out.packed.nunique() > 10
+    assert out.estimate.gt(0).any() and out.feasible.eq(1).any() and out.impact.nunique() > 10 and out.wall.notna().any() and out.berg.notna().any()
+    with pytest.raises(KeyError):
+        P.Feed(seen)("trades.no_such_field")
+    assert seen.where(F.col("ticker").isNull()).count() < seen.count()

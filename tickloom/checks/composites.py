@@ -18,11 +18,12 @@ INPUTS = {
     "orderbook": {"absorption_ratio": "(k % 23) / 18e0", "pull_wall_detected": "event_id % 7 = 0", "push_wall_detected": "event_id % 5 = 0",
                   "add_cancel_ratio": "(k % 11) / 9e0", "depth_imbalance_5": "(k - 50) / 60e0", "depth_imbalance_10": "(event_id % 21 - 10) / 15e0",
                   "liquidity_persistence_score": "(event_id % 13) / 13e0", "liquidity_gradient": "(k % 30) / 15e0",
-                  "bid_depth_10": "value", "ask_depth_10": "value / 2", "spread": "k / 1000e0"},
+                  "bid_depth_10": "value", "ask_depth_10": "value / 2", "spread": "k / 1000e0", "bid_wall_detected": "event_id % 8 = 3",
+                  "ask_wall_detected": "event_id % 11 = 5"},
     "trades": {"whale_volume_ratio": "(k % 9) / 12e0", "whale_trade_detected": "event_id % 4 = 0", "flow_toxicity": "(event_id % 11) / 11e0",
                "cvd_price_divergence": "(k - 50) / 50e0", "sweep_detected": "event_id % 9 = 0", "cvd_slope": "(event_id % 19 - 9) / 90e0",
                "aggressive_delta": "(value - 50) / 100", "buy_pressure": "k / 100e0", "sell_pressure": "1 - k / 100e0",
-               "aggressive_ratio": "(k + 1) / 50e0"},
+               "aggressive_ratio": "(k + 1) / 50e0", "iceberg_detected": "event_id % 6 = 1", "trade_clustering_index": "(event_id % 12) / 12e0"},
     "funding": {"funding_zscore": "(value - 60) / 20", "funding_regime_score": "(event_id % 5 - 2) * 1e0", "funding_percentile": "k * 1e0",
                 "funding_momentum": "(event_id % 7 - 3) / 10e0", "funding_carry_yield": "(value - 50) / 300",
                 "funding_regime": "CASE WHEN event_id % 3 = 0 THEN 'neutral' ELSE 'positive' END"},
@@ -115,7 +116,8 @@ def _(t):
 
 
 @query("c6_market_maker_activity", uses="ev", doubles="value confidence", sql=sql_signal({
-    "wall_activity": "CASE WHEN orderbook_pull_wall_detected OR orderbook_push_wall_detected THEN 0.4e0 END",
+    "wall_activity": """nullif(CASE WHEN orderbook_pull_wall_detected OR orderbook_push_wall_detected THEN 0.4e0 ELSE 0 END + CASE WHEN
+        orderbook_bid_wall_detected OR orderbook_ask_wall_detected THEN 0.3e0 ELSE 0 END, 0)""",
     "spread_manipulation": "least(1, abs(prices_spread_zscore) * 0.3 + abs(prices_spread_compression_velocity) * 0.5)",
     "quote_stuffing": "greatest(0, 1 - orderbook_add_cancel_ratio)",
     "inventory_signal": "CASE WHEN orderbook_depth_imbalance_5 <> 0 OR orderbook_depth_imbalance_10 <> 0 THEN least(1, abs(orderbook_depth_imbalance_5 - orderbook_depth_imbalance_10) * 2) END"},
@@ -143,8 +145,8 @@ def _(t):
 
 
 @query("c8_institutional_phase", uses="ev", doubles="value confidence intensity", sql=f"""{FLAT}, p AS (SELECT *, CASE WHEN
-       trades_whale_trade_detected OR trades_whale_volume_ratio > 0.1 THEN trades_whale_volume_ratio * 2 + CASE WHEN trades_whale_trade_detected
-       THEN 0.3 ELSE 0 END END AS w, CASE WHEN orderbook_absorption_ratio > 0 THEN orderbook_absorption_ratio END AS a, CASE WHEN
+       trades_whale_trade_detected OR trades_whale_volume_ratio > 0.1 OR trades_iceberg_detected THEN trades_whale_volume_ratio * 2 + CASE WHEN
+       trades_whale_trade_detected THEN 0.3 ELSE 0 END + CASE WHEN trades_iceberg_detected THEN 0.4 ELSE 0 END END AS w, CASE WHEN orderbook_absorption_ratio > 0 THEN orderbook_absorption_ratio END AS a, CASE WHEN
        abs(oi_oi_delta_pct) > 0.5 THEN least(1, abs(oi_oi_delta_pct) / 5) END AS o, least(1, abs(prices_price_vs_vwap / 100) * 10) AS vw FROM f), q AS
        (SELECT *, (CASE WHEN w IS NULL THEN 0 ELSE 1 END + CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN o IS NULL THEN 0 ELSE 1 END + 1) AS n,
        CASE WHEN trades_cvd_slope > 0 THEN coalesce(w, 0) * 0.5 ELSE 0 END + CASE WHEN orderbook_depth_imbalance_5 > 0.1 THEN coalesce(a, 0) * 0.4
@@ -165,10 +167,11 @@ def _(t):
         greatest(0, 1 - ticker_range_vs_atr)) END""",
     "b": """CASE WHEN orderbook_liquidity_gradient > 1.2 OR orderbook_liquidity_persistence_score < 0.4 THEN least(1, (orderbook_liquidity_gradient - 1)
         * 0.5 + (1 - orderbook_liquidity_persistence_score) * 0.5) END""",
-    "c": "CASE WHEN abs(funding_funding_zscore) > 1 THEN least(1, abs(funding_funding_zscore) / 3) END"}, "least(1, v)",
-    extra=", z AS (SELECT 1)", labels="""CASE WHEN CASE WHEN abs(funding_funding_zscore) > 1 THEN -funding_funding_zscore * 0.3 ELSE 0 END +
-    oi_oi_delta_pct * 0.3 > 0.3 THEN 'UP' WHEN CASE WHEN abs(funding_funding_zscore) > 1 THEN -funding_funding_zscore * 0.3 ELSE 0 END +
-    oi_oi_delta_pct * 0.3 < -0.3 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, v * 3 AS expected_magnitude_pct, CASE WHEN v > 0.7 THEN 4 WHEN v > 0.5
+    "c": "CASE WHEN abs(funding_funding_zscore) > 1 THEN least(1, abs(funding_funding_zscore) / 3) END",
+    "d": "CASE WHEN trades_trade_clustering_index > 0.5 THEN least(1, trades_trade_clustering_index) END"}, "least(1, v)",
+    extra=", z AS (SELECT 1)", labels="""CASE WHEN CASE WHEN abs(funding_funding_zscore) > 1 THEN -funding_funding_zscore * 0.3 ELSE 0 END + CASE WHEN
+    trades_trade_clustering_index > 0.5 THEN trades_cvd_slope * 2 + trades_aggressive_delta * 0.5 ELSE 0 END + oi_oi_delta_pct * 0.3 > 0.3 THEN 'UP' WHEN CASE WHEN abs(funding_funding_zscore) > 1 THEN -funding_funding_zscore * 0.3 ELSE 0 END + CASE WHEN
+    trades_trade_clustering_index > 0.5 THEN trades_cvd_slope * 2 + trades_aggressive_delta * 0.5 ELSE 0 END + oi_oi_delta_pct * 0.3 < -0.3 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, v * 3 AS expected_magnitude_pct, CASE WHEN v > 0.7 THEN 4 WHEN v > 0.5
     THEN 12 ELSE 24 END AS timeframe_hours"""))
 def _(t):
     return one(t, P.volatility_breakout)
@@ -268,7 +271,7 @@ def _(t):
 @query("c15_execution_quality", uses="ev", doubles="value confidence slippage_estimate_bps max_size_no_impact", sql=sql_signal({
     "a": "least(1, (orderbook_bid_depth_10 + orderbook_ask_depth_10) / 100) * 0.6 + orderbook_liquidity_persistence_score * 0.4",
     "b": """CASE WHEN prices_spread_zscore < 0 THEN least(1, greatest(0, 1 - prices_spread_bps / 20) + abs(prices_spread_zscore) * 0.1) ELSE greatest(0, 1 -
-        prices_spread_bps / 20) END""", "c": "greatest(0, 1 - (0.25 + abs(trades_aggressive_ratio - 0.5)))",
+        prices_spread_bps / 20) END""", "c": "greatest(0, 1 - (trades_trade_clustering_index * 0.5 + abs(trades_aggressive_ratio - 0.5)))",
     "d": "least(1, ticker_relative_volume_percentile / 100)"}, "least(1, v)", labels="""CASE WHEN v > 0.8 THEN 'EXCELLENT' WHEN v > 0.6 THEN 'GOOD' WHEN v >
     0.4 THEN 'FAIR' ELSE 'POOR' END AS quality, prices_spread_bps / 2 + (1 - c) * 10 AS slippage_estimate_bps, (orderbook_bid_depth_10 +
     orderbook_ask_depth_10) * v * 0.1 AS max_size_no_impact, CASE WHEN v > 0.8 THEN 1 WHEN v > 0.6 THEN 3 WHEN v > 0.4 THEN 5 ELSE 10 END AS
@@ -414,3 +417,17 @@ def _(t):
 def _(t):
     from tickloom.checks.windows import labelled
     return P.regime_timeline(labelled(t), ["series"], ["ts"], "regime")
+
+
+def raw_streams(t):
+    return {"prices": t.quotes, "orderbook": t.timed_books, "trades": t.trades, "funding": t.funding, "oi": t.oi, "liquidations": t.liquidations,
+            "mark_prices": t.marks, "ticker": t.ticker}
+
+
+@query("c0_signals_from_raw_streams")
+def _(t):
+    """All calculators, the newest features of every stream, all fifteen signals and the recommendation at every update."""
+    from tickloom.checks.institutional import VENUES
+    wide = P.all_signals(P.market_features(raw_streams(t), every="6 hours", venues=VENUES, cluster_ms=7_200_000), by=["symbol"])
+    ranked = P.correlation_penalty(P.rank_signals(P.signal_rows(wide, ["symbol"]), ["symbol"]), ["symbol"])
+    return P.recommend(ranked, ["symbol"])

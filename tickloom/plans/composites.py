@@ -22,8 +22,52 @@ C = F.col
 Signal = Generator[dict[str, Column], dict[str, Column], Column]
 
 
+# The fields that signals read, by stream. ``market_features`` produces all of them.
+FIELDS = {
+    "prices": "hurst_exponent mid_zscore price_efficiency price_vs_vwap spread_bps spread_compression_velocity spread_zscore",
+    "orderbook": "absorption_ratio add_cancel_ratio ask_depth_10 ask_wall_detected bid_depth_10 bid_wall_detected depth_imbalance_10 depth_imbalance_5 "
+                 "liquidity_gradient liquidity_persistence_score pull_wall_detected push_wall_detected spread",
+    "trades": "aggressive_delta aggressive_ratio buy_pressure cvd_price_divergence cvd_slope flow_toxicity iceberg_detected sell_pressure sweep_detected "
+              "trade_clustering_index whale_trade_detected whale_volume_ratio",
+    "funding": "funding_carry_yield funding_momentum funding_percentile funding_regime funding_regime_score funding_zscore",
+    "oi": "leverage_index leverage_zscore liquidation_cascade_risk long_short_ratio oi_delta_pct oi_price_correlation position_crowding_score position_intent "
+          "position_intent_score",
+    "liquidations": "cascade_acceleration cascade_probability exhaustion_signal liquidation_cluster_detected liquidation_imbalance",
+    "mark_prices": "annualized_basis basis_zscore dislocation_detected mark_price",
+    "ticker": "institutional_interest_idx market_strength price_change_pct range_vs_atr relative_volume_percentile volatility_compression_idx "
+              "volatility_expansion_idx volume"}
+FIELDS = {k: v.split() for k, v in FIELDS.items()}
+
+
+def market_features(streams: dict[str, DataFrame], by=("symbol",), every: str = "1 minute", venues: list[str] = (), cluster_ms: int = 500,
+                    ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The calculators of all given raw streams, and at every update the newest features of each: what ``all_signals`` reads.
+
+    ``streams`` may hold prices, orderbook, trades, funding, oi, liquidations, mark_prices and ticker. Batches of trades and
+    liquidations are known when their bucket ends.
+    """
+    from tickloom.operators.joins import feature_cache
+    from tickloom.plans import institutional as I
+    order, keys = (ts, tie), list(by)
+
+    def batched(df: DataFrame) -> DataFrame:
+        n, unit = every.split()
+        return df.withColumns({ts: C("bucket") + F.expr(f"INTERVAL {n} {unit}"), tie: F.lit(0).cast("long")})
+
+    makers = {"prices": lambda d: I.inst_prices(d, keys, order), "orderbook": lambda d: I.inst_orderbook(d, keys, order),
+              "trades": lambda d: batched(I.inst_trades(d, every, keys, ts)), "funding": lambda d: I.inst_funding(d, list(venues), keys, order),
+              "oi": lambda d: I.inst_oi(d, keys, order), "liquidations": lambda d: batched(I.inst_liquidations(d, every, keys, ts, tie, cluster_ms)),
+              "mark_prices": lambda d: I.inst_mark(d, keys, order), "ticker": lambda d: I.inst_ticker(d, keys, order)}
+    made = {name: makers[name](df).select(*keys, ts, F.col(tie).cast("long").alias(tie), *FIELDS[name]) for name, df in streams.items()}
+    seen = feature_cache(made, keys, ts, tie)
+    # streams that update at one time and tie are one update: the row that has seen them all
+    rank = F.array_position(F.array(*map(F.lit, made)), C("updated"))
+    newest = F.row_number().over(Window.partitionBy(*keys, ts, tie).orderBy(rank.desc()))
+    return seen.withColumn("_k", newest).where("_k = 1").drop("_k")
+
+
 class Feed:
-    """Access to stream fields, with a default where stream, field or value is missing.
+    """Access to stream fields, with a default where stream, field or value is missing; a field that no schema declares is an error.
 
     A signal is a generator: it yields expressions it uses several times, gets them back as columns,
     and returns its struct. ``finish`` runs the signals side by side, one projection per step for all
@@ -37,6 +81,8 @@ class Feed:
 
     def __call__(self, name: str, default=None) -> Column:
         stream, field = name.split(".")
+        if field not in FIELDS[stream]:
+            raise KeyError(f"no calculator produces {name}")
         has = field in self.fields.get(stream, ())
         if default is None:
             return C(name) if has else F.lit(None).cast("double")
