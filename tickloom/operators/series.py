@@ -14,6 +14,7 @@ order column, so they are a pure function of the data and survive recomputation.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -90,13 +91,29 @@ def _count_cuts(cuts: Column, pos: Column) -> Column:
         lambda at, s: F.when((at + s <= F.size(cuts)) & (F.get(cuts, at + s - 1) <= pos), at + s).otherwise(at)))
 
 
+#: Sources in which no series was hot. Columns and windows added on the way are pruned from what names a source, so the steps of
+#: a job share one look at it. Only this answer is kept: if the source grows meanwhile, work is less even and results the same.
+_CALM: OrderedDict = OrderedDict()
+
+
+def _source(df: DataFrame, keys, order, limit: int):
+    plan = df.select(*keys, order[0])._jdf.queryExecution().optimizedPlan()
+    return df.sparkSession.sparkContext.applicationId, plan.semanticHash(), tuple(keys), order[0], limit
+
+
 def plan_series(df: DataFrame, keys, order, depth: int = 0) -> SeriesPlan:
     """Look for hot series; ``depth`` is the longest row look-back a later ``bounded`` will use."""
     keys, order = tuple(keys), tuple(order)
     limit = max_rows(df)
+    source = _source(df, keys, order, limit)
+    if source in _CALM:
+        return SeriesPlan(keys, order)
     counts = (df.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") > limit).orderBy(F.col("n").desc()).limit(MAX_CHUNKS).collect())
     if not counts:
+        _CALM[source] = True
+        while len(_CALM) > 1000:
+            _CALM.popitem(last=False)
         return SeriesPlan(keys, order)
     target = max(limit, depth + 1, sum(r["n"] for r in counts) // MAX_CHUNKS)
     spark = df.sparkSession
