@@ -154,3 +154,18 @@ def test_signals_read_what_calculators_produce(spark, tiny):
     with pytest.raises(KeyError):
         P.Feed(seen)("trades.no_such_field")
     assert seen.where(F.col("ticker").isNull()).count() < seen.count()
+
+
+def test_retention_removes_whole_days_and_upserts_keep_the_first(spark, tmp_path):
+    from datetime import date
+
+    from tickloom.sources import store
+    rows = [("s", f"2024-01-0{d}", i) for d in range(1, 6) for i in range(3)]
+    spark.createDataFrame(rows, "symbol string, day string, v int").write.partitionBy("day").parquet(str(tmp_path / "trades"))
+    assert store.retain(spark, str(tmp_path), "trades", date(2024, 1, 3)) == ["2024-01-01", "2024-01-02"]
+    left = spark.read.parquet(str(tmp_path / "trades"))
+    assert left.count() == 9 and left.agg(F.min("day").cast("string")).first()[0] == "2024-01-03"
+    new = spark.createDataFrame([(1, "2024-01-03", 9, 5), (1, "2024-01-03", 2, 7), (2, "2024-01-04", 1, 1), (3, "2024-01-09", 4, 4)], "id int, day string, ts int, v int")
+    old = spark.createDataFrame([(2, "2024-01-04"), (8, "2024-01-05")], "id int, day string")
+    got = store.upsert_ignore(new, old, ["id", "day"], ["ts"], ["day"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "2024-01-03", 2, 7), (3, "2024-01-09", 4, 4)]

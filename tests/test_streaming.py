@@ -53,3 +53,39 @@ def test_dedupe_and_replay(spark, tiny, tmp_path):
     write(batch.unionByName(batch), 0)
     write(batch.unionByName(batch), 0)
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 1000
+
+
+def test_drift_does_not_depend_on_the_cuts(spark, tiny, tmp_path):
+    import os
+
+    import numpy as np
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(0, 1, 700), r.normal(4, 1, 700), r.normal(-2, 3, 600)])
+    frame = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "exchange string, event_id long, value double")
+    pdf = frame.select("*", F.timestamp_seconds("event_id").alias("ts")).toPandas()
+    seen = []
+    for pieces in (1, 3, 10):
+        folder = tmp_path / f"in{pieces}"
+        folder.mkdir()
+        for i, part in enumerate(np.array_split(pdf, pieces)):
+            part.assign(ts=part.ts.astype("datetime64[us]")).to_parquet(folder / f"part-{i}.parquet")
+            os.utime(folder / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+        s = X.stream_source(spark, str(folder), spark.read.parquet(str(folder)).schema, max_files=1)
+        out = str(tmp_path / f"out{pieces}")
+        X.run_once(X.stream_drift(s.withColumn("ts", F.col("ts").cast("timestamp")), threshold=100.0), out)
+        seen.append({r["event_id"]: (r["page_hinkley"], r["adwin"]) for r in spark.read.parquet(out).collect()})
+    from tickloom.operators.models import adwin, page_hinkley
+    want = {i: (bool(a), bool(b)) for i, (a, b) in enumerate(zip(page_hinkley(x, threshold=100.0), adwin(x)))}
+    assert seen[0] == seen[1] == seen[2] == want and any(b for _, b in want.values())
+
+
+def test_silent_venues_are_reported(spark, tmp_path):
+    rows = [("a", 10), ("a", 20), ("b", 30), ("a", 70), ("b", 190), ("a", 400)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, "exchange string, s long").select("exchange", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(folder)
+    s = X.stream_source(spark, folder, spark.read.parquet(folder).schema)
+    out = str(tmp_path / "out")
+    X.run_once(X.stream_health(s.withWatermark("ts", "30 seconds"), "1 minute", least=2, expected=["a", "b", "c"]), out)
+    got = {(r["exchange"], int(r["bucket"].timestamp()) // 60): (r["rows"], r["low_rate"], r["silent"]) for r in spark.read.parquet(out).collect()}
+    assert got[("a", 0)] == (2, False, False) and got[("b", 0)] == (1, True, False) and got[("c", 0)] == (0, True, True)
+    assert got[("b", 1)] == (0, True, True) and got[("a", 3)] == (0, True, True) and ("a", 2) not in got

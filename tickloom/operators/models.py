@@ -183,23 +183,29 @@ def changepoints_bocpd(df: DataFrame, keys, every: str, hazard: float = 0.01, th
     return on_grid(df, keys, every, fn, "ts timestamp_ntz, probability double, is_change boolean", **kw)
 
 
-def adwin(x: np.ndarray, delta: float = 0.002, width: int = 1000) -> np.ndarray:
-    """Adaptive window: at each point, drop the older part when two parts of the last ``width`` points differ."""
-    hits, start = np.zeros(len(x), dtype=bool), 0
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    for end in range(1, len(x) + 1):
+def adwin_run(x: np.ndarray, window: np.ndarray, delta: float = 0.002, width: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(alarms at the new points, window after them): a window of at most ``width`` points loses its older part when two parts
+    differ. Each step looks at the window alone, so a series may be fed in any pieces."""
+    both, hits, start = np.concatenate([window, x]), np.zeros(len(x), dtype=bool), 0
+    for end in range(len(window) + 1, len(both) + 1):
         start = max(start, end - width)
         n = end - start
         if n < 21:
             continue
         i = np.arange(10, n - 10)
         m = 1.0 / (1.0 / i + 1.0 / (n - i))
-        gap = np.abs((total[start + i] - total[start]) / i - (total[end] - total[start + i]) / (n - i))
+        total = np.cumsum(both[start:end])
+        gap = np.abs(total[i - 1] / i - (total[-1] - total[i - 1]) / (n - i))
         over = np.flatnonzero(gap > np.sqrt(2.0 / m * math.log(2.0 / delta)))
         if len(over):
-            hits[end - 1] = True
+            hits[end - 1 - len(window)] = True
             start += int(i[over[0]])
-    return hits
+    return hits, both[start:]
+
+
+def adwin(x: np.ndarray, delta: float = 0.002, width: int = 1000) -> np.ndarray:
+    """Alarms of the adaptive window at each point of a series."""
+    return adwin_run(x, np.zeros(0), delta, width)[0]
 
 
 def page_hinkley(x: np.ndarray, delta: float = 0.005, threshold: float = 50.0, alpha: float = 0.9999) -> np.ndarray:

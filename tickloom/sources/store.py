@@ -82,9 +82,18 @@ def append(df: DataFrame, root: str, stream: str, parts=("symbol", "exchange"))
      .write.mode("append").partitionBy(*parts).parquet(f"{root}/{stream}"))
 
 
-def upsert_ignore(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` (one per key) whose key is not in ``target`` yet."""
-    return new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+def upsert_ignore(new: DataFrame, target: DataFrame, keys: list[str], order: list[str] | None = None, parts: list[str] = ()) -> DataFrame:
+    """Rows of ``new`` (one per key: the first by ``order``, else by all columns) whose key is not in ``target`` yet.
+
+    Where keys include partition columns of ``target``, name them in ``parts``: only partitions that ``new`` touches are read.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    lead = [c for c in (order or []) if c not in keys]
+    first = F.min(F.struct(*lead, *[c for c in rest if c not in lead])).alias("_first") if rest else None
+    one = new.groupBy(*keys).agg(first).select(*keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*new.columns) if rest else new.distinct()
+    if parts:
+        target = target.join(F.broadcast(new.select(*parts).distinct()), list(parts), "left_semi")     # as many rows as partitions
+    return one.join(target.select(*keys), keys, "left_anti")
 
 
 def export_day(df: DataFrame, day: date, path: str, ts: str = "ts") -> None:
@@ -101,6 +110,20 @@ def export_features_csv(df: DataFrame, columns: list[str], path: str, ts: str =
     out.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+def retain(spark: SparkSession, root: str, stream: str, first_day: date, ts: str = "ts", day: str = "day") -> list[str]:
+    """Retention of a stored stream partitioned by ``day``: whole partitions before ``first_day`` are removed by name, without
+    reading a row. Returns the days removed. What falls inside the first day is kept."""
+    jvm, folder = spark._jvm, f"{root}/{stream}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, f"{day}=*")):
+        name = status.getPath().getName().split("=", 1)[1]
+        if name < first_day.isoformat() and fs.delete(status.getPath(), True):
+            gone.append(name)
+    return sorted(gone)
+
+
 def apply_retention(df: DataFrame, days: int, ts: str = "ts", as_of=None) -> DataFrame:
     now = F.lit(as_of) if as_of is not None else df.select(F.max(ts)).scalar()
     return df.where(F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS"))

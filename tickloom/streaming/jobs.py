@@ -77,10 +77,18 @@ def stream_divergence(prices: DataFrame, every: str, limit_pct: float = 0.1, ts:
         "symbol", C("w.start").alias("bucket"), "high", "low", "divergence_pct")
 
 
-def stream_health(df: DataFrame, every: str = "1 minute", least: float = 10, by=("exchange",), ts: str = "ts") -> DataFrame:
-    """Rows per window and a low-rate alert."""
+def stream_health(df: DataFrame, every: str = "1 minute", least: float = 10, by=("exchange",), ts: str = "ts", expected: list[str] | None = None) -> DataFrame:
+    """Rows per window and a low-rate alert.
+
+    With the ``expected`` values of the (single) key, every window in which any of them sent something has a row for each, and
+    ``silent`` marks those that sent nothing. The watermark upstream is the grace time.
+    """
     d = df.groupBy(F.window(ts, every).alias("w"), *by).agg(F.count(F.lit(1)).alias("rows"))
-    return d.select(*by, C("w.start").alias("bucket"), "rows", (C("rows") < least).alias("low_rate"))
+    if expected is None:
+        return d.select(*by, C("w.start").alias("bucket"), "rows", (C("rows") < least).alias("low_rate"))
+    seen = d.select(F.window_time("w").alias("t"), C(by[0]).alias("_own"), "rows", F.explode(F.array(*map(F.lit, expected))).alias(by[0]))
+    full = seen.groupBy(F.window("t", every).alias("w"), by[0]).agg(F.sum(F.when(C("_own") == C(by[0]), C("rows")).otherwise(0)).alias("rows"))
+    return full.select(by[0], C("w.start").alias("bucket"), "rows", (C("rows") < least).alias("low_rate"), (C("rows") == 0).alias("silent"))
 
 
 # ---- dedupe and joins ----
@@ -152,9 +160,9 @@ def stream_cvd(trades: DataFrame, keys=("symbol", "exchange"), order=("ts", "tra
 
 
 def stream_drift(df: DataFrame, keys=("exchange",), order=("ts", "event_id"), value: str = "value", delta: float = 0.005, threshold: float = 50.0,
-                 alpha: float = 0.9999, width: int = 500, adwin_delta: float = 0.002) -> DataFrame:
-    """Page-Hinkley and ADWIN alarms with their state kept per key."""
-    from tickloom.operators.models import adwin
+                 alpha: float = 0.9999, width: int = 1000, adwin_delta: float = 0.002) -> DataFrame:
+    """Page-Hinkley and ADWIN alarms; the state of a key is both detectors' own, so cuts between micro-batches leave no trace."""
+    from tickloom.operators.models import adwin_run
 
     def fn(key, chunks, state: GroupState):
         mean, total, low, last = state.get if state.exists else (0.0, 0.0, math.inf, [])
@@ -166,14 +174,9 @@ def stream_drift(df: DataFrame, keys=("exchange",), order=("ts", "event_id"), va
             low = min(low, total)
             if total - low > threshold:
                 hit[i], total, low = True, 0.0, math.inf
-        x = np.concatenate([np.array(last, dtype=float), pdf[value].to_numpy(float)])
-        wide = adwin(x, adwin_delta, width)
-        alarms = np.flatnonzero(wide)
-        kept = x[max(len(x) - width, 0):]
-        if len(alarms):
-            kept = x[max(int(alarms[-1]) - width // 2, len(x) - width, 0):]
-        state.update((mean, total, low, kept.tolist()))
-        f = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "page_hinkley": hit, "adwin": wide[len(last):]})
+        wide, window = adwin_run(pdf[value].to_numpy(float), np.array(last, dtype=float), adwin_delta, width)
+        state.update((mean, total, low, window.tolist()))
+        f = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "page_hinkley": hit, "adwin": wide})
         for k, v in reversed(list(zip(keys, key))):
             f.insert(0, k, v)
         yield f
