@@ -89,6 +89,7 @@ def test_near_duplicates_edge_cases(spark):
 def test_large_groups_of_near_copies(spark, monkeypatch):
     """Chains in which only neighbours are similar enough, and buckets beyond what is joined in one go."""
     monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "SMALL", 6)
     base, table = prose(11, 150), []
     for k in range(150):
         base = edited(base, 7 * k)

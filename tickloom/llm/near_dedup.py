@@ -21,8 +21,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Bits of the map of ids whose full sets are needed.
 BITS = 24
-#: Members of a bucket that are compared in one go; larger buckets are cut into tiles of about this size.
-TILE = 512
+#: Members of a bucket up to which those apart are joined in pairs; beyond, groups are cut into tiles of about TILE members.
+SMALL, TILE = 20, 2000
 
 
 def sketch(values: np.ndarray, bounds: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -159,28 +159,53 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame, least: float, percent: int)
     return full.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _tile_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Likely pairs between classes inside large buckets: members are dealt to tiles by hash, and every two tiles meet in a task
-    of their own, which holds two tiles and sends on only likely pairs."""
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Intersection sizes of all (left, right) pairs of sets, exactly: a product of 0/1 matrices, some thousand values at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[value] > 1                                     # what one set alone holds is in no intersection
+    value, owner = np.unique(value[keep], return_inverse=True)[1], owner[keep]
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    ends = np.searchsorted(value, np.arange(0, (int(value[-1]) + 1 if len(value) else 0) + step, step))
+    for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+        x = np.zeros((len(sets), step), np.float32)
+        x[owner[lo:hi], value[lo:hi] - i * step] = 1
+        total += x[left] @ x[right].T
+    return total.astype(np.int64)
+
+
+def _tile_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links between members of large groups. Members are dealt to tiles by hash and every two tiles meet in a task of their own,
+    which compares all their full sets and sends on a spanning forest of the links it finds, never the pairs."""
     kind = dict(members.dtypes)["k"]
 
     def run(group: pa.Table) -> pa.Table:
         g = group.combine_chunks()
-        side, tile, other = (g[c].to_numpy() for c in ("t", "p", "q"))
-        regs = np.frombuffer(b"".join(g["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        n, c = g["n"].to_numpy(), g["c"].to_pandas().factorize()[0]
-        left, right = np.flatnonzero(side == tile), np.flatnonzero(side == other)
+        side, n = g["t"].to_numpy(), g["n"].to_numpy()
+        left, right = np.flatnonzero(side == g["p"][0].as_py()), np.flatnonzero(side == g["q"][0].as_py())
         out_a, out_b = [], []
-        for i in left:
-            r = right[(right > i) | (tile[0] != other[0])]
-            r = r[(c[r] != c[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
-            if len(r):
-                s = similarity(np.broadcast_to(regs[i], (len(r), REGISTERS)), regs[r], np.full(len(r), n[i]), n[r])
-                out_b += r[s >= least].tolist()
-                out_a += [i] * int((s >= least).sum())
+        if len(left) and len(right):
+            both = shared_counts([np.frombuffer(x, np.uint64) for x in g["s"].to_pylist()], left, right)
+            near = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+            seen_left, seen_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+            for i in range(len(left)):
+                if seen_left[i]:
+                    continue
+                front, root = np.array([i]), left[i]
+                seen_left[i] = True
+                while len(front):                                # breadth first over the links between the two sides
+                    hit = np.flatnonzero(near[front].any(0) & ~seen_right)
+                    seen_right[hit] = True
+                    front = np.flatnonzero(near[:, hit].any(1) & ~seen_left) if len(hit) else hit
+                    seen_left[front] = True
+                    new = [x for x in np.concatenate([right[hit], left[front]]).tolist() if x != root]
+                    out_a += [root] * len(new)
+                    out_b += new
         return pa.table([g["k"].take(pa.array(out_a, pa.int64())), g["k"].take(pa.array(out_b, pa.int64()))], ["a", "b"])
 
-    return members.groupBy("h", "p", "q").applyInArrow(run, f"a {kind}, b {kind}")
+    return members.groupBy("root", "p", "q").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,10 +214,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. Equal sets are one class with one
     representative, so thousands of copies cost one sketch each and no pairs. Representatives meet in the buckets of 40 bands of
     6 registers: a pair at similarity 0.85 shares a bucket with probability 1 - 6e-9, at 0.8 1 - 5e-6. In a bucket only links
-    between different components matter, so pairs are not expanded: all members meet the smallest one, then those that are
-    still in different components meet another one, and what remains apart is compared pair by pair (in tiles, where the
-    bucket is large). Every pair passes the size test and the likelihood estimate (seven standard errors below the threshold),
-    and then the exact test on full sets; only that makes a link.
+    between different components matter, so pairs are not expanded: all members meet the smallest one, and what is still in
+    different components then is compared pair by pair where the bucket is small. These
+    pairs pass the size test and the likelihood estimate (seven standard errors below the threshold) before the exact test on
+    full sets; only that makes a link. Large buckets that remain apart are joined into groups, whose members are compared on
+    full sets tile by tile, each tile pair in a task that returns a spanning forest.
 
     Null, empty and blank texts have no set and are linked with nothing; a text shorter than ``width`` words is one shingle;
     rows without an id take no part (component_id null, kept); repeated rows get equal answers; an empty table gives no rows;
@@ -212,26 +238,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     star = buckets.where("k > hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
     links = stored(_verify(_likely_pairs(star, reps, least, percent), sets, percent), "links")
 
-    def apart() -> DataFrame:
-        """Members of buckets that still hold more than one component."""
-        roots = components(links)
-        now = buckets.select("h", "k", "size").join(roots.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "size", F.coalesce("root", "k").alias("c"))
-        more = now.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max(F.struct("c", "k"))["k"].alias("hub2")).where("c1 < c2")
-        return stored(now.join(more, "h"), "apart")
-
-    left = apart()
-    second = left.where("c < c2").select(F.least("k", "hub2").alias("a"), F.greatest("k", "hub2").alias("b")).distinct()
-    links = stored(links.union(_verify(_likely_pairs(second.join(star, ["a", "b"], "left_anti"), reps, least, percent), sets, percent)), "links")
-    left = apart()
-    small, large = left.where(F.col("size") <= 64), left.where(F.col("size") > 64)
+    # members of buckets that still hold more than one component
+    roots = components(links)
+    now = buckets.select("h", "k", "hub", "size").join(roots.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "hub", "size", F.coalesce("root", "k").alias("c"))
+    more = now.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("h")
+    left = stored(now.join(more, "h"), "apart")
+    small, large = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
     one, two = small.select("h", F.col("k").alias("a"), F.col("c").alias("ca")), small.select("h", F.col("k").alias("b"), F.col("c").alias("cb"))
     met = _likely_pairs(one.join(two, "h").where("a < b AND ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), reps, least, percent)
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = (large.join(reps.select("k", "n", "registers"), "k").withColumn("t", F.pmod(F.xxhash64("k"), tiles).cast("int"))
+    # large buckets hang together: their members are compared once, not once a bucket
+    groups = components(large.select("hub", "k"), "hub", "k").withColumnRenamed("node", "k")
+    groups = stored(groups.join(groups.groupBy("root").count(), "root"), "large-groups")
+    tiles = F.ceil(F.col("count") / TILE).cast("int")
+    dealt = (groups.join(sets, "k").join(reps.select("k", "n"), "k").withColumn("t", F.pmod(F.xxhash64("k"), tiles).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-             .select("h", "k", "c", "n", "registers", "t", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q")))
-    met = met.union(_tile_pairs(dealt, least, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(links.union(_verify(met, sets, percent)), "links")
+             .select("root", "k", "n", "s", "t", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q")))
+    links = stored(links.union(_verify(met, sets, percent)).union(_tile_links(dealt, percent)), "links")
     roots = components(links)
     final = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d", F.coalesce("root", "rep").alias("root"))
     own = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("root")).otherwise(F.col("k"))
