@@ -79,14 +79,15 @@ def equal_windows(cls: np.ndarray, at: np.ndarray, flat: np.ndarray, width: int)
     """(windows, class) of the windows that equal another one of their class: multikey quicksort over words of 8 bytes, whole
     levels at a time. A window that is alone in its class at some level leaves; the others go on to the next word."""
     live = np.arange(len(cls))
-    starts = list(range(0, width - 8, 8)) + [width - 8] if width >= 8 else []
+    starts = [*range(0, width - 8, 8), width - 8]
+    words = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))         # the 8 bytes at every place
     # words at the edges tell windows apart soonest, as the middle is around the common leading string
     for w in [None] + sorted(starts, key=lambda s: min(s, width - 8 - s)):
         if w is None:
             order = np.argsort(cls[live], kind="stable")
             new = cls[live][order][1:] != cls[live][order][:-1]
         else:
-            word = np.ascontiguousarray(flat[(at[live] + w)[:, None] + np.arange(8)]).view(">u8")[:, 0].astype(np.uint64)
+            word = words[at[live] + w]
             order = np.lexsort((word, cls[live]))
             c, word = cls[live][order], word[order]
             new = (c[1:] != c[:-1]) | (word[1:] != word[:-1])
@@ -114,8 +115,24 @@ def resolve(key: np.ndarray, doc: np.ndarray, dig: np.ndarray, first: np.ndarray
     moved = np.any([x[by][1:] != x[by][:-1] for x in (doc, dig, first)], axis=0)
     place = np.empty(len(key), np.int64)
     place[by] = np.cumsum(np.concatenate([[0], moved]))             # one place for one occurrence, also where the table repeats it
+    # rows equal to an earlier one as a whole are covered by it; only different suffixes are taken apart
+    raw, size = seg.tobytes(), count + width - 1
+    best: dict[tuple, int] = {}
+    rest, gone = [], []
+    for i in order[np.argsort(place[order], kind="stable")].tolist():
+        j = best.setdefault((raw[off[i]:off[i] + size[i]], int(lead[i])), i)
+        if j == i:
+            rest.append(i)
+        elif place[i] != place[j]:
+            gone.append(i)
+    is_rest = np.zeros(len(key), bool)
+    is_rest[rest] = True
+    group, order = group[is_rest[order]], order[is_rest[order]]
+    gone = np.array(gone, np.int64)
+    many = np.bincount(group, minlength=1)[group] > 1
+    order, group = order[many], group[many]
     ends = np.cumsum(count[order])
-    rows_out, starts_out = [], []
+    rows_out, starts_out, stops_out = [gone], [first[gone]], [first[gone] + size[gone]]
     lo = 0
     while lo < len(order):
         hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right"))
@@ -137,10 +154,9 @@ def resolve(key: np.ndarray, doc: np.ndarray, dig: np.ndarray, first: np.ndarray
             later = live[rank > rank[np.maximum.accumulate(np.where(head, np.arange(len(same)), 0))]]
             rows_out.append(rows[r[later]])
             starts_out.append(first[rows[r[later]]] + j[later])
+            stops_out.append(starts_out[-1] + width)
         lo = hi
-    rows = np.concatenate(rows_out) if rows_out else np.zeros(0, np.int64)
-    start = np.concatenate(starts_out) if starts_out else np.zeros(0, np.int64)
-    return merged(rows, start, start + width)
+    return merged(np.concatenate(rows_out), np.concatenate(starts_out), np.concatenate(stops_out))
 
 
 _COVER = "kd long, dig long, lo long, hi long"
