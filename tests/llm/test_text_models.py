@@ -208,3 +208,16 @@ def test_gradients_match_differences(most):
             down = loss()
             flat[j] = keep
             assert abs((up - down) / 2e-6 - grad[name].ravel()[j]) < 1e-3 * max(1, abs(grad[name].ravel()[j]))
+
+
+def test_tries_of_ranges_answer_like_one_trie(monkeypatch):
+    r = np.random.default_rng(6)
+    n, words_ = 5000, np.sort(r.integers(1, 1 << 47, 60, np.uint64))
+    toks = np.minimum(r.geometric(.08, n), 60) - 1
+    v, u = np.concatenate([[0], toks[:-1]]), np.concatenate([[0, 0], toks[:-2]])
+    row = dict(block=3, all=n, kinds=60, v=lm_scoring.squeeze_hashes(words_), vi=lm_scoring.squeeze(v), w=lm_scoring.squeeze_hashes(words_), c=lm_scoring.squeeze(np.bincount(toks, minlength=60)),
+               ui=lm_scoring.squeeze(u), wi=lm_scoring.squeeze(toks), doc=lm_scoring.squeeze(np.diff(np.arange(n) // 50 * 2 + 1, prepend=0)))
+    whole = list(lm_scoring.score_shard([row], .75))
+    monkeypatch.setattr(lm_scoring, "TRIE_TOKENS", 40)
+    ranged = list(lm_scoring.score_shard([row], .75))
+    assert (whole[0][1] == ranged[0][1]).all() and np.allclose(whole[0][2], ranged[0][2], atol=1e-9) and whole[0][0] == 3
