@@ -248,3 +248,12 @@ def test_line_templates(spark, min_docs):
         assert r.text == "\n".join(x for p, x in enumerate(text.split("\n")) if p not in gone)
     assert line_dedup.drop_templates(empty(spark)).count() == 0
     assert len(line_dedup.drop_templates(edge(spark)).collect()) == len(rows())
+
+
+def test_a_leaf_has_several_templates(spark):
+    names = ["alice", "bob", "carol", "dave"]
+    log = [(i, f"12:0{i} 7 INFO connection closed by peer now\n12:1{i} 8 INFO user {n} logged in today\n12:2{i} 9 INFO disk of {n} is full") for i, n in enumerate(names)]
+    log += [(9, "1 2 INFO connection closed by peer now\n1 2 INFO something else happened there once")]
+    out = {r.doc_id: r for r in line_dedup.drop_templates(spark.createDataFrame(log, "doc_id long, text string").repartition(3)).collect()}
+    assert out[0].text == log[0][1] and [out[i].text for i in (1, 2, 3)] == ["", "", ""]
+    assert out[9].text == "1 2 INFO something else happened there once"

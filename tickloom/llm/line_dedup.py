@@ -12,6 +12,8 @@ from tickloom.llm.common import SPACE, let, stored, table, words_of
 DEPTH = 3
 #: Share of equal tokens from which a line belongs to the template that heads its leaf.
 ALIKE = 0.5
+#: Words with a letter that lines of one template have in common behind the leading tokens, and fields tried as the variable one.
+FIXED, FIELDS = 2, 16
 
 
 def tokens_of(line: Column) -> Column:
@@ -28,6 +30,24 @@ def line_keys(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), entry), lambda e: e["size"] > 0)
 
 
+def solid(tokens: Column) -> Column:
+    """How many tokens are constant words: no ``<*>``, and with a letter."""
+    return F.size(F.filter(tokens, lambda x: (x != "<*>") & x.rlike(r"\p{L}")))
+
+
+def field_keys(leaf: Column, w: Column) -> Column:
+    """Hashes of the line without one field each: a third of the tokens behind the leading ones, at up to FIELDS places. Lines that
+    differ within such a field alone share the hash, and by it at least two thirds of these tokens."""
+    rest = F.size(w) - DEPTH
+    field = F.floor(rest / 3).cast("int")
+    step = F.greatest(F.lit(1), F.ceil((rest - field) / (FIELDS - 1)).cast("int"))
+    def entry(i):
+        before, after = F.slice(w, DEPTH + 1, i), F.slice(w, i + field + DEPTH + 1, F.size(w))
+        return F.struct(F.xxhash64(leaf, i, before, after).alias("key"), (solid(before) + solid(after)).alias("solid"))
+    made = F.filter(F.transform(F.sequence(F.lit(0), rest - field, step), entry), lambda e: e["solid"] >= FIXED)
+    return F.when(rest >= 3, F.transform(made, lambda e: e["key"])).otherwise(F.array().cast("array<bigint>"))
+
+
 def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with kd, dig, t and their other columns; places of lines to drop: kd, dig, drops)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -52,7 +72,12 @@ def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str
     led = bodies.join(shared, ["leaf", "exact"])
     top = bodies.join(heads.select("leaf", F.col("head").alias("exact")), ["leaf", "exact"]).select("leaf", F.col("w").alias("h"))
     same = F.size(F.filter(F.zip_with("w", "h", lambda x, y: x == y), lambda x: x))
-    joined = led.join(top, "leaf").where((same >= F.lit(ALIKE) * F.size("w"))).select("leaf", "exact", F.col("head").alias("template"))
+    met = led.join(top, "leaf").withColumn("alike", same >= F.lit(ALIKE) * F.size("w"))
+    # the others meet by what is left of them without a field: every template of a leaf is found, however many it has
+    fields = stored(met.where("NOT alike").select("leaf", "exact", F.explode(field_keys(F.col("leaf"), F.col("w"))).alias("key")), "line-fields")
+    kinds = fields.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    chosen = fields.join(kinds, ["leaf", "key"]).groupBy("leaf", "exact").agg(F.max(F.struct("kinds", "key"))["key"].alias("template"))
+    joined = stored(met.where("alike").select("leaf", "exact", F.col("head").alias("template")).union(chosen), "joined-lines")
     named = exact.join(joined, ["leaf", "exact"], "left").withColumn("template", F.coalesce("template", "exact"))
     groups = named.groupBy("leaf", "template").agg(F.min("first").alias("origin"), F.max("last").alias("last"), F.sum("n").alias("n")).where("origin < last")
     if min_docs > 2:        # how many documents exactly matters only then
@@ -67,8 +92,10 @@ def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text
     """The documents with recurring lines gone: all input columns, ``text`` without them, n_lines, n_dropped.
 
     The tree has a level for the number of tokens of a line and one for each of its first three tokens; tokens with digits are
-    variable. A leaf's most frequent line heads it; lines with at least half of its tokens in place share its template, the
-    others are templates of their own. A template that occurs in ``min_docs`` documents or more stays in the first of them (smallest id, then text
+    variable. A leaf's most frequent line heads it; lines with at least half of its tokens in place share its template.
+    Of the others those share one that are equal but for one field, a third of the tokens behind the leading three at most, with
+    two constant words or more outside it; of several such fields the one that most different lines share counts, then the larger hash.
+    The rest are templates of their own, also lines whose variable words are further apart and that no line equals in all but one field. A template that occurs in ``min_docs`` documents or more stays in the first of them (smallest id, then text
     hash; no id comes last) as often as it occurs there, and is dropped from all others. Lines without words stay.
 
     Only hashes of lines travel and are grouped, combined before the shuffle; text is read again for one occurrence of each
