@@ -1,5 +1,6 @@
 """The pipeline stage by stage, each judged on its own input, and without the subpackage."""
 import collections
+import itertools
 import os
 import shutil
 import subprocess
@@ -8,8 +9,8 @@ import sys
 import pandas as pd
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, rows, shingles
-from tests.llm.test_duplicates import brute_leaks, check_near
+from tests.llm.helpers import DOCS, prose, rows, shingles
+from tests.llm.test_duplicates import brute_leaks, check_near, roots
 from tests.llm.test_text_models import check_pieces
 from tickloom.llm import byte_cnn
 from tickloom.llm.common import stored, table
@@ -49,6 +50,31 @@ def test_stages_on_the_table(spark, tiny):
     assert ids(last.drop_duplicates("doc_id")) == ids(clean)
 
 
+def test_one_document_of_each_group_of_copies_is_packed(spark, tiny, tmp_path):
+    """Copies and near copies of the raw table, planted with lines that other documents have too."""
+    t = pd.read_parquet(f"{tiny}/documents.parquet")
+    long = t[t.text.fillna("").str.count("\n") >= 3].drop_duplicates("text").head(3)
+    shared = "\n".join(prose(900, 39).split("\n")[:2])
+    new = [t.assign(text=t.text + "\n" + shared)[t.doc_id.isin(long.doc_id[:1])].assign(doc_id=700_000)]
+    for k, (_, r) in enumerate(long.iterrows()):
+        for j in range(3):      # exact copies of texts made of lines alone, then near copies with one line of their own
+            body = "\n".join([r.text, shared] + [prose(950 + k, 120).replace(" ", "\n", 3)])
+            new.append(pd.DataFrame([r]).assign(doc_id=800_000 + 10 * k + j, text=body if k < 2 else body + f"\nend {j} of it all"))
+    (pa_dir := tmp_path / "in").mkdir()
+    for f in ("labels", "benchmark"):
+        shutil.copy(f"{tiny}/{f}.parquet", pa_dir / f"{f}.parquet")
+    both = pd.concat([t, *new], ignore_index=True)
+    both.to_parquet(pa_dir / "documents.parquet")
+    sets = {i: s for i, x in both[["doc_id", "text"]].values.tolist() if (s := shingles(x, 5))}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    good = {r.doc_id for r in corpus_pipeline.quality(spark, table(spark, str(pa_dir), "documents"), str(pa_dir)).select("doc_id").collect()}
+    root = roots([(a, b) for a, b in links if a in good and b in good], sets)
+    sizes = collections.Counter(root[i] for i in sets if i in good)
+    assert sum(n > 1 for n in sizes.values()) > 3 and sum(sizes[root[i]] > 1 for i in good if i >= 800_000) >= 6
+    last = collections.Counter(root[int(i)] for i in set(corpus_pipeline.run(spark, str(pa_dir)).toPandas().doc_id.dropna()) if int(i) in sets)
+    assert set(last.values()) == {1} and set(last) <= set(sizes)
+
+
 def test_stages_take_awkward_rows_and_empty_tables(spark, tiny):
     for docs in (spark.createDataFrame(rows(), DOCS), spark.createDataFrame([], DOCS)):
         seen = docs.count()
