@@ -257,3 +257,12 @@ def test_a_leaf_has_several_templates(spark):
     out = {r.doc_id: r for r in line_dedup.drop_templates(spark.createDataFrame(log, "doc_id long, text string").repartition(3)).collect()}
     assert out[0].text == log[0][1] and [out[i].text for i in (1, 2, 3)] == ["", "", ""]
     assert out[9].text == "1 2 INFO something else happened there once"
+
+
+def test_unrelated_short_lines_and_rows_of_numbers_stay(spark):
+    log = [(0, "The price of oil rose\n12.5 3.7 9.1\n1 | 2 | 3\nuser 17 logged in from home"), (1, "The price of gold fell\n1.5 2.5 3.5\n4 | 5 | 6\nuser 3 logged in from work"),
+           (2, "The price of tin fell\n7.5 8.5 9.5\nPage 2\nHe went to the old house in the woods"), (3, "The price of oil rose\nPage 3\nHe went to my new shop in a city\nuser 5 logged in from 10.0.0.1")]
+    docs = spark.createDataFrame(log, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_templates(docs, strict=True).collect()}
+    gone = {i: [x for x in t.split("\n") if x not in out[i]] for i, t in log}
+    assert gone == {0: [], 1: ["user 3 logged in from work"], 2: [], 3: ["The price of oil rose", "user 5 logged in from 10.0.0.1"]}

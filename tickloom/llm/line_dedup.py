@@ -23,11 +23,13 @@ def tokens_of(line: Column) -> Column:
 
 
 def line_keys(text: Column) -> Column:
-    """For each line with a word: place (from 0), leaf hash (token count and leading tokens) and hash of the generalised tokens."""
+    """For each line with a word: place (from 0), leaf hash (token count and leading tokens) and hash of the generalised tokens.
+    Lines that are variable but for fewer than FIXED words, as rows of numbers, say nothing when generalised: they are left out."""
     def entry(line, i):
         return let(tokens_of(line), lambda w: F.struct(
-            i.alias("pos"), F.xxhash64(F.size(w), *[F.get(w, F.lit(k)) for k in range(DEPTH)]).alias("leaf"), F.xxhash64(F.size(w), F.concat_ws(" ", w)).alias("exact"), F.size(w).alias("size")))
-    return F.filter(F.transform(F.split(text, "\n"), entry), lambda e: e["size"] > 0)
+            i.alias("pos"), F.xxhash64(F.size(w), *[F.get(w, F.lit(k)) for k in range(DEPTH)]).alias("leaf"), F.xxhash64(F.size(w), F.concat_ws(" ", w)).alias("exact"), F.size(w).alias("size"),
+            F.when(F.array_contains(w, "<*>"), solid(w) < FIXED).otherwise(F.lit(False)).alias("vague")))
+    return F.filter(F.transform(F.split(text, "\n"), entry), lambda e: (e["size"] > 0) & ~e["vague"])
 
 
 def solid(tokens: Column) -> Column:
@@ -48,11 +50,11 @@ def field_keys(leaf: Column, w: Column) -> Column:
     return F.when(rest >= 3, F.transform(made, lambda e: e["key"])).otherwise(F.array().cast("array<bigint>"))
 
 
-def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with kd, dig, t and their other columns; places of lines to drop: kd, dig, drops)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.withColumns({"_t": t, "_kd": F.coalesce(F.col(key).cast("string"), F.lit("")), "_dig": F.xxhash64(t)})
-    lines = stored(base.select(F.col(key).alias("k"), "_kd", "_dig", F.inline(line_keys(F.col("_t")))), "line-keys")
+    lines = stored(base.select(F.col(key).alias("k"), "_kd", "_dig", F.inline(line_keys(F.col("_t")))).drop("vague"), "line-keys")
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "_dig"))         # documents without an id come last
     place = F.struct(F.col("k").isNull().alias("none"), "k", "_dig")
     # what is equal in all tokens: one row per line and document, then per line; a hot line is combined before the shuffle
@@ -72,7 +74,12 @@ def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str
     led = bodies.join(shared, ["leaf", "exact"])
     top = bodies.join(heads.select("leaf", F.col("head").alias("exact")), ["leaf", "exact"]).select("leaf", F.col("w").alias("h"))
     same = F.size(F.filter(F.zip_with("w", "h", lambda x, y: x == y), lambda x: x))
-    met = led.join(top, "leaf").withColumn("alike", same >= F.lit(ALIKE) * F.size("w"))
+    alike = same >= F.lit(ALIKE) * F.size("w")
+    if strict:
+        behind = let(F.filter(F.zip_with(F.slice("w", DEPTH + 1, F.size("w")), F.slice("h", DEPTH + 1, F.size("w")), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()),
+                     lambda both: (3 * F.size(both) >= 2 * (F.size("w") - DEPTH)) & (solid(both) >= FIXED))
+        alike = (F.col("exact") == F.col("head")) | behind
+    met = led.join(top, "leaf").withColumn("alike", alike)
     # the others meet by what is left of them without a field: every template of a leaf is found, however many it has
     fields = stored(met.where("NOT alike").select("leaf", "exact", F.explode(field_keys(F.col("leaf"), F.col("w"))).alias("key")), "line-fields")
     kinds = fields.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -88,13 +95,16 @@ def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str
     return base, drops
 
 
-def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text", strict: bool = False) -> DataFrame:
     """The documents with recurring lines gone: all input columns, ``text`` without them, n_lines, n_dropped.
 
     The tree has a level for the number of tokens of a line and one for each of its first three tokens; tokens with digits are
     variable. A leaf's most frequent line heads it; lines with at least half of its tokens in place share its template.
     Of the others those share one that are equal but for one field, a third of the tokens behind the leading three at most, with
     two constant words or more outside it; of several such fields the one that most different lines share counts, then the larger hash.
+    With ``strict`` (as op5 and the pipeline have it) lines join the head only by the tokens behind the leading three: two
+    thirds of them in place, two constant words at least. Lines with a variable token and fewer than two constant words in all,
+    as rows of numbers, are no templates and stay.
     The rest are templates of their own, also lines whose variable words are further apart and that no line equals in all but one field. A template that occurs in ``min_docs`` documents or more stays in the first of them (smallest id, then text
     hash; no id comes last) as often as it occurs there, and is dropped from all others. Lines without words stay.
 
@@ -102,7 +112,7 @@ def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text
     line in leaves that hold several. Null texts are empty; rows equal in id and text are one document; an empty table gives no
     rows; other columns pass (``n_lines`` and ``n_dropped`` are replaced, and no column may start with an underscore).
     """
-    base, drops = recurring(docs, min_docs, key, text)
+    base, drops = recurring(docs, min_docs, key, text, strict)
     left = base.withColumn("_none", F.col(key).isNull()).join(drops, ["_kd", "_dig", "_none"], "left")
     lines = F.split("_t", "\n")
     kept = F.when(F.col("_drops").isNull(), F.col("_t")).otherwise(F.array_join(let(F.map_from_arrays("_drops", "_drops"), lambda gone: F.transform(
@@ -113,5 +123,5 @@ def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_templates(table(spark, sf_dir, "documents"))
+    out = drop_templates(table(spark, sf_dir, "documents"), strict=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
