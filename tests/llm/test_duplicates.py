@@ -266,3 +266,11 @@ def test_unrelated_short_lines_and_rows_of_numbers_stay(spark):
     out = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_templates(docs, strict=True).collect()}
     gone = {i: [x for x in t.split("\n") if x not in out[i]] for i, t in log}
     assert gone == {0: [], 1: ["user 3 logged in from work"], 2: [], 3: ["The price of oil rose", "user 5 logged in from 10.0.0.1"]}
+
+
+def test_short_items_in_long_documents(spark):
+    item = [(k, prose(3000 + k, 5 + k % 5)) for k in range(120)]
+    table = [(k, prose(4000 + k, 150) + "\n" + t + "\n" + prose(5000 + k, 170)) for k, (_, t) in enumerate(item)]
+    out = decontamination.leaks(spark.createDataFrame(table, "doc_id long, text string").repartition(3), spark.createDataFrame(item, "item_id long, text string")).collect()
+    want = brute_leaks(table, item)
+    assert len(want) >= 120 and {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in out} == want

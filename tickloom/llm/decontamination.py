@@ -15,6 +15,8 @@ from tickloom.llm.shingles import bitmap, distinct_sets, in_bitmap, mix, shingle
 
 #: Hash functions, shingles in a tile of the smallest size class, size classes (the last takes all larger items), bitmap bits.
 FUNCTIONS, TILE, CLASSES, BITS = 64, 32, 12, 26
+#: Items of fewer shingles are looked for by shingles themselves; their class.
+SHORT, EXACT = 16, -1
 _R = np.random.default_rng(8)
 _A = _R.integers(0, 1 << 31, FUNCTIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _R.integers(0, 1 << 32, FUNCTIONS, np.uint32)
@@ -60,8 +62,14 @@ def window_keys(values: np.ndarray, bounds: np.ndarray, classes: list[int]) -> I
             yield doc, keys_of(minima, c)
 
 
-def index_items(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(k, cls, keys, shingles) of every test item that has words."""
+def shingle_keys(values: np.ndarray) -> np.ndarray:
+    """Keys of shingles themselves, apart from those of minima."""
+    return mix(values ^ np.uint64(0xA5A5A5A55A5A5A5A))
+
+
+def index_items(items: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """(k, cls, keys, shingles) of every test item that has words. A text that holds ``least`` of an item's q shingles holds one of
+    any that are more than it may lack: so many are the keys of a short item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in slices(b, "t"):
@@ -69,7 +77,12 @@ def index_items(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 rows = []
                 for i, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
                     if hi > lo:
-                        cls = size_class(hi - lo)
+                        q = int(hi - lo)
+                        if q < SHORT:
+                            need = max(1, next(n for n in range(q + 1) if n / q >= least or n == q))
+                            rows.append((i, EXACT, shingle_keys(v[lo:hi][:q - need + 1]).view(np.int64), v[lo:hi].view(np.int64)))
+                            continue
+                        cls = size_class(q)
                         x = (v[lo:hi] >> np.uint64(32)).astype(np.uint32)
                         low = (x[None] * _A[:, None] + _B[:, None]).min(1, keepdims=True)
                         rows.append((i, cls, keys_of(low, cls)[:, 0].view(np.int64), v[lo:hi].view(np.int64)))
@@ -88,8 +101,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
 
     Items are partitioned by size. A document is cut into windows of each size in use, and an item meets the windows of its own
     size, so that a short item weighs enough against the text around it; any equal minimum among 64 makes a candidate. An item
-    of q shingles that lie in one window of w <= 2 q then goes unseen with probability below 1e-9; cut by a window border or
-    scattered over many windows, below 1e-3. Candidates are decided on the whole document's shingles.
+    of q >= 16 shingles that lie in one window of w <= 2 q then goes unseen with probability below 1e-9; more often when cut by a
+    window border or scattered over many windows. Items below 16 shingles weigh too little in a window: some of their shingles
+    themselves are looked for, and none goes unseen. Candidates are decided on the whole document's shingles.
 
     Windows are never shuffled: a task tests its windows' keys against a bitmap of 8 MB, whatever the number of items, and sends
     on only documents that hit a bit, with those of their distinct shingles that a second such bitmap finds among the items'.
@@ -98,8 +112,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
     Null and empty texts and items have no shingles and match nothing; equal rows match alike and are reported once (a null id
     too); empty tables give no rows; further columns of the input are ignored.
     """
-    index = stored(index_items(items, item_key, item_text, width), "test-items")
+    index = stored(index_items(items, item_key, item_text, width, least), "test-items")
     classes = sorted(r["cls"] for r in index.select("cls").distinct().collect())        # at most CLASSES
+    short, classes = EXACT in classes, [c for c in classes if c != EXACT]
     postings = index.select(F.col("k").alias("item"), F.explode("keys").alias("h"))
     context = docs.sparkSession.sparkContext
     wanted = context.broadcast(bitmap(postings, "h", BITS))
@@ -114,6 +129,10 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5,
                 for doc, keys in window_keys(v, at, classes) if classes else ():
                     for f, w in zip(*np.nonzero(in_bitmap(bits, keys))):
                         hits.setdefault(int(doc[w]), set()).add(int(keys[f, w].view(np.int64)))
+                if short:
+                    own = shingle_keys(v)
+                    for j in np.flatnonzero(in_bitmap(bits, own)):
+                        hits.setdefault(int(np.searchsorted(at, j, "right")) - 1, set()).add(int(own[j].view(np.int64)))
                 if hits:
                     at_docs = sorted(hits)
                     sets = [np.unique(v[at[i]:at[i + 1]]) for i in at_docs]
