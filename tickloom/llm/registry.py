@@ -1,4 +1,4 @@
-"""Queries of the ten operators and their SQL."""
+"""Queries of the operators and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import importlib
 _QUERIES = {
     "op1_lm_scoring": "lm_scoring", "op2_url_filter": "url_filter", "op3_near_dedup": "near_dedup", "op4_packing": "packing", "op5_line_dedup": "line_dedup", "op6_quality_rules": "quality_rules", "op7_secret_scan": "secrets", "op8_decontamination": "decontamination",
     "op9_quality_classifier": "byte_cnn",
-    "op10_substring_dedup": "substring_dedup",
+    "op10_substring_dedup": "substring_dedup", "op11_importance_resampling": "resampling", "op12_filter_audit": "filter_audit", "op13_byte_bpe": "byte_bpe",
 }
 
 
