@@ -24,15 +24,15 @@ BLOCK, ROWS = 16 << 20, 200_000
 PIECE = 1 << 20
 
 
-def gather(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
+def gather(batches: Iterator[pa.RecordBatch], column: str, limit: int | None = None) -> Iterator[tuple[int, pa.Table]]:
     """(number, rows): the task's rows in blocks, numbered apart from those of all other tasks."""
-    number = TaskContext.get().partitionId() << 32
+    limit, number = limit or BLOCK, TaskContext.get().partitionId() << 32
     held, size, rows = [], 0, 0
     for b in batches:
-        for c in slices(b, column, BLOCK):
+        for c in slices(b, column, limit):
             _, bounds = buffers(c[column])
             n = int(bounds[-1] - bounds[0])
-            if held and (size + n > BLOCK or rows + c.num_rows > ROWS):
+            if held and (size + n > limit or rows + c.num_rows > ROWS):
                 yield number, pa.Table.from_batches(held)
                 held, size, rows, number = [], 0, 0, number + 1
             held.append(c)

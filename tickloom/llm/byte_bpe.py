@@ -6,6 +6,7 @@ import base64
 import re
 import sys
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.blocks import PIECE, first_row, gather, pack, postings, returned, runs, unpack
-from tickloom.llm.common import stored, table
+from tickloom.llm.blocks import PIECE, gather
+from tickloom.llm.common import table
 from tickloom.llm.shingles import texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Bytes of text whose words share a dictionary, and words whose merges are replayed at once.
+BLOCK, WORDS = 8 << 20, 1 << 17
 _LOADED: dict = {}
 
 
@@ -104,7 +107,7 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(words[i] for i in rest), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in rest], dtype=np.int64)])
     n = len(data)
-    ids = v.single[data].tolist()
+    ids = array("i", v.single[data].astype(np.int32).tobytes())
     ahead, behind = np.arange(1, n + 1), np.arange(-1, n - 1)
     filled = starts[:-1][np.diff(starts) > 0]
     behind[filled] = -1
@@ -118,7 +121,8 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     index = {int(rank[g[0]]): g.tolist() for g in np.split(at, cuts) if len(g)}
     heap = list(index)
     heapify(heap)
-    ahead, behind, rank, ends = ahead.tolist(), behind.tolist(), rank.tolist(), starts.tolist()
+    ahead, behind, rank = (array("i", x.astype(np.int32).tobytes()) for x in (ahead, behind, rank))
+    ends = starts.tolist()
     token, find = v.tokens, v.ids.get
 
     def stands(r: int, i: int) -> None:
@@ -160,7 +164,7 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                     lowest = min(lowest, q)
             if lowest < r:
                 stop = ends[bisect_right(ends, i)]
-    ids = np.array(ids, np.int64)
+    ids = np.frombuffer(ids, np.int32).astype(np.int64)
     live = ids >= 0
     seen = np.concatenate([[0], np.cumsum(live)])
     made, bounds = ids[live], seen[starts]
@@ -179,59 +183,39 @@ def take(values: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.arange(out[-1]) - np.repeat(out[:-1], n) + np.repeat(bounds[at], n)], out
 
 
-def _blocks(docs: DataFrame, key: str, text: str, pattern: str | None) -> DataFrame:
-    rows = texts_of(docs, key, text)
-    kind = dict(rows.dtypes)["k"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(pattern)
-        for number, rows in gather(batches, "t"):
-            local, sequence, sizes = {}, [], []
-            for t in rows["t"].to_pylist():
-                size = 0
-                for words in words_of(t, split):
-                    sequence.append(np.fromiter([local.setdefault(w, len(local)) for w in words], np.uint32, len(words)))
-                    size += len(words)
-                sizes.append(size)
-            n = len(sizes)
-            made = pa.table({"block": pa.array([number] * n, pa.int64()), "pos": pa.array(range(n), pa.int32()), "k": rows["k"], "size": pa.array(sizes, pa.int32()),
-                             "sequence": pa.array(first_row([pack(np.concatenate(sequence))], n), pa.binary()),
-                             "words": pa.array(first_row([[w.encode() for w in local]], n), pa.list_(pa.binary()))})
-            yield from made.combine_chunks().to_batches()
-
-    return rows.mapInArrow(run, f"block long, pos int, k {kind}, size int, sequence binary, words array<binary>")
-
-
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ids (array of int), as the public library encodes without special tokens.
 
-    Texts become sequences of block-local words, the matches of ``pattern``; every block's distinct words go to where all
-    occurrences of a word in the corpus meet, merges are replayed over the distinct words there (some 100,000 at a time), and
-    the ids return to the blocks. Null and empty texts have no ids; repeated rows, null ids and further columns pass through
-    or are ignored; an empty table gives no rows. A word of any length is one entry of the index.
+    Every task takes its part of the corpus in blocks of some megabytes: the matches of ``pattern`` in all texts of a block
+    become a dictionary and numbers, merges are replayed over the whole dictionary at once (at most WORDS words, so memory is
+    bounded), and the numbers become ids. Nothing is shuffled or stored, so a lost task costs its own part alone.
+
+    Null and empty texts have no ids; rows without an id and repeated rows pass as they are; an empty table gives no rows; other
+    columns are ignored. A word of any length is one entry of the dictionary, a text longer than a block a block of its own.
     """
-    blocks = stored(_blocks(docs, key, text, pattern), "word-blocks")
-    kind = dict(blocks.dtypes)["k"]
+    rows = texts_of(docs, key, text)
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        for rows, words, at, _ in runs(batches, 131_072):
-            ids, bounds = take(*replay(words.to_pylist(), v), at)
-            made = pa.table({"block": rows["block"], "local": rows["local"], "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))})
-            yield from made.to_batches(max_chunksize=20_000)
-
-    def documents(rows: pa.Table, values: pa.Table) -> pa.Table:
-        rows = rows.sort_by("pos").combine_chunks()
-        values = values.sort_by("local").combine_chunks()
-        lists = values["ids"].combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])
-        sizes = np.concatenate([[0], np.cumsum(rows["size"].to_numpy(), dtype=np.int64)])
-        ids, ends = take(flat, bounds, unpack(rows["sequence"][0].as_py(), int(sizes[-1])))
-        return pa.table({"k": rows["k"], "ids": pa.LargeListArray.from_arrays(pa.array(ends[sizes]), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32()))})
-
-    values = postings(blocks).mapInArrow(encoded, "block long, local int, ids array<int>")
-    return returned(blocks, values, documents, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, split = vocabulary(path), splitter(pattern)
+        for _, block in gather(batches, "t", BLOCK):
+            local, sequence, sizes = {}, [np.zeros(0, np.int64)], [0]
+            for t in block["t"].to_pylist():
+                before = len(sequence)
+                sequence += [np.fromiter([local.setdefault(w, len(local)) for w in words], np.int32, len(words)) for words in words_of(t, split)]
+                sizes.append(sum(map(len, sequence[before:])))
+            words = [w.encode() for w in local]
+            del local
+            made = [replay(words[i:i + WORDS], v) for i in range(0, len(words), WORDS)]
+            flat = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in made)])
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(b) for _, b in made)]))]).astype(np.int64)
+            ids, ends = take(flat, bounds, np.concatenate(sequence).astype(np.int64))
+            at = ends[np.cumsum(sizes)]
+            keys = block["k"].combine_chunks()
+            for i in range(0, len(keys), 1000):
+                few = at[i:i + 1001]
+                yield pa.record_batch([keys.slice(i, 1000), pa.ListArray.from_arrays(pa.array(few - few[0], pa.int32()), pa.array(ids[few[0]:few[-1]], pa.int32()))], ["k", "ids"])
+
+    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
