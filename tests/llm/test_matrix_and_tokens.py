@@ -157,6 +157,7 @@ def library():
 def test_encodes_and_decodes_as_the_library(spark, tiny, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 50_000)
     monkeypatch.setattr(byte_bpe, "WORDS", 700)
+    monkeypatch.setattr(byte_bpe, "KNOWN", 3000)
     docs = table(spark, tiny, "documents").select("doc_id", "text").union(spark.createDataFrame(rows(), DOCS).select("doc_id", "text"))
     docs = docs.union(spark.createDataFrame([(900, "a" * 3000 + "\n" * 999 + " \t x'll 12　é中" * 20), (901, "<|endoftext|>")], "doc_id long, text string"))
     want = Counter((r.doc_id, tuple(library.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in docs.collect())

@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from tickloom.llm.common import table
 from tickloom.llm.shingles import texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text whose words share a dictionary, and words whose merges are replayed at once.
-BLOCK, WORDS = 8 << 20, 1 << 17
+#: Bytes of text of a block, words whose merges are replayed at once, and words that a worker remembers.
+BLOCK, WORDS, KNOWN = 8 << 20, 1 << 17, 600_000
 _LOADED: dict = {}
 
 
@@ -125,45 +126,46 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     ends = starts.tolist()
     token, find = v.tokens, v.ids.get
 
-    def stands(r: int, i: int) -> None:
-        places = index.get(r)
-        if places is None:
-            index[r] = [i]
-            heappush(heap, r)
-        else:
-            places.append(i)
-
     while heap:
         r = heappop(heap)
         places = index.pop(r)
         places.sort()
-        stop = -1
+        joined, stop, wait = token[r], -1, []
         for i in places:
             if rank[i] != r:
                 continue
             if i < stop:
-                stands(r, i)
+                wait.append(i)
                 continue
             j = ahead[i]
-            k, h = ahead[j], behind[i]
-            ids[i], ids[j], ahead[i], rank[j], lowest = r, -1, k, -1, r + 1
+            k, h, lowest = ahead[j], behind[i], r + 1
+            ids[i], ids[j], ahead[i], rank[j] = r, -1, k, -1
             if k >= 0:
                 behind[k] = i
-                q = find(token[r] + token[ids[k]])
-                rank[i] = -1 if q is None else q
-                if q is not None:
-                    stands(q, i)
+                q = rank[i] = find(joined + token[ids[k]], -1)
+                if q >= 0:
                     lowest = q
+                    if q in index:
+                        index[q].append(i)
+                    else:
+                        index[q] = [i]
+                        heappush(heap, q)
             else:
                 rank[i] = -1
             if h >= 0:
-                q = find(token[ids[h]] + token[r])
-                rank[h] = -1 if q is None else q
-                if q is not None:
-                    stands(q, h)
+                q = rank[h] = find(token[ids[h]] + joined, -1)
+                if q >= 0:
                     lowest = min(lowest, q)
+                    if q in index:
+                        index[q].append(h)
+                    else:
+                        index[q] = [h]
+                        heappush(heap, q)
             if lowest < r:
                 stop = ends[bisect_right(ends, i)]
+        if wait:
+            index[r] = wait
+            heappush(heap, r)
     ids = np.frombuffer(ids, np.int32).astype(np.int64)
     live = ids >= 0
     seen = np.concatenate([[0], np.cumsum(live)])
@@ -183,12 +185,40 @@ def take(values: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.arange(out[-1]) - np.repeat(out[:-1], n) + np.repeat(bounds[at], n)], out
 
 
+class Dictionary:
+    """Words numbered as they come, and the ids of those that have been encoded: ``flat`` between ``bounds``."""
+
+    def __init__(self, path: str | None):
+        self.path, self.number = path, None
+
+    def start(self) -> dict[str, int]:
+        """The numbers to extend; what a task that failed has left half done, and what has grown too large, is forgotten."""
+        if self.number is None or len(self.number) != len(self.bounds) - 1 or len(self.number) > KNOWN:
+            self.number, self.flat, self.bounds = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        return self.number
+
+    def encoded(self) -> tuple[np.ndarray, np.ndarray]:
+        new = [w.encode() for w in islice(self.number, len(self.bounds) - 1, None)]
+        for i in range(0, len(new), WORDS):
+            flat, bounds = replay(new[i:i + WORDS], vocabulary(self.path))
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        return self.flat, self.bounds
+
+
+def dictionary(path: str | None, pattern: str | None) -> Dictionary:
+    if ("words", path, pattern) not in _LOADED:
+        _LOADED["words", path, pattern] = Dictionary(path)
+    return _LOADED["words", path, pattern]
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ids (array of int), as the public library encodes without special tokens.
 
     Every task takes its part of the corpus in blocks of some megabytes: the matches of ``pattern`` in all texts of a block
-    become a dictionary and numbers, merges are replayed over the whole dictionary at once (at most WORDS words, so memory is
-    bounded), and the numbers become ids. Nothing is shuffled or stored, so a lost task costs its own part alone.
+    become numbers in a dictionary, merges are replayed over all its new words at once (WORDS at a time), and the numbers become
+    ids. A worker keeps its dictionary for the blocks to come until it has more than KNOWN words, so memory is bounded. Nothing
+    is shuffled or stored, so a lost task costs its own part alone.
 
     Null and empty texts have no ids; rows without an id and repeated rows pass as they are; an empty table gives no rows; other
     columns are ignored. A word of any length is one entry of the dictionary, a text longer than a block a block of its own.
@@ -196,19 +226,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     rows = texts_of(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, split = vocabulary(path), splitter(pattern)
+        known, split = dictionary(path, pattern), splitter(pattern)
         for _, block in gather(batches, "t", BLOCK):
-            local, sequence, sizes = {}, [np.zeros(0, np.int64)], [0]
+            number, sequence, sizes = known.start(), [np.zeros(0, np.int64)], [0]
             for t in block["t"].to_pylist():
                 before = len(sequence)
-                sequence += [np.fromiter([local.setdefault(w, len(local)) for w in words], np.int32, len(words)) for words in words_of(t, split)]
+                sequence += [np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words)) for words in words_of(t, split)]
                 sizes.append(sum(map(len, sequence[before:])))
-            words = [w.encode() for w in local]
-            del local
-            made = [replay(words[i:i + WORDS], v) for i in range(0, len(words), WORDS)]
-            flat = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in made)])
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(b) for _, b in made)]))]).astype(np.int64)
-            ids, ends = take(flat, bounds, np.concatenate(sequence).astype(np.int64))
+            ids, ends = take(*known.encoded(), np.concatenate(sequence))
             at = ends[np.cumsum(sizes)]
             keys = block["k"].combine_chunks()
             for i in range(0, len(keys), 1000):
