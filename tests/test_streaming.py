@@ -1,7 +1,6 @@
 """Streams over several micro-batches give what one batch gives."""
 from pyspark.sql import functions as F
 
-from tickloom.operators import windows as W
 from tickloom.streaming import jobs as X
 
 
@@ -22,30 +21,6 @@ def slices(spark, tiny, tmp_path):
     return d, str(folder)
 
 
-def test_cvd_over_micro_batches(spark, tiny, tmp_path):
-    d, folder = slices(spark, tiny, tmp_path)
-    s = X.stream_source(spark, folder, spark.read.parquet(folder).schema, max_files=1)
-    s = s.select("symbol", "exchange", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("trade_id"), "side", "quantity")
-    out = str(tmp_path / "out")
-    X.run_once(X.stream_cvd(s), out)
-    got = {r["trade_id"]: r["cvd"] for r in spark.read.parquet(out).collect()}
-    want = W.running_sum(d.withColumn("v", F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)), ["symbol", "exchange"], ["ts", "event_id"], "v", "cvd")
-    assert got == {r["event_id"]: r["cvd"] for r in want.collect()}
-
-
-def test_buffer_over_micro_batches_and_restart(spark, tiny, tmp_path):
-    d, folder = slices(spark, tiny, tmp_path)
-    src = d.select("symbol", "exchange", "ts", "event_id", F.col("value").alias("mid_price"))
-    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-    for _ in range(2):        # the second run resumes from the checkpoint and adds nothing
-        s = X.stream_source(spark, folder, spark.read.parquet(folder).schema, max_files=1)
-        s = s.select("symbol", "exchange", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("mid_price"))
-        X.run_once(X.stream_buffer_features(s, n=20), out, checkpoint=cp)
-    got = {r["event_id"]: (round(r["mean"], 9), round(r["velocity"], 9)) for r in spark.read.parquet(out).collect()}
-    want = W.buffer_stats(src, ["symbol", "exchange"], ["ts", "event_id"], "mid_price", n=20).collect()
-    assert len(got) == 1000 and got == {r["event_id"]: (round(r["mean"], 9), round(r["velocity"], 9)) for r in want}
-
-
 def test_dedupe_and_replay(spark, tiny, tmp_path):
     _, folder = slices(spark, tiny, tmp_path)
     batch = spark.read.parquet(folder).select("event_id", "value")
@@ -55,30 +30,6 @@ def test_dedupe_and_replay(spark, tiny, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 1000
 
 
-def test_drift_does_not_depend_on_the_cuts(spark, tiny, tmp_path):
-    import os
-
-    import numpy as np
-    r = np.random.default_rng(5)
-    x = np.concatenate([r.normal(0, 1, 700), r.normal(4, 1, 700), r.normal(-2, 3, 600)])
-    frame = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "exchange string, event_id long, value double")
-    pdf = frame.select("*", F.timestamp_seconds("event_id").alias("ts")).toPandas()
-    seen = []
-    for pieces in (1, 3, 10):
-        folder = tmp_path / f"in{pieces}"
-        folder.mkdir()
-        for i, part in enumerate(np.array_split(pdf, pieces)):
-            part.assign(ts=part.ts.astype("datetime64[us]")).to_parquet(folder / f"part-{i}.parquet")
-            os.utime(folder / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
-        s = X.stream_source(spark, str(folder), spark.read.parquet(str(folder)).schema, max_files=1)
-        out = str(tmp_path / f"out{pieces}")
-        X.run_once(X.stream_drift(s.withColumn("ts", F.col("ts").cast("timestamp")), threshold=100.0), out)
-        seen.append({r["event_id"]: (r["page_hinkley"], r["adwin"]) for r in spark.read.parquet(out).collect()})
-    from tickloom.operators.models import adwin, page_hinkley
-    want = {i: (bool(a), bool(b)) for i, (a, b) in enumerate(zip(page_hinkley(x, threshold=100.0), adwin(x)))}
-    assert seen[0] == seen[1] == seen[2] == want and any(b for _, b in want.values())
-
-
 def test_silent_venues_are_reported(spark, tmp_path):
     rows = [("a", 10), ("a", 20), ("b", 30), ("a", 70), ("b", 190), ("a", 400)]
     folder = str(tmp_path / "in")

@@ -81,19 +81,20 @@ def _(t):
     return done(t, X.stream_cascades(X.with_watermark(streams(t).liquidations), "30 minutes"), "x5")
 
 
-@query("x6_stream_buffer_features", uses="prices", digits=8, doubles="mean std zscore velocity percentile", sql="""SELECT symbol, exchange, event_id, avg(mid_price) OVER w AS mean, stddev_pop(mid_price) OVER w AS std, CASE
+@query("x6_stream_buffer_features", uses="ev prices", digits=8, doubles="mean std zscore velocity percentile", sql=f"""SELECT * EXCLUDE (ts) FROM (SELECT ts, symbol, exchange, event_id, avg(mid_price) OVER w AS mean, stddev_pop(mid_price) OVER w AS std, CASE
        WHEN stddev_pop(mid_price) OVER w < 1e-12 THEN 0 ELSE (mid_price - avg(mid_price) OVER w) / stddev_pop(mid_price) OVER w END AS zscore, coalesce((mid_price - lag(mid_price, 4) OVER
        w0) / 5, 0) AS velocity, len(list_filter(list(mid_price) OVER w, lambda v: v < mid_price)) / count(*) OVER w * 100 AS percentile FROM prices WINDOW w AS (PARTITION BY symbol,
-       exchange ORDER BY ts, event_id ROWS 99 PRECEDING), w0 AS (PARTITION BY symbol, exchange ORDER BY ts, event_id)""")
+       exchange ORDER BY ts, event_id ROWS 99 PRECEDING), w0 AS (PARTITION BY symbol, exchange ORDER BY ts, event_id)) WHERE ts <= {MARK}""")
 def _(t):
-    s = streams(t).prices.select("symbol", "exchange", C("ts").cast("timestamp").alias("ts"), "event_id", "mid_price")
+    """A row appears once the watermark has reached it."""
+    s = X.with_watermark(streams(t).prices.select("symbol", "exchange", "ts", "event_id", "mid_price"))
     return done(t, X.stream_buffer_features(s), "x6")
 
 
-@query("x7_stream_cvd", uses="trades", sql="""SELECT symbol, exchange, trade_id, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol, exchange ORDER BY ts, trade_id ROWS
-       UNBOUNDED PRECEDING) AS cvd FROM trades""")
+@query("x7_stream_cvd", uses="ev trades", sql=f"""SELECT * EXCLUDE (ts) FROM (SELECT ts, symbol, exchange, trade_id, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol, exchange ORDER BY ts, trade_id ROWS
+       UNBOUNDED PRECEDING) AS cvd FROM trades) WHERE ts <= {MARK}""")
 def _(t):
-    s = streams(t).trades.select("symbol", "exchange", C("ts").cast("timestamp").alias("ts"), "trade_id", "side", "quantity")
+    s = X.with_watermark(streams(t).trades.select("symbol", "exchange", "ts", "trade_id", "side", "quantity"))
     return done(t, X.stream_cvd(s), "x7")
 
 
@@ -138,7 +139,7 @@ def _(t):
 
 @query("x12_stream_drift")
 def _(t):
-    s = streams(t).ev.select("exchange", C("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    s = X.with_watermark(streams(t).ev.select("exchange", "ts", "event_id", "value"))
     return done(t, X.stream_drift(s, threshold=2000.0), "x12")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.aggregates import sum_if
+from tickloom.streaming.ordered import in_event_order
 
 C = F.col
 
@@ -71,9 +72,9 @@ def stream_cascades(liq: DataFrame, gap: str = "5 minutes", least: int = 3, by=(
 def stream_divergence(prices: DataFrame, every: str, limit_pct: float = 0.1, ts: str = "ts", price: str = "mid_price") -> DataFrame:
     """Windows in which the venues of a symbol are further apart than ``limit_pct`` percent."""
     d = prices.groupBy(F.window(ts, every).alias("w"), "symbol").agg(
-        F.max(price).alias("high"), F.min(price).alias("low"), F.approx_count_distinct("exchange").alias("venues"))
+        F.max(price).alias("high"), F.min(price).alias("low"), F.min("exchange").alias("one"), F.max("exchange").alias("other"))
     pct = (C("high") - C("low")) / C("low") * 100
-    return d.withColumn("divergence_pct", pct).where((C("venues") >= 2) & (C("divergence_pct") > limit_pct)).select(
+    return d.withColumn("divergence_pct", pct).where((C("one") < C("other")) & (C("divergence_pct") > limit_pct)).select(
         "symbol", C("w.start").alias("bucket"), "high", "low", "divergence_pct")
 
 
@@ -121,67 +122,69 @@ def _ordered(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(chunks)).sort_values(order)
 
 
-def stream_buffer_features(df: DataFrame, keys=("symbol", "exchange"), order=("ts", "event_id"), value: str = "mid_price", n: int = 100,
-                           periods: int = 5) -> DataFrame:
-    """Mean, deviation, z-score, velocity and percentile of every update among the last n of its key."""
-    def fn(key, chunks, state: GroupState):
-        past = list(state.get[0]) if state.exists else []
-        pdf = _ordered(chunks, list(order))
-        x = np.array(past + pdf[value].tolist())
-        out = []
-        for i in range(len(past), len(x)):
-            w = x[max(0, i - n + 1):i + 1]
-            sd = w.std() if len(w) > 1 else 0.0
-            out.append((w.mean(), sd, (x[i] - w.mean()) / sd if sd >= 1e-12 else 0.0,
-                        (w[-1] - w[-periods]) / periods if len(w) >= periods else 0.0, float((w < x[i]).mean() * 100)))
-        state.update((x[-n + 1:].tolist() if n > 1 else [],))
-        f = pd.DataFrame(out, columns=["mean", "std", "zscore", "velocity", "percentile"])
-        f.insert(0, "event_id", pdf["event_id"].to_numpy())
-        for k, v in reversed(list(zip(keys, key))):
-            f.insert(0, k, v)
-        yield f
+def _keyed(key: tuple, keys, columns: dict) -> pd.DataFrame:
+    """Output rows of one key."""
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key)}, **columns})
+
+
+def last_n_stats(past: np.ndarray, new: np.ndarray, n: int, periods: int) -> dict[str, np.ndarray]:
+    """Mean, deviation, z-score, velocity and percentile of every new value among the last ``n`` up to it."""
+    x = np.concatenate([np.full(n - 1, np.nan), past[len(past) - min(len(past), n - 1):], new])
+    w = np.lib.stride_tricks.sliding_window_view(x, n)[-len(new):]
+    seen = np.count_nonzero(~np.isnan(w), axis=1)
+    mean = np.nanmean(w, axis=1)
+    sd = np.where(seen > 1, np.sqrt(np.nanmean((w - mean[:, None]) ** 2, axis=1)), 0.0)
+    z = np.divide(new - mean, sd, out=np.zeros(len(new)), where=sd >= 1e-12)
+    velocity = np.where(seen >= periods, (new - w[:, -min(periods, n)]) / periods, 0.0) if periods <= n else np.zeros(len(new))
+    return {"mean": mean, "std": sd, "zscore": z, "velocity": velocity, "percentile": (w < new[:, None]).sum(axis=1) / seen * 100}
+
+
+def stream_buffer_features(df: DataFrame, keys=("symbol", "exchange"), order=("event_id",), value: str = "mid_price", n: int = 100, periods: int = 5,
+                           ts: str = "ts", idle: str = "7 days") -> DataFrame:
+    """Mean, deviation, z-score, velocity and percentile of every update among the last n of its key, in event order.
+
+    The stream needs a watermark on ``ts``. A key that has been silent for ``idle`` starts with an empty buffer.
+    """
+    def fold(key, state, rows):
+        past, new = np.array(state[0] if state else [], dtype=float), rows[value].to_numpy(float)
+        kept = np.concatenate([past, new])[-(n - 1):].tolist() if n > 1 else []
+        return (kept,), _keyed(key, keys, {"event_id": rows["event_id"].to_numpy(), **last_n_stats(past, new, n, periods)})
     ks = ", ".join(f"{k} string" for k in keys)
-    return _stateful(df, keys, fn, f"{ks}, event_id long, mean double, std double, zscore double, velocity double, percentile double", "last array<double>")
+    return in_event_order(df.select(*keys, ts, "event_id", *[c for c in order if c != "event_id"], value), keys, ts, order, fold, "last array<double>",
+                          f"{ks}, event_id long, mean double, std double, zscore double, velocity double, percentile double", idle)
 
 
-def stream_cvd(trades: DataFrame, keys=("symbol", "exchange"), order=("ts", "trade_id")) -> DataFrame:
-    """Cumulative volume delta carried from batch to batch."""
-    def fn(key, chunks, state: GroupState):
-        total = state.get[0] if state.exists else 0.0
-        pdf = _ordered(chunks, list(order))
-        run = total + np.cumsum(np.where(pdf["side"] == "buy", pdf["quantity"], -pdf["quantity"]))
-        state.update((float(run[-1]),))
-        f = pd.DataFrame({"trade_id": pdf["trade_id"].to_numpy(), "cvd": run})
-        for k, v in reversed(list(zip(keys, key))):
-            f.insert(0, k, v)
-        yield f
+def stream_cvd(trades: DataFrame, keys=("symbol", "exchange"), order=("trade_id",), ts: str = "ts", idle: str = "7 days") -> DataFrame:
+    """Cumulative volume delta in event order, carried from batch to batch; it starts anew after ``idle`` without a trade."""
+    def fold(key, state, rows):
+        run = (state[0] if state else 0.0) + np.cumsum(np.where(rows["side"] == "buy", rows["quantity"], -rows["quantity"]))
+        return (float(run[-1]),), _keyed(key, keys, {"trade_id": rows["trade_id"].to_numpy(), "cvd": run})
     ks = ", ".join(f"{k} string" for k in keys)
-    return _stateful(trades, keys, fn, f"{ks}, trade_id long, cvd double", "cvd double")
+    return in_event_order(trades.select(*keys, ts, "trade_id", *[c for c in order if c != "trade_id"], "side", "quantity"), keys, ts, order, fold, "cvd double",
+                          f"{ks}, trade_id long, cvd double", idle)
 
 
-def stream_drift(df: DataFrame, keys=("exchange",), order=("ts", "event_id"), value: str = "value", delta: float = 0.005, threshold: float = 50.0,
-                 alpha: float = 0.9999, width: int = 1000, adwin_delta: float = 0.002) -> DataFrame:
-    """Page-Hinkley and ADWIN alarms; the state of a key is both detectors' own, so cuts between micro-batches leave no trace."""
+def stream_drift(df: DataFrame, keys=("exchange",), order=("event_id",), value: str = "value", delta: float = 0.005, threshold: float = 50.0,
+                 alpha: float = 0.9999, width: int = 1000, adwin_delta: float = 0.002, ts: str = "ts", idle: str = "7 days") -> DataFrame:
+    """Page-Hinkley and ADWIN alarms in event order; the state of a key is both detectors' own, and it is new after ``idle``."""
     from tickloom.operators.models import adwin_run
 
-    def fn(key, chunks, state: GroupState):
-        mean, total, low, last = state.get if state.exists else (0.0, 0.0, math.inf, [])
-        pdf = _ordered(chunks, list(order))
-        hit = np.zeros(len(pdf), dtype=bool)
-        for i, v in enumerate(pdf[value].to_numpy(float)):
+    def fold(key, state, rows):
+        mean, total, low, last = state if state else (0.0, 0.0, math.inf, [])
+        x = rows[value].to_numpy(float)
+        hit = np.zeros(len(x), dtype=bool)
+        for i, v in enumerate(x):
             mean = alpha * mean + (1 - alpha) * v
             total += v - mean - delta
             low = min(low, total)
             if total - low > threshold:
                 hit[i], total, low = True, 0.0, math.inf
-        wide, window = adwin_run(pdf[value].to_numpy(float), np.array(last, dtype=float), adwin_delta, width)
-        state.update((mean, total, low, window.tolist()))
-        f = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "page_hinkley": hit, "adwin": wide})
-        for k, v in reversed(list(zip(keys, key))):
-            f.insert(0, k, v)
-        yield f
+        wide, window = adwin_run(x, np.array(last, dtype=float), adwin_delta, width)
+        return (float(mean), float(total), float(low), window.tolist()), _keyed(key, keys, {"event_id": rows["event_id"].to_numpy(), "page_hinkley": hit, "adwin": wide})
     ks = ", ".join(f"{k} string" for k in keys)
-    return _stateful(df, keys, fn, f"{ks}, event_id long, page_hinkley boolean, adwin boolean", "mean double, total double, low double, last array<double>")
+    return in_event_order(df.select(*keys, ts, "event_id", *[c for c in order if c != "event_id"], value), keys, ts, order, fold,
+                          "mean double, total double, low double, window array<double>", f"{ks}, event_id long, page_hinkley boolean, adwin boolean", idle)
 
 
 def stream_feature_cache(updates: DataFrame, keys=("symbol", "exchange"), order=("ts", "event_id")) -> DataFrame:
