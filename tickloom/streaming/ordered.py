@@ -60,21 +60,26 @@ class EventOrder(StatefulProcessor):
                 value, out = self.fold(key, value, part)
                 last = int(part[AT].iloc[-1])
                 yield out
-            self.state.update((*value, last))
             if later:
+                self.state.update((*value, last))
                 self.waiting.put(later)
             else:
                 self.waiting.clear()
-                self._wake(last + self.idle_ms * 1000)
+                self._rest(value, last, mark)
         elif not rows and held is not None:
-            gone = held[-1] + self.idle_ms * 1000
-            if gone <= mark:
-                self.state.clear()
-            else:
-                self._wake(gone)
+            self._rest(tuple(held)[:-1], held[-1], mark)
         if later:
             self._wake(min(r[at] for r in later))
 
+    def _rest(self, value: tuple, last: int, mark: int) -> None:
+        """No row waits: the state stays until the idle time is over."""
+        gone = last + self.idle_ms * 1000
+        if gone <= mark:
+            self.state.clear()
+        else:
+            self.state.update((*value, last))
+            self._wake(gone)
+
     def _stretches(self, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Rows between silences, which part a key's rows wherever the batches are cut."""
         silent = pdf[AT].diff() > self.idle_ms * 1000
