@@ -81,13 +81,6 @@ def test_regime_looks_at_all_of_the_history(spark):
     assert got.regime[899] != "HIGH_VOLATILITY" and got.vol_percentile[899] < 0.55
 
 
-@pytest.mark.parametrize("step", [1, 7, 512])
-def test_counts_of_earlier_smaller_values(step):
-    r = np.random.default_rng(2)
-    x, v = r.integers(0, 30, 300).astype(float), r.integers(0, 30, 300).astype(float)
-    known = r.random(300) < .8
-    assert D.earlier_below(x, known, v, step).tolist() == [int((x[:i + 1][known[:i + 1]] < v[i]).sum()) for i in range(300)]
-
 
 @pytest.mark.parametrize("scale", [1e-14, 1.0, 1e12])
 @pytest.mark.parametrize("n", [60, 61])

@@ -150,6 +150,12 @@ def _(t):
     return W.final_pct_rank(t.prices, SE, "ts", "mid_price")
 
 
+@query("w13_expanding_pct_rank", uses="prices", doubles="pct_rank", sql="""SELECT event_id, mid_price, len(list_filter(list(mid_price) OVER w, lambda v: v < mid_price)) / count(*) OVER w * 100 AS pct_rank
+       FROM prices WINDOW w AS (PARTITION BY symbol, exchange ORDER BY ts, event_id)""")
+def _(t):
+    return W.expanding_pct_rank(t.prices, SE, ["ts", "event_id"], "mid_price").select("event_id", "mid_price", "pct_rank")
+
+
 @query("w14_rolling_vol", uses="hourly", doubles="volatility", sql="""WITH r AS (SELECT series, ts, value / lag(value) OVER w - 1
        AS ret, row_number() OVER w AS rn FROM hourly WINDOW w AS (PARTITION BY series ORDER BY ts)) SELECT series, ts,
        CASE WHEN rn > 24 THEN stddev_samp(ret) OVER (PARTITION BY series ORDER BY ts ROWS 23 PRECEDING) * sqrt(525600) END AS

@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.functions.columns import safe_div
+from tickloom.operators.dominance import earlier_below
 from tickloom.operators.series import attach, bounded, plan_series, quantiles, running
 from tickloom.operators.windows import rows
 
@@ -138,30 +136,11 @@ def decompose(df: DataFrame, keys, order, period: int, value: str = "value", mod
     return d.withColumn("residual", rest).drop("_i", "_phase", "_free")
 
 
-def earlier_below(x: np.ndarray, known: np.ndarray, v: np.ndarray, step: int = 512) -> np.ndarray:
-    """For each position, how many known x at or before it are below v there.
-
-    Earlier values lie in sorted runs of doubling length, so a position costs a binary search in each of log n runs.
-    """
-    out, runs = np.zeros(len(x), np.int64), []
-    for lo in range(0, len(x), step):
-        here, ok, ask = x[lo:lo + step], known[lo:lo + step], v[lo:lo + step]
-        n = len(here)
-        out[lo:lo + n] += ((here[None, :] < ask[:, None]) & ok[None, :] & (np.arange(n)[None, :] <= np.arange(n)[:, None])).sum(1)
-        for r in runs:
-            out[lo:lo + n] += np.searchsorted(r, ask)
-        new = np.sort(here[ok])
-        while runs and len(runs[-1]) <= 2 * len(new):
-            new = np.sort(np.concatenate([runs.pop(), new]))
-        runs.append(new)
-    return out
-
-
 def series_regime(df: DataFrame, keys, order, value: str = "value", lookback: int = 50, vol_window: int = 20) -> DataFrame:
     """HIGH_VOLATILITY / LOW_VOLATILITY / TRENDING_UP / TRENDING_DOWN / RANGING of every point after ``lookback``.
 
     The volatility is placed among all rolling volatilities up to the point; positions without a rolling volatility count as
-    not below. That step takes the position and two numbers of each point of a series to one task.
+    not below. A long series is cut into chunks of time and ranges of volatility for that.
     """
     depth = lookback + vol_window + 2
     plan = plan_series(df, keys, order, depth=depth)
@@ -179,13 +158,7 @@ def series_regime(df: DataFrame, keys, order, value: str = "value", lookback: in
             "_cov": F.covar_pop(C("_i").cast("double"), C(value)).over(past), "_var": F.var_pop("_i").over(past), "_mean": F.avg(value).over(past)})
 
     d = bounded(base, plan, depth, body)
-    schema = T.StructType([*d.schema.fields, T.StructField("_below", T.LongType())])
-
-    def place(group: pa.Table) -> pa.Table:
-        g = group.sort_by("_i").combine_chunks()
-        rv, v = (g[c].fill_null(np.nan).to_numpy() for c in ("_rv", "_v"))
-        return g.append_column("_below", pa.array(earlier_below(rv, ~np.isnan(rv), v)))
-    d = d.groupBy(*keys).applyInArrow(place, schema).where(C("_i") > lookback)
+    d = earlier_below(d, keys, order, "_rv", "_v", "_below").where(C("_i") > lookback)
     slope = safe_div(C("_cov"), C("_var"))
     d = d.withColumns({"volatility": C("_v"), "vol_percentile": C("_below") / (C("_i") - 1), "trend_slope": slope})
     return d.withColumn("regime", F.when(C("vol_percentile") > 0.9, "HIGH_VOLATILITY").when(C("vol_percentile") < 0.1, "LOW_VOLATILITY")

@@ -280,6 +280,13 @@ def final_pct_rank(df: DataFrame, keys, ts: str, col: str) -> DataFrame:
                  (F.count(F.when(C(col) < C("current"), 1)) / F.count(col) * 100).alias("pct_rank")))
 
 
+def expanding_pct_rank(df: DataFrame, keys, order, col: str, out: str = "pct_rank") -> DataFrame:
+    """Percentile rank (strictly below) of every value in the history of its key up to and including it; null values have none."""
+    from tickloom.operators.dominance import earlier_below
+    counted = running(earlier_below(df, keys, order, col, col, "_below"), plan_series(df, keys, order), {"_seen": ("count", col)})
+    return counted.withColumn(out, F.when(C(col).isNotNull(), C("_below") / C("_seen") * 100)).drop("_below", "_seen")
+
+
 MINUTES_PER_YEAR = 365 * 24 * 60
 
 
