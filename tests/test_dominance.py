@@ -57,3 +57,17 @@ def test_queries_with_every_series_cut(spark, tiny, name):
     finally:
         spark.conf.unset("tickloom.series.maxRows")
     assert plain == cut and plain
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 12])
+def test_pair_counts_of_a_cut_series(spark, limit):
+    from tickloom.operators.joins import kendall_counts, pair_series
+    rows, df = series(spark)
+    spark.conf.set("tickloom.series.maxRows", str(limit))
+    try:
+        got = {r.k: (r.n, r.rising, r.falling, r.tied) for r in pair_series(df, ["k"], "at", "p").collect()}
+    finally:
+        spark.conf.unset("tickloom.series.maxRows")
+    for k in ("hot", "b", None):
+        x = np.array([b[2] for b in rows if b[0] == k and b[2] is not None])
+        assert got[k] == (len(x), *kendall_counts(x))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import safe_corr
+from tickloom.operators.dominance import earlier_below
 from tickloom.operators.series import bounded, plan_series, running
 
 C = F.col
@@ -209,10 +209,15 @@ def kendall_counts(values: np.ndarray) -> tuple[int, int, int]:
 
 
 def pair_series(series: DataFrame, keys, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Kendall pair counts per regular-grid series, without forming the pairs."""
-    schema = series.select(*keys).schema.add("n", "long").add("rising", "long").add("falling", "long").add("tied", "long")
+    """Kendall pair counts per series, without forming the pairs: n, rising, falling, tied.
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        up, down, tied = kendall_counts(pdf.sort_values(ts)[value].to_numpy())
-        return pd.DataFrame([[*pdf[list(keys)].iloc[0], len(pdf), up, down, tied]], columns=schema.fieldNames())
-    return series.groupBy(*keys).applyInPandas(count, schema)
+    Rising pairs are dominance counts summed over the rows, so a series of any length is cut into chunks of time and ranges of
+    value; tied pairs come from the counts of equal values, and the rest falls. ``ts`` tells the rows of a series apart; null
+    values take no part.
+    """
+    keys = list(keys)
+    known = series.where(C(value).isNotNull())
+    up = earlier_below(known.select(*keys, ts, value), keys, [ts], value, value, "_up").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_up").alias("rising"))
+    same = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(F.sum(F.expr("_c * (_c - 1) div 2")).alias("tied"))
+    both = up.unionByName(same, allowMissingColumns=True).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "rising", "tied")])
+    return both.select(*keys, "n", "rising", (F.expr("n * (n - 1) div 2") - C("rising") - C("tied")).alias("falling"), "tied")
