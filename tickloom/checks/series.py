@@ -85,6 +85,19 @@ def _(t):
     return D.anomaly_job(raw(t), K, O, methods=("zscore", "iqr"))
 
 
+@query("m6_anomaly_job_all_methods", uses="ev", doubles="rate", sql="""WITH s AS (SELECT exchange AS series, avg(value) AS m, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+       quantile_cont(value, 0.75) AS q3 FROM ev GROUP BY 1), f AS (SELECT s.*, ts, value, (value - m) / sd AS z, abs(value - q2) AS dev, row_number() OVER (PARTITION BY exchange ORDER BY ts) AS i FROM ev JOIN s
+       ON ev.exchange = s.series), a AS (SELECT series, quantile_cont(dev, 0.5) AS mad FROM f GROUP BY 1), u AS (SELECT f.*, mad, sum(CASE WHEN i = 1 THEN 0 ELSE z END) OVER w AS su FROM f JOIN a ON f.series =
+       a.series WINDOW w AS (PARTITION BY f.series ORDER BY ts ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, greatest(su - min(su) OVER w, max(su) OVER w - su) > 5 AS cs FROM u WINDOW w AS
+       (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)), l AS (SELECT series, ts, 'zscore' AS method, abs(z) > 3 AS a FROM c UNION ALL SELECT series, ts, 'iqr', value < q1 - 1.5 * (q3 - q1) OR
+       value > q3 + 1.5 * (q3 - q1) FROM c UNION ALL SELECT series, ts, 'cusum', cs FROM c UNION ALL SELECT series, ts, 'mad', dev / (mad * 1.4826) > 3.5 FROM c), r AS (SELECT *, row_number() OVER
+       (PARTITION BY series, method ORDER BY ts DESC) AS rn FROM l), p AS (SELECT series, method, count(*) AS points, count(*) FILTER (a) AS anomalies, bool_or(a) FILTER (rn <= 10) AS recent_warning,
+       count(*) FILTER (a) / count(*) AS rate FROM r GROUP BY 1, 2), h AS (SELECT *, count(*) FILTER (rate > 0.05) OVER (PARTITION BY series) AS hits FROM p) SELECT series, method, points, anomalies,
+       recent_warning, rate, CASE WHEN hits = 4 THEN 'HIGH' WHEN hits > 0 THEN 'MEDIUM' ELSE 'LOW' END AS consensus FROM h""")
+def _(t):
+    return D.anomaly_job(raw(t), K, O)
+
+
 @query("m7_changepoints_cusum")
 def _(t):
     return M.changepoints_cusum(raw(t), K, "1 hour")

@@ -596,7 +596,7 @@ def ensemble(forecasts: DataFrame, keys, how: str = "weighted", confidence: floa
     mid = F.slice(sorted_f, trim + 1, F.greatest(n - 2 * trim, F.lit(1)))
     pick = {"mean": F.avg(f), "weighted": F.sum(f * wt) / F.sum(wt), "median": F.percentile(f, 0.5),
             "trimmed": F.aggregate(mid, F.lit(0.0), lambda a, x: a + x) / F.size(mid), "best": F.min_by(f, F.struct("rmse", "method"))}[how]
-    z = 1.96 if confidence == 0.95 else 2.576
+    z = NORMAL.inv_cdf(0.5 + confidence / 2)
     out = d.groupBy(*k, "step").agg(F.max("ts").alias("ts"), pick.alias("forecast"), F.stddev_pop(f).alias("_sd"), F.count(f).alias("models"))
     return out.withColumns({"lower": C("forecast") - z * C("_sd"), "upper": C("forecast") + z * C("_sd")}).drop("_sd")
 
