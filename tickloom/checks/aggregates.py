@@ -48,6 +48,13 @@ def _(t):
     return A.price_window_stats(t.prices, ["symbol", "exchange"])
 
 
+@query("a4_price_window_stats_equal_times", uses="prices", doubles="average volatility change change_pct", sql="""WITH h AS (SELECT *, date_trunc('hour', ts) AS h FROM prices),
+       s AS (SELECT symbol, exchange, first(mid_price ORDER BY h, event_id) AS open, last(mid_price ORDER BY h, event_id) AS close, min(mid_price) AS low, max(mid_price) AS high,
+       avg(mid_price) AS average, stddev_samp(mid_price) AS volatility, count(*) AS ticks FROM h GROUP BY 1, 2) SELECT *, close - open AS change, (close - open) / open * 100 AS change_pct FROM s""")
+def _(t):
+    return A.price_window_stats(t.prices.withColumn("ts", F.date_trunc("hour", "ts")), ["symbol", "exchange"], tie="event_id")
+
+
 @query("a5_quartiles", uses="prices", doubles="p25 p50 p75", sql="""SELECT exchange, quantile_cont(mid_price, 0.25) AS p25,
        quantile_cont(mid_price, 0.5) AS p50, quantile_cont(mid_price, 0.75) AS p75 FROM prices GROUP BY 1""")
 def _(t):
@@ -76,6 +83,12 @@ def _(t):
     return A.ohlc(t.prices, "4 hours")
 
 
+@query("a7_ohlc_equal_times", uses="prices", sql="""WITH h AS (SELECT *, date_trunc('hour', ts) AS h FROM prices) SELECT exchange, time_bucket(INTERVAL '4 hours', h) AS bucket,
+       first(mid_price ORDER BY h, event_id) AS open, max(mid_price) AS high, min(mid_price) AS low, last(mid_price ORDER BY h, event_id) AS close, count(*) AS ticks FROM h GROUP BY 1, 2""")
+def _(t):
+    return A.ohlc(t.prices.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "4 hours", tie="event_id")
+
+
 @query("a8_trade_candles", uses="trades", doubles="volume quote_volume taker_buy_volume taker_buy_quote taker_buy_pct", sql="""
        SELECT *, CASE WHEN volume > 0 AND taker_buy_volume <> 0 THEN taker_buy_volume / volume * 100 END AS taker_buy_pct
        FROM (SELECT symbol, exchange, time_bucket(INTERVAL '1 hour', ts) AS open_time, arg_min(price, ts) AS open,

@@ -74,6 +74,13 @@ def _(t):
     return W.latest_per(t.prices.select("symbol", "exchange", "event_id", "ts", "mid_price"), SE)
 
 
+@query("w7_latest_per_equal_times", uses="prices", sql="""WITH h AS (SELECT *, date_trunc('day', ts) AS h FROM prices) SELECT symbol, exchange, last(event_id ORDER BY h, event_id) AS event_id,
+       last(mid_price ORDER BY h, event_id) AS mid_price FROM h GROUP BY 1, 2""")
+def _(t):
+    p = t.prices.withColumn("ts", F.date_trunc("day", "ts")).select("symbol", "exchange", "event_id", "ts", "mid_price")
+    return W.latest_per(p, SE, tie="event_id").drop("ts")
+
+
 @query("w8_detect_gaps", uses="prices", doubles="duration_seconds", sql="""SELECT symbol, exchange, p AS gap_start, ts AS gap_end,
        epoch(ts - p) AS duration_seconds FROM (SELECT symbol, exchange, ts, lag(ts) OVER (PARTITION BY symbol, exchange
        ORDER BY ts) AS p FROM prices) WHERE epoch(ts - p) > 2 * 3600""")

@@ -47,9 +47,16 @@ def funding_stats(fr: DataFrame, by, rate: str = "funding_rate") -> DataFrame:
         (F.avg(rate) * 3 * 365 * 100).alias("avg_annualized"))
 
 
-def price_window_stats(p: DataFrame, by, price: str = "mid_price", ts: str = "ts") -> DataFrame:
+def in_time(ts: str, tie: str | None) -> Column:
+    """What rows are ordered by: the time and, if given, a column that tells rows of one time apart."""
+    return F.struct(ts, tie) if tie else C(ts)
+
+
+def price_window_stats(p: DataFrame, by, price: str = "mid_price", ts: str = "ts", tie: str | None = None) -> DataFrame:
+    """``tie`` decides which of several rows at the first or last time opens or closes; without it any of them may."""
+    when = in_time(ts, tie)
     out = p.groupBy(*by).agg(
-        F.min_by(price, ts).alias("open"), F.max_by(price, ts).alias("close"), F.min(price).alias("low"),
+        F.min_by(price, when).alias("open"), F.max_by(price, when).alias("close"), F.min(price).alias("low"),
         F.max(price).alias("high"), F.avg(price).alias("average"), F.stddev(price).alias("volatility"),
         F.count(F.lit(1)).alias("ticks"))
     return out.withColumns({"change": C("close") - C("open"),
@@ -87,10 +94,12 @@ def compare_vs_history(p: DataFrame, by, price: str = "mid_price", ts: str = "ts
                    .when(z < -2, "SIGNIFICANTLY_LOW").when(z < -1, "MODERATELY_LOW").otherwise("NORMAL")})
 
 
-def ohlc(p: DataFrame, every: str, by=("exchange",), price: str = "mid_price", ts: str = "ts") -> DataFrame:
+def ohlc(p: DataFrame, every: str, by=("exchange",), price: str = "mid_price", ts: str = "ts", tie: str | None = None) -> DataFrame:
+    """``tie`` decides which of several rows at the first or last time of a bar opens or closes it."""
+    when = in_time(ts, tie)
     return p.groupBy(*by, bucket(ts, every).alias("bucket")).agg(
-        F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, ts).alias("close"), F.count(F.lit(1)).alias("ticks"))
+        F.min_by(price, when).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, when).alias("close"), F.count(F.lit(1)).alias("ticks"))
 
 
 def trade_candles(trades: DataFrame, every: str, by=("symbol", "exchange"), ts: str = "ts", price: str = "price",

@@ -190,10 +190,10 @@ def time_moments(df: DataFrame, keys, ts: str, tie: str, col: str, seconds: floa
     return _over_time(df, keys, ts, tie, {"x": C(col)}, seconds, frame, ["samples", "mean", "std"])
 
 
-def latest_per(df: DataFrame, keys, ts: str = "ts") -> DataFrame:
-    """Newest row per key as an aggregate, so a hot key costs one row per task."""
+def latest_per(df: DataFrame, keys, ts: str = "ts", tie: str | None = None) -> DataFrame:
+    """Newest row per key as an aggregate, so a hot key costs one row per task; of rows at the same time the one with the largest ``tie``."""
     rest = [c for c in df.columns if c not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), ts).alias("_r"))
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, tie) if tie else C(ts)).alias("_r"))
             .select(*keys, *[C("_r")[c].alias(c) for c in rest]))
 
 
