@@ -6,15 +6,18 @@ the same windows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.checks.composites import INPUTS, sql_signal
-from tickloom.checks.registry import query
+from tickloom.checks.composites import FLAT, INPUTS
+from tickloom.checks.registry import SQL, query
 from tickloom.checks.streams import Tables
 from tickloom.plans import composites as P
 from tickloom.session import scratch_path
 from tickloom.streaming import jobs as X
+from tickloom.streaming.live import stream_signals
 
 C = F.col
 NTZ = "timestamp_ntz"
@@ -119,22 +122,44 @@ def _(t):
     return done(t, X.stream_enrich(streams(t).table("customer"), dim, ["c_nationkey"]).select("c_custkey", "n_name"), "x10")
 
 
-@query("x11_stream_composites", uses="ev", doubles="squeeze_probability", sql=sql_signal({
-    "funding_extreme": "least(1, abs(funding_funding_zscore) / 3)", "oi_leverage": "least(1, abs(oi_leverage_zscore) / 2)", "crowding": "oi_position_crowding_score",
-    "price_compression": "greatest(0, -prices_spread_zscore / 2)"}, "least(1, v)", weights=P.SQUEEZE).replace("SELECT event_id, least(1, v) AS value, n / 4 AS confidence FROM q",
-                                                                                                         "SELECT event_id, least(1, v) AS squeeze_probability FROM q"))
-def _(t):
-    """All streams update with every event here, so the cache equals the row; the state carries them in turn."""
-    use = {s: INPUTS[s] for s in ("prices", "funding", "oi")}
-    e = streams(t).ev
-    both = F.struct(*[F.struct(*[F.expr(x).cast("string" if "CASE" in x else "double").alias(n) for n, x in fs.items()]).alias(s) for s, fs in use.items()])
-    rows = e.select("symbol", "exchange", C("ts").cast("timestamp").alias("ts"), "event_id", F.explode(F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(s).alias("stream"), F.to_json(both[s]).alias("features")) for i, s in enumerate(use)])).alias("u"))
-    rows = rows.select("symbol", "exchange", "ts", (C("event_id") * 10 + C("u.i")).alias("event_id"), "u.stream", "u.features")
-    schema = ", ".join(f"{s} struct<" + ", ".join(f"{n}: {'string' if 'CASE' in x else 'double'}" for n, x in fs.items()) + ">" for s, fs in use.items())
-    out = done(t, X.stream_composites(rows, schema, {"squeeze_probability": P.squeeze_probability}), "x11")
-    last = out.groupBy(F.floor(C("event_id") / 10).alias("event")).agg(F.max_by("squeeze_probability", "event_id").alias("squeeze_probability"))
-    return last.withColumnRenamed("event", "event_id")
+# A key's first event brings all streams, as a subscription's snapshot does; later ones bring one stream each.
+LIVE = ("f AS (SELECT event_id, symbol, exchange, ts, " + ", ".join(f"{s}.{n} AS {s}_{n}" for s, fs in INPUTS.items() for n in fs)
+        + " FROM (SELECT event_id, symbol, exchange, ts, " + ", ".join(
+            f"last_value(CASE WHEN first_one OR event_id % 8 = {i} THEN struct_pack({', '.join(f'{n} := {e}' for n, e in fs.items())}) END IGNORE NULLS) OVER (PARTITION BY "
+            f"symbol, exchange ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS {s}" for i, (s, fs) in enumerate(INPUTS.items()))
+        + " FROM (SELECT *, row_number() OVER (PARTITION BY symbol, exchange ORDER BY ts, event_id) = 1 AS first_one FROM ev)))")
+# The words each signal adds to its value and confidence.
+WORDS = {"market_maker_activity": "activity_type inventory_bias", "liquidation_cascade_risk": "severity direction", "institutional_phase": "phase price_target_direction",
+         "volatility_breakout": "direction timeframe_hours", "mean_reversion": "signal", "momentum_exhaustion": "exhaustion trend_direction", "smart_money_flow": "direction",
+         "arbitrage_opportunity": "opportunity type risk_level", "regime_transition": "current_regime predicted_regime timeframe_hours", "execution_quality": "quality optimal_order_splits"}
+FIFTEEN = [m[0] for m in P.SIGNAL_META]
+
+
+def in_row_order(sql: str) -> str:
+    """Sums of the momentum quality and of the last rows in the order in which Spark adds: the features lie on a grid, so some meet a limit but for the last bit."""
+    sql = re.sub(r"\+\s+0\.5 \+ ((?:oi_position_intent_score|funding_funding_regime_score|orderbook_depth_imbalance_5) \* 0\.(?:25|5))", r"+ (0.5 + \1)", sql)
+    return re.sub(r"avg\((mq|sm)\) OVER (\(.*?\))", r"list_avg(list(\1) OVER \2)", sql, flags=re.S)
+
+
+def live_sql() -> str:
+    """The SQL of the fifteen batch signals over the newest features, side by side."""
+    texts = {name.split("_", 1)[1]: in_row_order(sql.replace(FLAT[5:], LIVE)) for name, sql in SQL.items() if name.startswith("c") and name[1:].split("_")[0].isdigit()}
+    texts["liquidation_cascade_risk"] = texts["cascade_risk"]
+    columns = ", ".join(f"{n}.{c} AS {n}_{c}" for n in FIFTEEN for c in ("value", "confidence", *WORDS.get(n, "").split()))
+    joins = " ".join(f"LEFT JOIN ({texts[n]}) AS {n} ON e.event_id = {n}.event_id" for n in FIFTEEN)
+    return f"SELECT e.event_id, {columns} FROM ev e {joins} WHERE e.ts <= {MARK}"
+
+
+@query("x11_stream_composites", uses="ev", sql=live_sql(), doubles=" ".join(f"{n}_{c}" for n in FIFTEEN for c in ("value", "confidence")))
+def _(t):
+    """Eight streams and fifteen signals, live; a row appears once the watermark has reached it."""
+    first = t.ev.groupBy("symbol", "exchange").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))
+    e = X.stream_enrich(X.with_watermark(streams(t).ev), first, ["symbol", "exchange"])
+    updates = e.select("symbol", "exchange", "ts", "event_id", *[
+        F.when((C("event_id") == C("first_id")) | (C("event_id") % 8 == i), F.struct(*[F.expr(x).alias(n) for n, x in fs.items()])).alias(s)
+        for i, (s, fs) in enumerate(INPUTS.items())])
+    out = stream_signals(updates)
+    return done(t, out.select("event_id", *[C(f"{n}.{c}").alias(f"{n}_{c}") for n in FIFTEEN for c in ("value", "confidence", *WORDS.get(n, "").split())]), "x11")
 
 
 @query("x12_stream_drift")

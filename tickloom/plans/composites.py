@@ -414,22 +414,38 @@ NEEDS = {"composite_risk": ["squeeze_probability", "stop_hunt_probability"], "mo
          "regime_transition": ["smart_money_index"]}
 
 
+#: Signals that read the newest features alone.
+OWN = {"smart_money_index": smart_money_index, "squeeze_probability": squeeze_probability,
+       "stop_hunt_probability": stop_hunt_probability, "momentum_quality": momentum_quality,
+       "market_maker_activity": market_maker_activity, "liquidation_cascade_risk": cascade_risk,
+       "institutional_phase": institutional_phase, "volatility_breakout": volatility_breakout,
+       "mean_reversion": mean_reversion, "smart_money_flow": smart_money_flow,
+       "arbitrage_opportunity": arbitrage_opportunity, "execution_quality": execution_quality}
+
+#: Columns of the values that other signals look back at.
+LOOK = {"_sq": "squeeze_probability", "_sh": "stop_hunt_probability", "_mq": "momentum_quality", "_sm": "smart_money_index"}
+
+
+def wanted_signals(names=None) -> set[str]:
+    """``names`` (all fifteen by default) and the signals they look back at."""
+    wanted = set(names or [*OWN, *NEEDS])
+    return wanted | {n for w in wanted for n in NEEDS.get(w, [])}
+
+
+def late_signals(g: Feed, wanted) -> DataFrame:
+    """The signals of ``NEEDS`` from rows with _sq, _sh (newest known values), _weak and _base."""
+    late = {"composite_risk": composite_risk(g, C("_sq"), C("_sh")), "momentum_exhaustion": momentum_exhaustion(g, C("_weak")),
+            "regime_transition": regime_transition(g, C("_base"))}
+    return g.finish(**{n: s for n, s in late.items() if n in wanted})
+
+
 def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event_id"), names=None) -> DataFrame:
     """The signals at every update (all fifteen, or ``names`` and what they look back at)."""
-    f = Feed(cache)
-    own = {"smart_money_index": smart_money_index, "squeeze_probability": squeeze_probability,
-           "stop_hunt_probability": stop_hunt_probability, "momentum_quality": momentum_quality,
-           "market_maker_activity": market_maker_activity, "liquidation_cascade_risk": cascade_risk,
-           "institutional_phase": institutional_phase, "volatility_breakout": volatility_breakout,
-           "mean_reversion": mean_reversion, "smart_money_flow": smart_money_flow,
-           "arbitrage_opportunity": arbitrage_opportunity, "execution_quality": execution_quality}
-    wanted = set(names or [*own, *NEEDS])
-    wanted |= {n for w in wanted for n in NEEDS.get(w, [])}
-    base = f.finish(**{name: fn(f) for name, fn in own.items() if name in wanted})
+    f, wanted = Feed(cache), wanted_signals(names)
+    base = f.finish(**{name: fn(f) for name, fn in OWN.items() if name in wanted})
     if not wanted & set(NEEDS):
         return base
-    look = {"_sq": "squeeze_probability", "_sh": "stop_hunt_probability", "_mq": "momentum_quality", "_sm": "smart_money_index"}
-    base = base.withColumns({k: C(f"{n}.value") if n in wanted else F.lit(None).cast("double") for k, n in look.items()})
+    base = base.withColumns({k: C(f"{n}.value") if n in wanted else F.lit(None).cast("double") for k, n in LOOK.items()})
     plan = plan_series(base, by, order, depth=12)
     base = running(base, plan, {"_sq": ("last", "_sq"), "_sh": ("last", "_sh")})
 
@@ -439,10 +455,7 @@ def all_signals(cache: DataFrame, by=("symbol", "exchange"), order=("ts", "event
         return d.withColumns({
             "_weak": F.when(n > 10, F.avg("_mq").over(far) - F.avg("_mq").over(near)).otherwise(0.0),
             "_base": F.when(sm >= 10, F.avg("_sm").over(ten)).when(sm > 5, 0.3)})
-    g = Feed(bounded(base, plan, 12, body))
-    late = {"composite_risk": composite_risk(g, C("_sq"), C("_sh")), "momentum_exhaustion": momentum_exhaustion(g, C("_weak")),
-            "regime_transition": regime_transition(g, C("_base"))}
-    return g.finish(**{n: s for n, s in late.items() if n in wanted}).drop("_sq", "_sh", "_mq", "_sm", "_weak", "_base")
+    return late_signals(Feed(bounded(base, plan, 12, body)), wanted).drop(*LOOK, "_weak", "_base")
 
 
 # Fixed values: (category, direction threshold, weight, inverted) of each signal.

@@ -17,6 +17,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: (key, state or None, rows in event order) -> (state, output rows)
 Fold = Callable[[tuple, tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+#: (key, microseconds at which its idle time is over) -> rows to put out when a key leaves the state
+Farewell = Callable[[tuple, int], pd.DataFrame]
 
 
 class EventOrder(StatefulProcessor):
@@ -26,8 +28,9 @@ class EventOrder(StatefulProcessor):
     by time and tie. A timer stands at the oldest waiting row, or, if none waits, at the end of the idle time after the newest.
     """
 
-    def __init__(self, waiting: T.StructType, state: T.StructType, order: list[str], fold: Fold, idle_ms: int):
+    def __init__(self, waiting: T.StructType, state: T.StructType, order: list[str], fold: Fold, idle_ms: int, farewell: Farewell | None = None):
         self.waiting_schema, self.state_schema, self.order, self.fold, self.idle_ms = waiting, state, order, fold, idle_ms
+        self.farewell = farewell
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -65,17 +68,19 @@ class EventOrder(StatefulProcessor):
                 self.waiting.put(later)
             else:
                 self.waiting.clear()
-                self._rest(value, last, mark)
+                yield from self._rest(key, value, last, mark)
         elif not rows and held is not None:
-            self._rest(tuple(held)[:-1], held[-1], mark)
+            yield from self._rest(key, tuple(held)[:-1], held[-1], mark)
         if later:
             self._wake(min(r[at] for r in later))
 
-    def _rest(self, value: tuple, last: int, mark: int) -> None:
+    def _rest(self, key: tuple, value: tuple, last: int, mark: int) -> Iterator[pd.DataFrame]:
         """No row waits: the state stays until the idle time is over."""
         gone = last + self.idle_ms * 1000
         if gone <= mark:
             self.state.clear()
+            if self.farewell:
+                yield self.farewell(key, gone)
         else:
             self.state.update((*value, last))
             self._wake(gone)
@@ -94,13 +99,19 @@ def _plain(column: pd.Series) -> list:
     return [None if v is None or v != v else v for v in column.tolist()]
 
 
-def in_event_order(df: DataFrame, keys, ts: str, order, fold: Fold, state: str, output: str, idle: str = "7 days") -> DataFrame:
+def idle_micros(idle: str) -> int:
+    n, unit = idle.split()
+    return int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000)
+
+
+def in_event_order(df: DataFrame, keys, ts: str, order, fold: Fold, state: str, output: str, idle: str = "7 days",
+                   farewell: Farewell | None = None) -> DataFrame:
     """``fold`` over each key's rows in the order of ``ts`` and ``order``, whatever the micro-batches are.
 
     ``df`` is a stream with a watermark on ``ts``; rows that come later than it allows are dropped, as everywhere. Rows appear in
     the output once the watermark has reached them. ``state`` is the schema of the fold's value, which a key keeps until it has
     been silent for ``idle`` of event time; after that it starts anew. Memory per key is what arrives within the watermark's delay
-    and one value. Needs the RocksDB state store, which is set for the session.
+    and one value. ``farewell`` may put out rows when a key leaves, for a step behind this one. Needs the RocksDB state store, which is set for the session.
     """
     session = df.sparkSession
     if session.conf.get(PROVIDER) != ROCKSDB:
@@ -108,6 +119,5 @@ def in_event_order(df: DataFrame, keys, ts: str, order, fold: Fold, state: str,
     rows = df.withColumn(AT, F.unix_micros(ts))
     waiting = T.StructType([f for f in rows.schema.fields if f.name not in (*keys, ts)])
     held = T.StructType([*T.StructType.fromDDL(state).fields, T.StructField(LAST, T.LongType())])
-    n, unit = idle.split()
-    seconds = float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-    return rows.groupBy(*keys).transformWithStateInPandas(EventOrder(waiting, held, list(order), fold, int(seconds * 1000)), output, "append", "EventTime")
+    processor = EventOrder(waiting, held, list(order), fold, idle_micros(idle) // 1000, farewell)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, output, "append", "EventTime")
