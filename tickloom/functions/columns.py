@@ -14,6 +14,12 @@ def safe_div(a: Column, b: Column, default: float | None = 0.0) -> Column:
     return F.when(b.isNull() | (b == 0), F.lit(default).cast("double")).otherwise(a / b)
 
 
+def ieee_div(a: Column, b: Column) -> Column:
+    """a / b of doubles where 0 / 0 is NaN and x / 0 infinite with the sign of x, as in SQL engines that keep to IEEE 754."""
+    by_zero = F.when(a.isNull(), F.lit(None).cast("double")).when((a == 0) | F.isnan(a), float("nan")).otherwise(F.signum(a) * float("inf"))
+    return F.when(b == 0, by_zero).otherwise(a / b)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
