@@ -29,3 +29,8 @@ def test_basis_arb_with_a_price_of_zero(spark, with_zeros):
     got = {r.bucket.hour: r for r in queries()["i10_basis_arb"](spark, with_zeros).collect()}
     assert set(got) == {0, 6, 12} and math.isnan(got[6].basis_spread) and got[6].long_basis_exchange == "b" and got[6].arbitrage_opportunity
     assert not math.isnan(got[0].basis_spread) and not math.isnan(got[12].basis_spread)
+
+
+def test_basis_history_with_a_price_of_zero(spark, with_zeros):
+    [got] = queries()["l31_basis_history"](spark, with_zeros).collect()
+    assert got.data_points == 8 and math.isnan(got.avg_basis_rate_pct) and not math.isnan(got.current_basis_rate_pct) and math.isfinite(got.avg_basis)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import bucket, clip, label_by, qty_sum, safe_div
+from tickloom.functions.columns import bucket, clip, ieee_div, label_by, qty_sum, safe_div
 from tickloom.operators.aggregates import count_if, oi_totals, sum_if
 from tickloom.operators.joins import lag_pairs, spread_matrix
 from tickloom.operators.series import attach, bounded, bucket_plan, plan_series, running
@@ -648,7 +648,7 @@ def long_short_sentiment(df: DataFrame, by=("symbol",), ts: str = "ts", top: str
 def basis_history(marks: DataFrame, by=("symbol",), ts: str = "ts", n: int | None = None) -> DataFrame:
     """Current and mean basis with range, annualized rate, label; ``n`` keeps the largest premiums."""
     basis = C("mark_price") - C("index_price")
-    rate = basis / C("index_price")
+    rate = ieee_div(basis, C("index_price"))
     d = marks.groupBy(*by).agg(
         F.max_by(basis, ts).alias("current_basis"), (F.max_by(rate, ts) * 100).alias("current_basis_rate_pct"), F.avg(basis).alias("avg_basis"),
         (F.avg(rate) * 100).alias("avg_basis_rate_pct"), F.max(basis).alias("max_basis"), F.min(basis).alias("min_basis"), F.count(F.lit(1)).alias("data_points"))
