@@ -34,3 +34,8 @@ def test_basis_arb_with_a_price_of_zero(spark, with_zeros):
 def test_basis_history_with_a_price_of_zero(spark, with_zeros):
     [got] = queries()["l31_basis_history"](spark, with_zeros).collect()
     assert got.data_points == 8 and math.isnan(got.avg_basis_rate_pct) and not math.isnan(got.current_basis_rate_pct) and math.isfinite(got.avg_basis)
+
+
+def test_divergence_with_a_price_of_zero(spark, with_zeros):
+    got = {r.bucket.hour: r.divergence_pct for r in queries()["x13_stream_divergence"](spark, with_zeros).collect()}
+    assert got[0] == math.inf and got[6] == math.inf and abs(got[13] - 2) < 1e-9

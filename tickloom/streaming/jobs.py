@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.columns import ieee_div
 from tickloom.operators.aggregates import sum_if
 from tickloom.streaming.ordered import in_event_order
 
@@ -71,7 +72,7 @@ def stream_divergence(prices: DataFrame, every: str, limit_pct: float = 0.1, ts:
     """Windows in which the venues of a symbol are further apart than ``limit_pct`` percent."""
     d = prices.groupBy(F.window(ts, every).alias("w"), "symbol").agg(
         F.max(price).alias("high"), F.min(price).alias("low"), F.min("exchange").alias("one"), F.max("exchange").alias("other"))
-    pct = (C("high") - C("low")) / C("low") * 100
+    pct = ieee_div(C("high") - C("low"), C("low")) * 100
     return d.withColumn("divergence_pct", pct).where((C("one") < C("other")) & (C("divergence_pct") > limit_pct)).select(
         "symbol", C("w.start").alias("bucket"), "high", "low", "divergence_pct")
 
