@@ -4,8 +4,10 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.checks import queries
+from tickloom.streaming import jobs as X
 
 T0 = datetime(2024, 1, 1)
 
@@ -39,3 +41,20 @@ def test_basis_history_with_a_price_of_zero(spark, with_zeros):
 def test_divergence_with_a_price_of_zero(spark, with_zeros):
     got = {r.bucket.hour: r.divergence_pct for r in queries()["x13_stream_divergence"](spark, with_zeros).collect()}
     assert got[0] == math.inf and got[6] == math.inf and abs(got[13] - 2) < 1e-9
+
+
+def test_stream_join_keeps_times_apart(spark, tmp_path):
+    """Pairs at most a minute apart, both ends included; a key of the state holds the rows of one minute, not all of a venue."""
+    at = [0, 59, 60, 61, 120, 121, 300, 359, 360, 420, *range(1000, 9000, 37)]
+    pdf = pd.DataFrame({"event_id": range(len(at)), "ts": [T0 + timedelta(seconds=s) for s in at], "exchange": "a"}).astype({"ts": "datetime64[us]"})
+    (folder := tmp_path / "in").mkdir()
+    pdf.to_parquet(folder / "x.parquet", index=False)
+    source = lambda: X.stream_source(spark, str(folder), spark.read.parquet(str(folder)).schema)
+    left = X.with_watermark(source(), delay="1 day")
+    right = X.with_watermark(source().select("exchange", F.col("ts").alias("other_ts"), F.col("event_id").alias("other")), "other_ts", "1 day")
+    joined, cp = X.stream_join(left, right, ["exchange"], "ts", "other_ts", 60), str(tmp_path / "cp")
+    X.run_once(joined, str(tmp_path / "out"), checkpoint=cp)
+    got = [(r.event_id, r.other) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [(i, j) for i, a in enumerate(at) for j, b in enumerate(at) if abs(a - b) <= 60]
+    held = spark.read.format("statestore").option("path", cp).option("joinSide", "right").load()
+    assert held.groupBy("key").count().agg(F.max("count")).first()[0] <= 4

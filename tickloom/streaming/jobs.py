@@ -98,11 +98,19 @@ def stream_dedupe(df: DataFrame, keys) -> DataFrame:
 
 
 def stream_join(left: DataFrame, right: DataFrame, keys, left_ts: str, right_ts: str, seconds: int) -> DataFrame:
-    """Inner join of two watermarked streams whose times differ by at most ``seconds``; state is dropped beyond it."""
-    on = [left[k] == right[k] for k in keys]
+    """Inner join of two watermarked streams whose times differ by at most ``seconds``; state is dropped beyond it.
+
+    A stretch of ``seconds`` of event time is part of the join key: a row of the left meets the right's rows of its own stretch and
+    the two beside it, not all that the key ever had. Each right row lies in one stretch, so no pair is found twice.
+    """
+    micros = max(1, seconds * 1_000_000)
+    stretch = lambda ts: ((F.unix_micros(ts) - F.pmod(F.unix_micros(ts), F.lit(micros))) / micros).cast("long")
+    l = left.withColumn("_stretch", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: stretch(left_ts) + i)))
+    r = right.withColumn("_stretch", stretch(right_ts))
+    on = [l[k] == r[k] for k in (*keys, "_stretch")]
     step = F.expr(f"INTERVAL {seconds} SECONDS")
-    on += [right[right_ts] >= left[left_ts] - step, right[right_ts] <= left[left_ts] + step]
-    return left.join(right, on, "inner").select(*[left[c] for c in left.columns], *[right[c] for c in right.columns if c not in keys])
+    on += [r[right_ts] >= l[left_ts] - step, r[right_ts] <= l[left_ts] + step]
+    return l.join(r, on, "inner").select(*[l[c] for c in left.columns], *[r[c] for c in right.columns if c not in keys])
 
 
 def stream_enrich(df: DataFrame, dim: DataFrame, on) -> DataFrame:
