@@ -88,3 +88,80 @@ def test_last_n_stats_equal_a_loop():
             sd = w.std() if len(w) > 1 else 0.0
             want = (w.mean(), sd, (w[-1] - w.mean()) / sd if sd >= 1e-12 else 0.0, (w[-1] - w[-5]) / 5 if len(w) >= 5 else 0.0, (w < w[-1]).mean() * 100)
             assert np.allclose([got[c][k] for c in ("mean", "std", "zscore", "velocity", "percentile")], want)
+
+
+
+class Held:
+    """State variables of one key, held in dictionaries."""
+
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, HeldMap())
+
+    def getValueState(self, name, schema):
+        return HeldValue()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class HeldMap(dict):
+    getValue, containsKey, updateValue, removeKey = dict.__getitem__, dict.__contains__, dict.__setitem__, dict.__delitem__
+
+    def iterator(self):
+        return iter(self.items())
+
+
+class HeldValue:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_fold_takes_a_backlog_in_pieces(monkeypatch):
+    """A day of one key in one batch, in any order: no fold sees more rows than it takes at once, no chunk holds more than a slice, nothing is lost."""
+    from pyspark.sql import types as T
+
+    from tickloom.streaming import ordered
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    monkeypatch.setattr(ordered, "BUFFER", 700)
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame({"event_id": np.arange(3000), ordered.AT: r.integers(0, 86400, 3000) * 1_000_000})
+    sizes, seen = [], []
+
+    def fold(key, state, rows):
+        sizes.append(len(rows))
+        seen.extend(zip(rows[ordered.AT], rows.event_id))
+        return (len(seen),), rows
+    waiting = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(ordered.AT, T.LongType())])
+    processor = ordered.EventOrder(waiting, T.StructType([]), ["event_id"], fold, 10 ** 9)
+    processor.init(held := Held())
+    list(processor.handleInputRows(("a",), iter([pdf[i:i + 300] for i in range(0, 3000, 300)]), None))
+    per_hour = np.bincount(pdf[ordered.AT] // 3_600_000_000)
+    assert max(len(c[0]) for c in held.maps["waiting"].values()) <= per_hour.max()
+    want = sorted(zip(pdf[ordered.AT], pdf.event_id))
+    for mark in (43_000, 43_000, 90_000):
+        list(processor.handleExpiredTimer(("a",), Clock(mark * 1000), None))
+        assert seen == [x for x in want if x[0] <= mark * 1_000_000] and max(sizes) <= 100
+        assert sum(len(c[0]) for c in held.maps["waiting"].values()) == len(want) - len(seen)
+    assert not held.maps["slices"] and processor.state.get() == (3000, want[-1][0])
