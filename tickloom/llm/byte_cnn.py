@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import remainder, table
+from tickloom.llm.shingles import slices
 
 #: Bytes of half a chunk (chunks overlap by half), width and step of the filters in bytes.
 HALF, WIDTH, STEP = 256, 8, 2
@@ -139,13 +140,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     net = train(docs, labels, folds=folds, key=key, text=text, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [(x or "").encode("utf-8", "surrogatepass") for x in b["_text"].to_pylist()]
-            s = net.scores(texts) if net else np.full(len(texts), 0.5)
-            yield pa.record_batch([*(b[c] for c in b.schema.names if c != "_text"), pa.array(s, pa.float64())], [*(c for c in b.schema.names if c != "_text"), "_score"])
+        for whole in batches:
+            for b in slices(whole, read):
+                texts = [(x or "").encode("utf-8", "surrogatepass") for x in b[read].to_pylist()]
+                s = net.scores(texts) if net else np.full(len(texts), 0.5)
+                yield pa.record_batch([*(b[c] for c in b.schema.names if c != "_text"), pa.array(s, pa.float64())], [*(c for c in b.schema.names if c != "_text"), "_score"])
 
     cols = [c for c in docs.columns if not keep or c != "score"] if keep else [key]
-    rows = docs.select(*[F.col(c) for c in cols], F.col(text).cast("string").alias("_text"))
+    # a text that passes anyway is read from its own column: it goes to Python once
+    read = text if text in cols and dict(docs.dtypes)[text] == "string" else "_text"
+    rows = docs.select(*[F.col(c) for c in cols], *([] if read == text else [F.col(text).cast("string").alias("_text")]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     scored = rows.mapInArrow(score, f"{kinds}, _score double")
     if keep:
