@@ -88,6 +88,16 @@ def test_hot_middle_words_are_split_by_the_word_before(spark, monkeypatch):
     assert len(schema) == len(rows()) and all(r.score < 0 for r in schema)
 
 
+def test_scores_do_not_depend_on_the_split_of_hot_middle_words(spark, tiny, monkeypatch):
+    table = [(r.doc_id, r.text) for r in pd.read_parquet(f"{tiny}/documents.parquet").head(150).itertuples()]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "HOT_COUNT", 20)
+    out = lm_scoring.score(docs).collect()
+    check_scores(table, out)
+    assert len(out) == len(whole) and all(abs(r.score - whole[r.doc_id]) < 1e-6 for r in out)
+
+
 def test_trie_file_is_mapped(tmp_path):
     v, u, w = np.array([0, 0, 1]), np.array([1, 2, 0]), np.array([2, 2, 1])
     image = Trie.image(v, u, w, np.array([3, 1, 2]), np.array([.2, .3, .5]), 3, 3, .75)

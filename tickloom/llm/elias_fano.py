@@ -130,8 +130,9 @@ class Trie:
         return cls(pages)
 
     @classmethod
-    def image(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, base: np.ndarray, n_v: int, words: int, discount: float) -> bytes:
-        """The image of a model of distinct trigrams (u, v, w) with counts; ``base``: unigram probability of each word."""
+    def image(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, base: np.ndarray, n_v: int, words: int, discount: float, spread: tuple[np.ndarray, ...] | None = None) -> bytes:
+        """The image of a model of distinct trigrams (u, v, w) with counts; ``base``: unigram probability of each word. ``spread``:
+        (v, w, before, mass, degree) of all pairs of context words that other shards hold trigrams of too; their counts are these."""
         context = v * words + u
         if len(v) and ((context[1:] < context[:-1]) | ((context[1:] == context[:-1]) & (w[1:] < w[:-1]))).any():
             order = np.lexsort((w, context))
@@ -139,19 +140,24 @@ class Trie:
         first = np.concatenate([[True], context[1:] != context[:-1]])[:len(v)]
         ctx = np.cumsum(first) - 1
         contexts, ctx_v = context[first], v[first]
-        pairs, pair = np.unique(v * words + w, return_inverse=True)
+        own, whole = v * words + w, np.zeros(0, np.int64) if spread is None else spread[0] * words + spread[1]
+        pairs = np.unique(np.concatenate([own, whole]))
+        pair = np.searchsorted(pairs, own)
         pair_v, pair_w = pairs // words, pairs % words
-        degree = np.bincount(pair_v, minlength=n_v)
+        held = np.bincount(pair_v, minlength=n_v)
         before = np.bincount(pair, minlength=len(pairs)).astype(float)            # different words before the pair
-        mass = np.bincount(pair_v, before, n_v)
+        mass, degree = np.bincount(pair_v, before, n_v), held.copy()
+        if spread is not None:
+            before[np.searchsorted(pairs, whole)] = spread[2]
+            mass[spread[0]], degree[spread[0]] = spread[3], spread[4]
         back_v = np.where(mass > 0, discount * degree / np.maximum(mass, 1), 1.0)
         p2 = np.maximum(before - discount, 0) / mass[pair_v] + back_v[pair_v] * base[pair_w]
         total = np.bincount(ctx, count, len(contexts))
         kinds = np.bincount(ctx, minlength=len(contexts))
         back_c = discount * kinds / np.maximum(total, 1)
         p3 = np.maximum(count - discount, 0) / total[ctx] + back_c[ctx] * p2[pair]
-        pointer = np.concatenate([[0], np.cumsum(degree)])
-        reach = np.concatenate([[0], np.cumsum(degree[ctx_v])]).astype(np.int64)
+        pointer = np.concatenate([[0], np.cumsum(held)])
+        reach = np.concatenate([[0], np.cumsum(held[ctx_v])]).astype(np.int64)
         triples = reach[ctx] + pair - pointer[v]
         parts = [Monotone.image(pairs, n_v * words), Monotone.image(contexts, n_v * words), Monotone.image(pointer, len(pairs) + 1),
                  Monotone.image(reach[:-1], int(reach[-1]) + 1), Monotone.image(triples, int(reach[-1]) + 1),

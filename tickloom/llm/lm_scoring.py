@@ -17,7 +17,7 @@ from tickloom.llm.shingles import mix, slices, word_hashes
 
 #: Hashes of the end of a text and of what stands before its first word.
 END, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
-#: Tokens of a block of documents; a context word is split by the word before it from this count and share of all tokens on.
+#: Tokens of a block of documents; a context word's trigrams are dealt by the word before it from this count and share of all tokens on.
 BLOCK_TOKENS, HOT_COUNT, HOT_SHARES = 4_500_000, 1_000_000, 4096
 #: Inside a shard words are told apart by 48 bits of their hash: among half a million words two are taken for one with
 #: probability 0.0005. Counts of words are by all 64 bits.
@@ -124,7 +124,7 @@ def counts(data: DataFrame, parts: int) -> DataFrame:
 
 
 #: One schema for what goes to the shards (trigrams, or a block's documents passing by) ...
-_SENT = "shard int, block long, ids array<{0}>, held array<boolean>, n array<bigint>, known array<bigint>, base array<double>, all long, v binary, vi binary, w binary, c binary, ui binary, wi binary, doc binary, kinds long"
+_SENT = "shard int, block long, ids array<{0}>, held array<boolean>, n array<bigint>, known array<bigint>, base array<double>, all long, hot binary, v binary, vi binary, w binary, c binary, ui binary, wi binary, doc binary, kinds long"
 #: ... and for what comes back (scores of some documents of a block, or its documents).
 _BACK = "block long, shard int, ids array<{0}>, held array<boolean>, n array<bigint>, known array<bigint>, base array<double>, all long, doc binary, score binary"
 
@@ -148,30 +148,32 @@ def _send(shards: int, schema: pa.Schema):
         u[first] = len(h)
         hashes, count = np.append(h, START), np.append(c, c[h == END].sum())
         classes = np.maximum(1, np.minimum(-(-count * HOT_SHARES // max(every, 1)), count // HOT_COUNT))
-        name = hashes[v]
-        split = np.flatnonzero(classes[v] > 1)
+        name, hot = hashes[v], classes[v] > 1
+        split = np.flatnonzero(hot)
         name[split] = mix(name[split] + (hashes[u[split]] % classes[v[split]].astype(np.uint64)) + np.uint64(1))
-        del v, split
+        del split
         shard = ((name >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable").astype(np.int32)
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         del shard
         marked = np.repeat(np.arange(len(n), dtype=np.int32) * 2 + np.array(row["train"], np.int32), n)
-        for s in range(shards):
+        for s, some in ((s, some) for s in range(shards) for some in (False, True)):
             at = order[ends[s]:ends[s + 1]]
+            at = at[hot[at] == some]
             if len(at):
-                names, vi = np.unique(name[at] >> SHORT, return_inverse=True)
+                names, place, vi = np.unique(name[at] >> SHORT, return_index=True, return_inverse=True)
                 both = np.concatenate([u[at], number[at]])
                 words, one, uw = np.unique(hashes[both] >> SHORT, return_index=True, return_inverse=True)
-                out.append(dict(shard=s, block=row["block"], all=every, kinds=kinds, v=squeeze_hashes(names), vi=squeeze(vi), w=squeeze_hashes(words), c=squeeze(count[both[one]]),
+                out.append(dict(shard=s, block=row["block"], all=every, kinds=kinds, hot=squeeze(hashes[v[at[place]]] >> SHORT) if some else None, v=squeeze_hashes(names), vi=squeeze(vi), w=squeeze_hashes(words), c=squeeze(count[both[one]]),
                                 ui=squeeze(uw[:len(at)]), wi=squeeze(uw[len(at):]), doc=squeeze(np.diff(marked[at], prepend=0))))
         return pa.Table.from_arrays([pa.array([r["ids"].values.to_pylist() if f.name == "ids" and "ids" in r else r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def score_range(v: np.ndarray, u: np.ndarray, w: np.ndarray, train: np.ndarray, base: np.ndarray, logs: np.ndarray, n_v: int, discount: float) -> np.ndarray:
-    """log10 P of every trigram occurrence of some middle words, by a trie of the training ones among them."""
+def score_range(v: np.ndarray, u: np.ndarray, w: np.ndarray, train: np.ndarray, base: np.ndarray, logs: np.ndarray, n_v: int, discount: float, spread: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    """log10 P of every trigram occurrence of some middle words, by a trie of the training ones among them; ``spread``: counts of
+    pairs whose middle word has classes elsewhere too (``Trie.image``)."""
     width = len(base)
     context, ctx = np.unique(v.astype(np.int64) * width + u, return_inverse=True)
     triple, same = np.unique(ctx * width + w, return_inverse=True)
@@ -179,7 +181,7 @@ def score_range(v: np.ndarray, u: np.ndarray, w: np.ndarray, train: np.ndarray,
     k = np.flatnonzero(n)
     at, cw = np.divmod(triple[k], width)
     cv, cu = np.divmod(context[at], width)
-    trie = Trie.mapped(Trie.image(cv, cu, cw, n[k], base, n_v, width, discount))
+    trie = Trie.mapped(Trie.image(cv, cu, cw, n[k], base, n_v, width, discount, spread))
     p = np.empty(len(triple))
     for lo in range(0, len(triple), QUERIES):
         at, cw = np.divmod(triple[lo:lo + QUERIES], width)
@@ -187,21 +189,45 @@ def score_range(v: np.ndarray, u: np.ndarray, w: np.ndarray, train: np.ndarray,
     return p[same]
 
 
-def score_shard(rows: list[dict], discount: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(block, documents, sums of log10 P) of a shard: learn from the trigrams of training documents, query all distinct ones."""
+def trigrams(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(names, words, place in w_all of each row's words, v, u, w, documents by row, training) of a shard's trigrams; v is a place in names."""
     vs, ws = [expand_hashes(r["v"]) for r in rows], [expand_hashes(r["w"]) for r in rows]
     v_all, w_all = np.unique(np.concatenate(vs)), np.unique(np.concatenate(ws))
-    c = np.zeros(len(w_all), np.int64)
     at = [np.searchsorted(w_all, w) for w in ws]
-    for a, r in zip(at, rows):
-        c[a] = expand(r["c"])
-    base = (c + 0.1) / (rows[0]["all"] + 0.1 * (rows[0]["kinds"] + 1))
     v = np.concatenate([np.searchsorted(v_all, x).astype(np.int32)[expand(r["vi"])] for x, r in zip(vs, rows)])
     u = np.concatenate([a.astype(np.int32)[expand(r["ui"])] for a, r in zip(at, rows)])
     w = np.concatenate([a.astype(np.int32)[expand(r["wi"])] for a, r in zip(at, rows)])
     docs = [np.cumsum(expand(r["doc"])) for r in rows]
-    train = np.concatenate([d & 1 for d in docs]).astype(bool)
-    del vs, ws, at
+    return v_all, w_all, at, v, u, w, docs, np.concatenate([d & 1 for d in docs]).astype(bool)
+
+
+def tally(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(name, middle word, w, before) of the pairs that a shard's hot rows hold, asked for or learned: ``before`` different words
+    stand before the pair in training documents of this class of the middle word."""
+    v_all, w_all, _, v, u, w, _, train = trigrams(rows)
+    word = np.zeros(len(v_all), np.int64)
+    for r in rows:
+        word[np.searchsorted(v_all, expand_hashes(r["v"]))] = expand(r["hot"])
+    width = len(w_all)
+    pairs, pair = np.unique(v.astype(np.int64) * width + w, return_inverse=True)
+    learned = np.unique(pair[train] * width + u[train]) // width
+    at, pw = np.divmod(pairs, width)
+    return v_all[at].astype(np.int64), word[at], w_all[pw].astype(np.int64), np.bincount(learned, minlength=len(pairs))
+
+
+def score_shard(rows: list[dict], discount: float, spread: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, documents, sums of log10 P) of a shard: learn from the trigrams of training documents, query all distinct ones.
+    ``spread``: (name, w, before, mass, degree) of pairs with a hot middle word, over all its classes."""
+    v_all, w_all, at, v, u, w, docs, train = trigrams(rows)
+    c = np.zeros(len(w_all), np.int64)
+    for a, r in zip(at, rows):
+        c[a] = expand(r["c"])
+    base = (c + 0.1) / (rows[0]["all"] + 0.1 * (rows[0]["kinds"] + 1))
+    del at
+    if spread is not None:
+        hv, hw = np.searchsorted(v_all, spread[0]), np.searchsorted(w_all, spread[1])
+        by = np.argsort(hv, kind="stable")
+        hv, hw, *sums = (x[by] for x in (hv, hw, *spread[2:]))
     p, logs = np.empty(len(v)), np.log10(base)
     order = np.argsort(v, kind="stable").astype(np.int32)
     starts = np.searchsorted(v[order], np.arange(len(v_all) + 1))
@@ -209,7 +235,11 @@ def score_shard(rows: list[dict], discount: float) -> Iterator[tuple[int, np.nda
     while low < len(v_all):         # a trie for every range of middle words: all that is known of a word lies together
         high = max(low + 1, int(np.searchsorted(starts, starts[low] + TRIE_TOKENS, "right")) - 1)
         mine = order[starts[low]:starts[high]]
-        p[mine] = score_range(v[mine] - low, u[mine], w[mine], train[mine], base, logs, high - low, discount)
+        whole = None
+        if spread is not None:
+            i, j = np.searchsorted(hv, [low, high])
+            whole = (hv[i:j] - low, hw[i:j], *(x[i:j] for x in sums))
+        p[mine] = score_range(v[mine] - low, u[mine], w[mine], train[mine], base, logs, high - low, discount, whole)
         low = high
     lo = 0
     for r, d in zip(rows, docs):
@@ -228,8 +258,9 @@ def score(docs: DataFrame, folds: int = 10, discount: float = DISCOUNT, key: str
     travel in blocks with their own word lists, corpus counts return to blocks range by range, and trigrams are dealt to shards
     by their middle word, so that a shard holds every count its probabilities need. Each shard builds its Elias-Fano trie,
     queries it once for each distinct trigram, and returns sums per document. A middle word with over HOT_COUNT tokens and
-    1/4096 of all is split into classes by the word before it, each smoothed as a context word of its own, so that no shard
-    grows with a hot word; the split depends on corpus counts alone, not on the cluster.
+    1/4096 of all is dealt in classes by the word before it, so that no shard grows with a hot word. A class holds all that its
+    trigrams' own counts need; how many words stand before a pair is summed over the classes first and returns to each of them,
+    so scores are those of the undivided word.
 
     Null, empty and blank texts are the end token alone; a null id counts as the empty text in the split; repeated rows are
     scored (and learned) each; an empty table gives no rows; further columns of the input are ignored.
@@ -245,19 +276,25 @@ def score(docs: DataFrame, folds: int = 10, discount: float = DISCOUNT, key: str
     sent = data.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_send(parts, arrow), sent_schema)
     passing = ("ids", "held", "n", "known", "base", "all")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)
         for b in batches:
-            home = pa.compute.is_valid(b["ids"])
-            keep = b.filter(home)
-            if keep.num_rows:
-                yield pa.record_batch([keep[f.name] if f.name in ("block", "shard", *passing) else pa.nulls(keep.num_rows, f.type) for f in arrow_back], schema=arrow_back)
-            for r in b.filter(pa.compute.invert(home)).drop_columns(["ids", "held", "n", "known", "base"]).to_pylist():
+            for r in b.filter(b["hot"].is_valid()).drop_columns(["ids", "held", "n", "known", "base"]).to_pylist():
                 held[r["shard"]].append(r)
         for s in list(held):
-            rows = sorted(held.pop(s), key=lambda r: r["block"])
-            for block, d, p in score_shard(rows, discount):
-                yield pa.record_batch([pa.array([{"block": block, "shard": s, "doc": squeeze(d), "score": p.tobytes()}.get(f.name)], f.type) for f in arrow_back], schema=arrow_back)
+            name, word, w, before = tally(held.pop(s))
+            for lo in range(0, len(name), QUERIES):
+                yield pa.record_batch([pa.array(np.full(len(name[lo:lo + QUERIES]), s, np.int32)), *(pa.array(x[lo:lo + QUERIES]) for x in (name, word, w, before))], ["shard", "name", "word", "w", "before"])
+
+    def work(rows: pa.Table, spread: pa.Table) -> pa.Table:
+        home = rows["ids"].is_valid()
+        keep = rows.filter(home)
+        out = [pa.table([keep[f.name] if f.name in ("block", "shard", *passing) else pa.nulls(keep.num_rows, f.type) for f in arrow_back], schema=arrow_back)]
+        rest = sorted(rows.filter(pa.compute.invert(home)).drop_columns(["ids", "held", "n", "known", "base"]).to_pylist(), key=lambda r: (r["block"], r["hot"] is not None))
+        sums = tuple(spread[c].to_numpy() for c in ("name", "w", "before", "mass", "degree")) if spread.num_rows else None
+        for block, d, p in score_shard(rest, discount, sums) if rest else ():
+            out.append(pa.table([pa.array([{"block": block, "shard": rest[0]["shard"], "doc": squeeze(d), "score": p.tobytes()}.get(f.name)], f.type) for f in arrow_back], schema=arrow_back))
+        return pa.concat_tables(out)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes, sums = {}, defaultdict(list)
@@ -277,8 +314,15 @@ def score(docs: DataFrame, folds: int = 10, discount: float = DISCOUNT, key: str
             yield pa.record_batch([row["ids"].flatten(), row["held"].flatten(), n, row["known"].flatten(), pa.array([row["all"][0].as_py()] * len(n), pa.int64()), row["base"].flatten(), pa.array(total)],
                                   ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+    # words before a pair with a hot middle word: counted in its classes, summed, and back to the classes that hold the pair
+    dealt = sent.repartition(parts, "shard")
+    hot = dealt.mapInArrow(pairs, "shard int, name long, word long, w long, before long")
+    whole = hot.groupBy("word", "w").agg(F.sum("before").alias("before"), F.collect_list(F.struct("shard", "name")).alias("classes")).where("before > 0")
+    words = whole.groupBy("word").agg(F.sum("before").alias("mass"), F.count(F.lit(1)).alias("degree"))
+    spread = whole.join(words, "word").select(F.explode("classes").alias("at"), "w", "before", "mass", "degree").select("at.shard", "at.name", "w", "before", "mass", "degree")
+    scored = dealt.groupBy("shard").cogroup(spread.repartition(parts, "shard").groupBy("shard")).applyInArrow(work, _BACK.format(kind))
     # documents that stay by while their trigrams travel are found again by their block
-    return (sent.repartition(parts, "shard").mapInArrow(work, _BACK.format(kind)).repartition(parts, "block")
+    return (scored.repartition(parts, "block")
             .mapInArrow(gather, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("k", key))
 
 
