@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACE, let, stored, table, words_of
+from tickloom.llm.common import SPACE, let, stored, table
 
 #: Leading tokens that make the tree's inner levels, below the level of the token count.
 DEPTH = 3
@@ -18,8 +18,10 @@ FIXED, FIELDS = 2, 16
 
 def tokens_of(line: Column) -> Column:
     """Tokens of a line with variable ones generalised: whatever holds a digit is ``<*>``."""
-    bare = F.trim(line, F.lit(SPACE))
-    return words_of(F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(bare))
+    # each step is bound: inside a lambda an expression used twice is computed twice
+    return let(F.trim(line, F.lit(SPACE)), lambda bare: let(
+        F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(bare),
+        lambda x: F.when(F.length(x) > 0, F.split(x, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))))
 
 
 def line_keys(text: Column) -> Column:
