@@ -102,6 +102,26 @@ def test_a_document_of_lines_that_others_have_goes(spark, tiny):
     assert got == {0: texts[0], 1: texts[1], 3: "\n".join(own), 4: "", 5: "\n"}
 
 
+def test_line_dedup_runs_no_python_and_finds_all_near_copies(spark, tiny, monkeypatch):
+    from tickloom.llm import near_dedup
+    base = [(r.doc_id, r.text) for r in pd.read_parquet(f"{tiny}/documents.parquet").itertuples()]
+    edited = [(900_000 + i, " ".join(w if k % 150 else "changed" for k, w in enumerate((t or "").split(" ")))) for i, t in base[:60]]
+    table = [*base, *edited, *((950_000 + i, base[0][1]) for i in range(30)), (None, base[1][1])]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    sets = {i: s for i, t in table if i is not None and (s := shingles(t, 5))}
+    want = {x for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for x in (a, b)}
+    got = {r.doc_id for r in near_dedup.with_copies(docs).collect()}
+    assert len(want) > 80 and want <= got and len(got - want) < 20
+    plans = []
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name, stays=False: plans.append(df) or stored(df, name, stays))
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, name, stays=False: plans.append(df) or stored(df, name, stays))
+    from tickloom.llm import line_dedup
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name, stays=False: plans.append(df) or stored(df, name, stays))
+    plans.append(corpus_pipeline.lines(spark, docs, tiny))
+    text = "\n".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert len(plans) > 6 and not any(x in text for x in ("InArrow", "InPandas", "EvalPython"))
+
+
 def test_passing_tables_go(spark):
     import os
     from tickloom.llm.common import passing
