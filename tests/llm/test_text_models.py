@@ -165,6 +165,20 @@ def test_special_strings_and_odd_blanks_encode_as_in_whole_texts():
         assert np.frombuffer(enc.encode([t], 1)[0], "<u2").tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_an_encoder_remembers_few_words_and_the_frequent_ones(monkeypatch):
+    """Two generations of words: those met again stay without the tokenizer, all others go, also within one batch of texts."""
+    monkeypatch.setattr(packing, "CACHE", 300)
+    enc, fresh = packing.Encoder(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    asked, held = [], 0
+    enc.tokenize = lambda piece, f=enc.tokenize: asked.append(piece) or f(piece)
+    texts = ["Often often, OFTEN! " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j)}{m}" for j in range(25) for m in ("", ",")) for i in range(200)]
+    for lo in range(0, 200, 50):
+        got = enc.encode(texts[lo:lo + 50], 1)
+        held = max(held, sum(len(x) for x in vars(enc).values() if isinstance(x, dict) and x is not enc.bytes) + len(enc))
+        assert got == [np.array([*fresh.tok.encode(t, add_special_tokens=False).ids, 1], "<u2").tobytes() for t in texts[lo:lo + 50]]
+    assert asked.count("often") == 1 and held < 3 * 300
+
+
 def test_classifier_learns_what_labels_mark(spark):
     rng = np.random.default_rng(0)
     def text(bad):

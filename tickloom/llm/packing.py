@@ -6,7 +6,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from tickloom.llm.common import stored, table
 
 #: Queues at most; beyond that the smaller sources share hashed queues, so that the schedule has a proven size.
 MAX_QUEUES = 1024
-#: Words whose ids a worker process remembers, across its tasks.
-CACHE = 1_000_000
+#: Words of a generation that a worker process remembers, across its tasks.
+CACHE = 150_000
 #: Fixed-point steps of one token of credit.
 STEP = 1024
 
@@ -26,6 +25,9 @@ STEP = 1024
 class Encoder(dict):
     """Token ids of texts by a public tokenizer: a mapping from words to their ids, filled as words are met, of bounded size.
 
+    Words are kept in two generations of some CACHE each: what is met again moves to the younger one, and the older one goes
+    when the younger is full. So frequent words stay, in workers that live on through other stages too, without filling them.
+
     Blanks and line ends always part tokens in a vocabulary that drops white space, so a text's ids are those of its
     blank-separated words in order. Plain words, Latin letters and then ASCII punctuation, are two pieces to the tokenizer; for
     them its model is asked directly, and once for each piece.
@@ -43,30 +45,39 @@ class Encoder(dict):
         self.tokenize = self.tok.model.tokenize
         self.bytes = {c: one.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100) if not chr(c).isspace()}
         self.code, self.kind = ("H", "<u2") if self.tok.get_vocab_size() <= 1 << 16 else ("I", "<u4")
-        self.pieces: dict[str, bytes] = {}
+        self.older, self.marks = {}, {}
 
     def __missing__(self, word: str) -> bytes:
-        plain = self.PLAIN(word)
-        if plain:
-            ids = self.piece(plain[1].lower()) + self.piece(plain[2])
-        else:
-            ids = array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            plain = self.PLAIN(word)
+            if not plain:
+                ids = array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+            elif word == plain[1].lower():
+                ids = self.piece(word)
+            else:                                   # the letters alone are a word, too
+                ids = self[plain[1].lower()] + self.mark(plain[2])
         self[word] = ids
         return ids
 
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > CACHE:
+                self.marks.clear()
+            self.marks[marks] = self.piece(marks)
+        return self.marks[marks]
+
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenize(piece.translate(self.bytes))]).tobytes()
-        return ids
+        return array(self.code, [t.id for t in self.tokenize(piece.translate(self.bytes))]).tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        for cache in (self, self.pieces):
-            if len(cache) > CACHE:                  # the older half goes
-                for w in list(islice(cache, len(cache) // 2)):
-                    del cache[w]
-        last = array(self.code, [end]).tobytes()
-        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) + last for t in texts]
+        last, out = array(self.code, [end]).tobytes(), []
+        for t in texts:
+            if len(self) > CACHE:
+                self.older = dict(self)
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) + last)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
