@@ -17,7 +17,7 @@ from tickloom.llm.common import stored, table
 #: Queues at most; beyond that the smaller sources share hashed queues, so that the schedule has a proven size.
 MAX_QUEUES = 1024
 #: Words of a generation that a worker process remembers, across its tasks.
-CACHE = 150_000
+CACHE = 300_000
 #: Fixed-point steps of one token of credit.
 STEP = 1024
 
