@@ -102,6 +102,33 @@ def test_a_document_of_lines_that_others_have_goes(spark, tiny):
     assert got == {0: texts[0], 1: texts[1], 3: "\n".join(own), 4: "", 5: "\n"}
 
 
+def made_lines(seed, n):
+    r = random.Random(seed)
+    return [" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(12)) for _ in range(n)]
+
+
+def test_near_copies_lose_lines_of_earlier_documents(spark, tiny):
+    """A group of copies counts as one document: it loses what an earlier one has, keeps what its members share, and stays a group."""
+    first, own, late = made_lines(50, 3), made_lines(51, 9), made_lines(52, 2)
+    edit = lambda k: " ".join(["zzzzzz", *own[k].split(" ")[1:]])
+    texts = [first, [*own, first[1]], [*own[:8], edit(8), first[1]], [*own, first[1]], [own[2], *late], ["Late of its kind", first[2]]]
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    lined = stored(corpus_pipeline.lines(spark, docs, tiny), "stage")
+    got = {r.doc_id: r.text.split("\n") for r in lined.collect()}
+    assert got == {0: first, 1: own, 2: [*own[:8], edit(8)], 3: own, 4: late, 5: ["Late of its kind"]}
+    assert {r.doc_id: r.text.split("\n") for r in corpus_pipeline.near(spark, lined, tiny).collect()} == {0: first, 1: own, 4: late, 5: ["Late of its kind"]}
+
+
+def test_copies_that_line_dedup_would_hide_go(spark, tiny):
+    """Of near copies most of whose lines an earlier document has, too little is left to tell them by: the first of them stays, in buckets of any size."""
+    shared, ends = made_lines(60, 20), [made_lines(61 + k, 1)[0] for k in range(30)]
+    texts = [[*shared[:10], *made_lines(90, 10)], [*shared[10:], *made_lines(91, 10)], *([*shared, e] for e in ends), [made_lines(92, 1)[0], shared[3]]]
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for some, group in ((docs, 30), (docs.where("doc_id < 6 OR doc_id > 31"), 4)):
+        got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.lines(spark, some, tiny).collect()}
+        assert some.count() == group + 3 and got == {0: texts[0], 1: texts[1], 2: ends[:1], 32: texts[32][:1]}
+
+
 def test_line_dedup_runs_no_python_and_finds_all_near_copies(spark, tiny, monkeypatch):
     from tickloom.llm import near_dedup
     base = [(r.doc_id, r.text) for r in pd.read_parquet(f"{tiny}/documents.parquet").itertuples()]

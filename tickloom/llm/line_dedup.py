@@ -52,13 +52,16 @@ def field_keys(leaf: Column, w: Column) -> Column:
     return F.when(rest >= 3, F.transform(made, lambda e: e["key"])).otherwise(F.array().cast("array<bigint>"))
 
 
-def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text", strict: bool = False, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with kd, dig, t and their other columns; places of lines to drop: kd, dig, drops)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.withColumns({"_t": t, "_kd": F.coalesce(F.col(key).cast("string"), F.lit("")), "_dig": F.xxhash64(t)})
-    lines = stored(base.select(F.col(key).alias("k"), "_kd", "_dig", F.inline(line_keys(F.col("_t")))).drop("vague"), "line-keys")
-    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "_dig"))         # documents without an id come last
-    place = F.struct(F.col("k").isNull().alias("none"), "k", "_dig")
+    own = base if units is None else base.join(units.select(F.col(key), F.col("unit").alias("_unit")), key, "left")
+    unit = [] if units is None else [F.coalesce("_unit", key).alias("unit"), F.when(F.col("_unit").isNull(), F.col("_dig")).otherwise(0).alias("mark")]
+    lines = stored(own.select(F.col(key).alias("k"), "_kd", "_dig", *unit, F.inline(line_keys(F.col("_t")))).drop("vague"), "line-keys")
+    # documents without an id come last
+    place = F.struct(F.col("k").isNull().alias("none"), F.col("unit" if unit else "k").alias("unit"), F.col("mark" if unit else "_dig").alias("mark"))
+    first = F.min(F.struct(place.alias("place"), "k", "_dig"))
     # what is equal in all tokens: one row per line and document, then per line; a hot line is combined before the shuffle
     exact = stored(lines.groupBy("leaf", "exact").agg(first.alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size")), "exact-lines")
     # leaves with several different lines: the most frequent one heads the leaf, those alike join its template
@@ -88,16 +91,16 @@ def recurring(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str
     chosen = fields.join(kinds, ["leaf", "key"]).groupBy("leaf", "exact").agg(F.max(F.struct("kinds", "key"))["key"].alias("template"))
     joined = stored(met.where("alike").select("leaf", "exact", F.col("head").alias("template")).union(chosen), "joined-lines")
     named = exact.join(joined, ["leaf", "exact"], "left").withColumn("template", F.coalesce("template", "exact"))
-    groups = named.groupBy("leaf", "template").agg(F.min("first").alias("origin"), F.max("last").alias("last"), F.sum("n").alias("n")).where("origin < last")
+    groups = named.groupBy("leaf", "template").agg(F.min("first.place").alias("origin"), F.max("last").alias("last"), F.sum("n").alias("n")).where("origin < last")
     if min_docs > 2:        # how many documents exactly matters only then
-        per = lines.join(named.select("leaf", "exact", "template"), ["leaf", "exact"]).groupBy("leaf", "template", "k", "_dig").agg(F.lit(1).alias("one"))
+        per = lines.join(named.select("leaf", "exact", "template"), ["leaf", "exact"]).groupBy("leaf", "template", place.alias("place")).agg(F.lit(1).alias("one"))
         groups = groups.join(per.groupBy("leaf", "template").count().where(F.col("count") >= min_docs).select("leaf", "template"), ["leaf", "template"])
     doomed = named.select("leaf", "exact", "template").join(groups, ["leaf", "template"]).select("leaf", "exact", "origin")
     drops = lines.join(doomed, ["leaf", "exact"]).where(place > F.col("origin")).groupBy("_kd", "_dig", F.col("k").isNull().alias("_none")).agg(F.collect_set("pos").alias("_drops"))
-    return base, drops
+    return base, drops if units is None else stored(drops, "dropped-lines", stays=True)
 
 
-def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text", strict: bool = False) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text: str = "text", strict: bool = False, units: DataFrame | None = None) -> DataFrame:
     """The documents with recurring lines gone: all input columns, ``text`` without them, n_lines, n_dropped.
 
     The tree has a level for the number of tokens of a line and one for each of its first three tokens; tokens with digits are
@@ -110,11 +113,15 @@ def drop_templates(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", text
     The rest are templates of their own, also lines whose variable words are further apart and that no line equals in all but one field. A template that occurs in ``min_docs`` documents or more stays in the first of them (smallest id, then text
     hash; no id comes last) as often as it occurs there, and is dropped from all others. Lines without words stay.
 
+    ``units`` (key, unit: the key of its first document; unique by key) names documents that count as one, as near copies do: a
+    template stays in all of its first unit and is dropped from all others, in place of the first document. The places of dropped
+    lines are stored then, so the result may be read several times.
+
     Only hashes of lines travel and are grouped, combined before the shuffle; text is read again for one occurrence of each
     line in leaves that hold several. Null texts are empty; rows equal in id and text are one document; an empty table gives no
     rows; other columns pass (``n_lines`` and ``n_dropped`` are replaced, and no column may start with an underscore).
     """
-    base, drops = recurring(docs, min_docs, key, text, strict)
+    base, drops = recurring(docs, min_docs, key, text, strict, units)
     left = base.withColumn("_none", F.col(key).isNull()).join(drops, ["_kd", "_dig", "_none"], "left")
     lines = F.split("_t", "\n")
     kept = F.when(F.col("_drops").isNull(), F.col("_t")).otherwise(F.array_join(let(F.map_from_arrays("_drops", "_drops"), lambda gone: F.transform(

@@ -279,28 +279,62 @@ def band_array(shingles: Column) -> Column:
     return F.when(F.size(shingles) > 0, let(F.transform(changes(shingles, 57), lambda i: F.get(shingles, i)), keys)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id) of the documents that are linked with another one as ``near_duplicates`` links them, by DataFrame functions alone.
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near) of the pairs whose ids both have sets (k, s): whether 100 * intersection >= percent * union, by DataFrame functions."""
+    met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("near"))
 
-    Documents meet in 32 bands of four least shingles; two at similarity 0.8 miss each other in all with probability 5e-8. Where
-    up to SMALL meet, each pair is compared on full sets; those of larger buckets count as linked, so a few may have no copy, and
-    a component may hold several of ``near_duplicates``. Texts without words and rows without an id have none.
-    """
+
+def copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What ``with_copies`` returns, and the links (a, b) that it found on full sets: all pairs of buckets up to SMALL, pairs with the
+    first document of larger ones."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     sets = rows.select("k", shingle_array(F.col("t"), width).alias("s"))
     posted = stored(sets.select("k", let(F.col("s"), lambda s: F.struct(F.size(s).alias("n"), band_array(s).alias("bands"))).alias("x")).select("k", "x.n", F.explode("x.bands").alias("h")), "bands")
-    shared = posted.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last").select("h", "first", "size")
+    shared = posted.groupBy("h").agg(F.min(F.struct("k", "n")).alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("size")).where("first.k < last").select("h", "first", "size")
     buckets = stored(posted.join(shared, "h"), "buckets")
-    small = buckets.where(F.col("size") <= SMALL)
+    small, large = buckets.where(F.col("size") <= SMALL), buckets.where((F.col("size") > SMALL) & (F.col("k") > F.col("first.k")))
     one, two = small.select("h", F.col("k").alias("a"), "n"), small.select("h", F.col("k").alias("b"), F.col("n").alias("m"))
-    pairs = stored(one.join(two, "h").where((F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct(), "pairs")
+    met = one.join(two, "h").where(F.col("a") < F.col("b")).select("a", "b", "n", "m").union(large.select("first.k", "k", "first.n", "n"))
+    pairs = stored(met.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     full = stored(rows.join(ids, "k", "left_semi").select("k", shingle_array(F.col("t"), width).alias("s")), "sets")
-    met = pairs.join(full.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    near = met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-    stars = buckets.where((F.col("size") > SMALL) & (F.col("k") > F.col("first"))).select("first", "k")
-    return components(near.union(stars)).select(F.col("node").alias(key), F.col("root").alias("component_id"))
+    links = stored(linked(pairs, full, percent).where("near").select("a", "b").distinct(), "copy-links", stays=True)
+    return components(links.union(large.select("first.k", "k"))).select(F.col("node").alias(key), F.col("root").alias("component_id")), links
+
+
+def with_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id) of the documents that are linked with another one as ``near_duplicates`` links them, by DataFrame functions alone.
+
+    Documents meet in 32 bands of four least shingles; two at similarity 0.8 miss each other in all with probability 5e-8. Where
+    up to SMALL meet, each pair is compared on full sets; those of larger buckets count as linked, so a few may have no copy, and
+    a component may hold several of ``near_duplicates``. Texts without words and rows without an id have none.
+    """
+    return copies(docs, width, percent, key, text)[0]
+
+
+def hidden_copies(links: DataFrame, after: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key) of documents linked on whole texts that ``near_duplicates`` no longer knows for copies once lines are gone.
+
+    ``after`` are the documents as they are then, with ``n_dropped``. Where a group of ``links`` holds two documents that are no
+    longer similar enough, all of the group but its first remaining document are returned, which are copies of each other on whole texts.
+    """
+    known = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    rows = stored(after.join(known, key, "left_semi").select(F.col(key).alias("k"), F.col(text).alias("t"), "n_dropped"), "linked-documents")
+    cut = rows.where("n_dropped > 0").select("k").distinct()
+    ends = [links.join(cut.withColumnRenamed("k", end), end, "left_semi").select("a", "b") for end in "ab"]
+    asked = stored(ends[0].union(ends[1]).distinct(), "links-of-changed")
+    ids = asked.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    sets = stored(rows.join(ids, "k", "left_semi").select("k", shingle_array(F.col("t"), width).alias("s")), "sets-of-changed")
+    apart = stored(linked(asked, sets, percent).groupBy("a", "b").agg(F.max("near").alias("near")).where("NOT near").select("a"), "hidden-links")
+    if apart.isEmpty():
+        return links.select(F.col("a").alias(key)).where(F.lit(False))
+    groups = components(links)
+    groups = groups.join(groups.join(apart.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct(), "root", "left_semi")
+    there = stored(groups.join(rows.select(F.col("k").alias("node")).distinct(), "node", "left_semi"), "hidden-groups")
+    stay = there.groupBy("root").agg(F.min("node").alias("node"))
+    return stored(there.join(stay, ["root", "node"], "left_anti").select(F.col("node").alias(key)), "hidden-copies", stays=True)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
