@@ -280,15 +280,18 @@ def band_array(shingles: Column) -> Column:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near) of the pairs whose ids both have sets (k, s): whether 100 * intersection >= percent * union, by DataFrame functions."""
-    met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    """(a, b, near) of the pairs whose ids both have sets (k, s): whether 100 * intersection >= percent * union, by DataFrame functions.
+    Equal sets are told by their hash, so only others travel."""
+    marks = sets.select("k", F.xxhash64("s").alias("d"))
+    told = pairs.join(marks.select(F.col("k").alias("a"), F.col("d").alias("da")), "a").join(marks.select(F.col("k").alias("b"), F.col("d").alias("db")), "b").select("a", "b", (F.col("da") == F.col("db")).alias("near"))
+    met = told.where("NOT near").select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("near"))
+    return told.where("near").union(met.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("near")))
 
 
 def copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What ``with_copies`` returns, and the links (a, b) that it found on full sets: all pairs of buckets up to SMALL, pairs with the
-    first document of larger ones."""
+    """What ``with_copies`` returns, and the links (a, b) that it found on full sets: all pairs of buckets up to SMALL, and of
+    those in larger ones each with the smallest document that heads one of its buckets."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     sets = rows.select("k", shingle_array(F.col("t"), width).alias("s"))
     posted = stored(sets.select("k", let(F.col("s"), lambda s: F.struct(F.size(s).alias("n"), band_array(s).alias("bands"))).alias("x")).select("k", "x.n", F.explode("x.bands").alias("h")), "bands")
@@ -296,7 +299,7 @@ def copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     buckets = stored(posted.join(shared, "h"), "buckets")
     small, large = buckets.where(F.col("size") <= SMALL), buckets.where((F.col("size") > SMALL) & (F.col("k") > F.col("first.k")))
     one, two = small.select("h", F.col("k").alias("a"), "n"), small.select("h", F.col("k").alias("b"), F.col("n").alias("m"))
-    met = one.join(two, "h").where(F.col("a") < F.col("b")).select("a", "b", "n", "m").union(large.select("first.k", "k", "first.n", "n"))
+    met = one.join(two, "h").where(F.col("a") < F.col("b")).select("a", "b", "n", "m").union(large.groupBy("k").agg(F.min("first").alias("first"), F.min("n").alias("n")).select("first.k", "k", "first.n", "n"))
     pairs = stored(met.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     full = stored(rows.join(ids, "k", "left_semi").select("k", shingle_array(F.col("t"), width).alias("s")), "sets")
